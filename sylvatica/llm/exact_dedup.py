@@ -62,7 +62,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Collapse a partition sorted by (digest, n_bytes, check, best first) to a row per key."""
     held: pa.Table | None = None
     for batch in batches:
-        part = pa.Table.from_batches([batch])
+        part = pa.Table.from_arrays(batch.columns, names=batch.schema.names)  # all columns nullable, as those held are
         if held is not None:
             part = pa.concat_tables([held, part]).combine_chunks()
         n = part.num_rows
