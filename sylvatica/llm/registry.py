@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvatica.llm import exact_dedup, mixing, packing
+from sylvatica.llm import exact_dedup, mixing, packing, topk_search, warc
 from sylvatica.session import table
 
 
@@ -15,6 +15,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", taken.alias("taken"))
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -24,10 +29,17 @@ def op8_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.usable(table(spark, sf_dir, "embeddings"))
+    return topk_search.search(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
+
+
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op6_warc_round_trip": op6_warc_round_trip,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack_binary": op8_pack_binary,
+    "op10_topk_search": op10_topk_search,
 }
 
 ORACLES = {
@@ -56,4 +68,25 @@ ORACLES = {
               WINDOW w AS (PARTITION BY h ORDER BY points DESC, doc_id))
         SELECT doc_id, keep_id, group_size, n = 1 AS kept, h AS text_sha256 FROM r
     """,
+    "op6_warc_round_trip": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS keeper, rank() OVER (PARTITION BY h, n ORDER BY page_id DESC) AS r FROM d)
+        SELECT page_id, n AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::BIGINT, 5))::BIGINT >> (5 * (3 - i % 4))::BIGINT) & 31)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN r = 1 THEN NULL ELSE keeper END::BIGINT AS refers_to
+        FROM g
+    """,
+    "op10_topk_search": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id,
+                     list_sum(list_transform(range(1, len(v.c) + 1), lambda i: q.c[i] * v.c[i]))::BIGINT AS score
+              FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.c) = len(v.c)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
 }
