@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvatica.llm import exact_dedup, mixing, packing, topk_search, warc
+from sylvatica.llm import exact_dedup, mixing, packing, quality, topk_search, toxicity, warc
 from sylvatica.session import table
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.withColumn("kept", F.lit(True))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(table(spark, sf_dir, "documents"))
     taken = (F.col("copies") * F.col("size")).cast("long")
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", taken.alias("taken"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -35,7 +45,9 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack_binary": op8_pack_binary,
