@@ -2,7 +2,8 @@
 
 The features are densities of lexicon words (plain, and found only after undoing obfuscation), the share of
 hits near a second-person word, capitals, punctuation and obfuscation rates.  One lexicon is fixed below;
-another is learned from the training labels by the log-odds of a word's document frequency.  Both are held
+another is learned from the training labels: words and stems
+that stand after many different words, nearly always in toxic texts.  Both are held
 as 64-bit word hashes and looked up for a whole Arrow batch at once.
 
 Only the model is fitted on a sample: SAMPLE labelled rows at most, chosen by a hash of their doc_id, none
@@ -26,21 +27,29 @@ from pyspark.sql import functions as F
 
 from sylvatica.llm.boosting import Boosted, boost
 from sylvatica.llm.storage import settle, text_or_empty
-from sylvatica.llm.words import LOWER, hashes, mix, slices, word_hash, words
+from sylvatica.llm.words import LOWER, Words, distinct, hashes, mix, slices, words
 
 SAMPLE = 12_000
 FOLDS = 5
+#: The learned lexicon: at most LEARNED words and stems, out of CANDIDATES that stand in at least MIN_TEXTS toxic
+#: texts of the sample, each after at least MIN_CONTEXTS different words and so mostly in toxic texts.
 LEARNED = 256
+CANDIDATES = 4_096
+MIN_TEXTS = 4
+MIN_CONTEXTS = 8
+MIN_PRECISION = 0.9
+#: Lengths of stems in bytes.
+STEMS = (4, 5, 6)
 NEAR = 3
 
-#: Abusive words in the four languages of the corpus.
+#: Abusive words in the four languages of the corpus; none is an ordinary word of another of them.
 ABUSE = """
 idiot idiots moron morons stupid dumb loser losers clown clowns scum trash garbage worthless pathetic disgusting
-fool fools imbecile bastard bitch bitches asshole jerk crap shit shitty bullshit fuck fucking fucker dumbass
-retard retarded ugly freak filthy vermin pig pigs rat coward liar hate kill die hell damn screw suck sucks
+imbecile bastard bitch bitches asshole jerk crap shit shitty bullshit fuck fucking fucker dumbass
+retard retarded ugly filthy vermin
 dumm dummkopf blöd arschloch scheiße scheisse hure wichser versager abschaum hässlich widerlich ekelhaft trottel
-idiote crétin connard connasse salope merde pute imbécile abruti débile dégueulasse ordure minable nul
-estúpido idiota imbécil gilipollas cabrón mierda puta basura asqueroso inútil patético escoria payaso perdedor tonto
+idiote crétin connard connasse salope merde imbécile abruti débile dégueulasse
+estúpido idiota imbécil gilipollas cabrón mierda asqueroso patético escoria payaso
 """.split()
 
 #: Second-person words.
@@ -81,17 +90,10 @@ def _member(value: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == value
 
 
-def _trimmed(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Hashes of words over their kept bytes alone, after folding."""
-    keep = kept[buffer]
-    place = np.cumsum(keep) - keep
-    return hashes(np.where(keep, _PLAIN[fold[buffer]], np.uint64(0)), start, end, place)
-
-
 def letters_hash(word: str) -> int:
     """The hash of a word's letters, as ``profile`` gives it."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(_trimmed(raw, np.array([0]), np.array([len(raw)]), LOWER, _LETTER)[0])
+    return int(profile(raw, np.array([0, len(raw)])).letters[0])
 
 
 def lexicon(entries: list[str]) -> np.ndarray:
@@ -100,18 +102,39 @@ def lexicon(entries: list[str]) -> np.ndarray:
 
 @dataclass
 class Profile:
-    """The words of a run of texts with the hashes of their letters, plain and with obfuscation undone."""
+    """The words of a run of texts with hashes of their letters: plain, with obfuscation undone, and their
+    stems, the first letters of words long enough."""
 
-    found: object
+    found: Words
     letters: np.ndarray
     folded: np.ndarray
+    stems: list[tuple[np.ndarray, np.ndarray]]  # (index of the word, hash) for each of STEMS
+
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the word, hash) of all words and all stems."""
+        every = [(np.arange(len(self.letters)), self.letters), *self.stems]
+        return np.concatenate([i for i, _ in every]), np.concatenate([h for _, h in every])
 
 
 def profile(buffer: np.ndarray, offsets: np.ndarray) -> Profile:
     found = words(buffer, offsets)
-    if not len(found.start):
-        return Profile(found, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    return Profile(found, _trimmed(buffer, found.start, found.end, LOWER, _LETTER), _trimmed(buffer, found.start, found.end, _FOLD, _KEPT))
+    start, end = found.start, found.end
+    if not len(start):
+        none = np.zeros(0, np.uint64)
+        return Profile(found, none, none, [(np.zeros(0, np.int64), none) for _ in STEMS])
+    keep = _LETTER[buffer]
+    place = np.cumsum(keep) - keep
+    value = np.where(keep, _PLAIN[LOWER[buffer]], np.uint64(0))
+    where = np.append(np.flatnonzero(keep), len(buffer))
+    first = place[start]
+    count = np.append(place, place[-1] + keep[-1])[end] - first
+    stems = []
+    for k in STEMS:
+        long = np.flatnonzero(count > k)
+        stems.append((long, mix(hashes(value, start[long], where[first[long] + k - 1] + 1, place) + np.uint64(k))))
+    kept = _KEPT[buffer]
+    folded = hashes(np.where(kept, _PLAIN[_FOLD[buffer]], np.uint64(0)), start, end, np.cumsum(kept) - kept)
+    return Profile(found, hashes(value, start, end, place), folded, stems)
 
 
 def features(buffer: np.ndarray, offsets: np.ndarray, learned: np.ndarray, abuse: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -131,6 +154,8 @@ def features(buffer: np.ndarray, offsets: np.ndarray, learned: np.ndarray, abuse
 
     plain = _member(p.letters, abuse)
     taught = _member(p.letters, learned)
+    for at, stem in p.stems:
+        taught[at] |= _member(stem, learned)
     hidden = (_member(p.folded, abuse) | _member(p.folded, learned)) & ~plain & ~taught
     hit = plain | taught | hidden
     person = _member(p.letters, second)
@@ -188,19 +213,55 @@ class Model:
         return self.trees.score(features(buffer, offsets, self.learned, self.abuse, self.second))
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash of a word's letters, 1, label) for each distinct word of each text."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, texts, toxic texts) of the words and stems of each run of texts."""
     for batch in batches:
         y = batch.column(1).to_numpy()
         for first, last, buffer, offsets in slices(batch.column(0)):
             p = profile(buffer, offsets)
-            if not len(p.letters):
+            at, unit = p.units()
+            if not len(unit):
                 continue
-            pair = np.unique(mix(p.letters) ^ p.found.text.astype(np.uint64), return_index=True)[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(p.letters[pair].view(np.int64)), pa.array(np.ones(len(pair), np.int64)), pa.array(y[first:last][p.found.text[pair]].astype(np.int64))],
-                names=["word", "n", "bad"],
-            )
+            text, unit = distinct(p.found.text[at], unit)
+            units, group = np.unique(unit, return_inverse=True)
+            bad = np.bincount(group, y[first:last][text], minlength=len(units)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(units.view(np.int64)), pa.array(np.bincount(group)), pa.array(bad)], names=["unit", "n", "bad"])
+
+
+def _contexts(likely: np.ndarray):
+    """The (unit, hash of the word before, label) of each place where a unit of ``likely`` stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(1).to_numpy()
+            for first, last, buffer, offsets in slices(batch.column(0)):
+                p = profile(buffer, offsets)
+                at, unit = p.units()
+                hit = _member(unit, likely)
+                at, unit = at[hit], unit[hit]
+                if len(at):
+                    before = np.roll(p.letters, 1)[at]
+                    label = y[first:last][p.found.text[at]].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(before.view(np.int64)), pa.array(label)], names=["unit", "before", "bad"])
+
+    return run
+
+
+def learn_lexicon(rows: DataFrame, n: int, bad: int, size: int = LEARNED) -> np.ndarray:
+    """Hashes of words and stems that mark toxic texts, from (text, y) rows.
+
+    Candidates stand in enough toxic texts and mostly there.  Each is then counted once for each word that it
+    follows, so that copies of a text count once: what a few copied texts share is no mark of toxicity.
+    """
+    frequent = (F.col("bad") >= max(MIN_TEXTS, bad // 50)) & (F.col("bad") >= F.col("n") * MIN_PRECISION)
+    counts = rows.select("text", "y").mapInArrow(_frequencies, "unit long, n long, bad long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    likely = counts.where(frequent).orderBy(F.col("bad").desc(), "unit").limit(CANDIDATES).select("unit").collect()
+    table = np.unique(np.array([r["unit"] for r in likely], np.int64).view(np.uint64))
+    places = rows.select("text", "y").mapInArrow(_contexts(table), "unit long, before long, bad long").groupBy("unit", "before").agg(F.max("bad").alias("bad"))
+    spread = places.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    best = spread.where((F.col("bad") >= max(MIN_CONTEXTS, bad // 25)) & (F.col("bad") >= F.col("n") * MIN_PRECISION))
+    chosen = best.orderBy(F.col("bad").desc(), "unit").limit(size).select("unit").collect()
+    return np.unique(np.array([r["unit"] for r in chosen], np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, learned_words: int = LEARNED) -> Model:
@@ -213,12 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
     abuse, second = lexicon(ABUSE), lexicon(SECOND_PERSON)
     learned = np.zeros(0, np.uint64)
     if 0 < bad < n:
-        counts = rows.select("text", "y").mapInArrow(_vocabulary, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1))
-        # rare words say little: at least one toxic text in a hundred holds the word, and texts with it are mostly toxic
-        likely = counts.where((F.col("bad") >= max(3, bad // 100)) & (F.col("bad") * 2 > F.col("n"))).withColumn("odds", odds)
-        best = likely.orderBy(F.col("odds").desc(), "word").limit(learned_words).select("word").collect()
-        learned = np.unique(np.array([r["word"] for r in best], np.int64).view(np.uint64))
+        learned = learn_lexicon(rows, n, bad, learned_words)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
