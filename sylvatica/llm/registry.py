@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvatica.llm import exact_dedup, mixing, packing, quality, topk_search, toxicity, warc
+from sylvatica.llm import exact_dedup, html_text, mixing, packing, quality, topk_search, toxicity, warc
 from sylvatica.session import table
 
 
@@ -14,6 +14,10 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumn("kept", F.lit(True))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(table(spark, sf_dir, "documents"))
     taken = (F.col("copies") * F.col("size")).cast("long")
@@ -46,6 +50,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_main_text": op2_main_text,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_warc_round_trip": op6_warc_round_trip,
