@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvatica.llm import exact_dedup, html_text, mixing, packing, quality, topk_search, toxicity, warc
+from sylvatica.llm import chat, exact_dedup, html_text, mixing, packing, quality, topk_search, toxicity, warc
 from sylvatica.session import table
 
 
@@ -18,6 +18,13 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{odd}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    return chat.conversation_digests(chat.windows(rows.unionByName(more)))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(table(spark, sf_dir, "documents"))
     taken = (F.col("copies") * F.col("size")).cast("long")
@@ -51,6 +58,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_main_text": op2_main_text,
+    "op3_chat_windows": op3_chat_windows,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_warc_round_trip": op6_warc_round_trip,
