@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvatica.llm import chat, exact_dedup, html_text, mixing, packing, quality, topk_search, toxicity, warc
+from sylvatica.llm import chat, exact_dedup, html_text, mixing, near_dedup, packing, quality, topk_search, toxicity, warc
 from sylvatica.session import table
 
 
@@ -50,6 +50,10 @@ def op8_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.similar_groups(table(spark, sf_dir, "documents"), near_dedup.Rule(size=3, num=90, den=100))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.usable(table(spark, sf_dir, "embeddings"))
     return topk_search.search(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
@@ -64,6 +68,7 @@ QUERIES = {
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack_binary": op8_pack_binary,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_topk_search": op10_topk_search,
 }
 
@@ -114,4 +119,16 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op9_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS MATERIALIZED (
+          SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        e AS MATERIALIZED (SELECT row, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (SELECT a.row AS a, b.row AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.row < b.row AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90 GROUP BY a.row, b.row),
+        l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * i >= 90 * (na + nb - i)),
+        u AS MATERIALIZED (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+        r(x, y) AS (SELECT row, row FROM s UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(t.doc_id) FROM r JOIN s AS t ON t.row = r.y WHERE r.x = s.row) AS component_id FROM s
+    """,
 }
