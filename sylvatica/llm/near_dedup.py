@@ -123,6 +123,8 @@ def signatures(text: np.ndarray, value: np.ndarray, size: np.ndarray, plan: list
     A segment's signature is a hash of the sum of its shingles' hashes, so that of the segment without one
     shingle is a subtraction away.
     """
+    if not plan:  # all sets are so small that only equal ones link
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     lows, least = np.array([b.low for b in plan]), np.array([b.smallest for b in plan])
     segments, deletions, spare = (np.array([getattr(b, k) for b in plan]) for k in ("segments", "deletions", "spare"))
     highs = np.array([b.high for b in plan])
@@ -322,11 +324,13 @@ def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) ->
         else:
             pairs = open_.where((F.col("node") != F.col("hub")) & (F.col("component") != F.col("home"))).select(*_pair("node", "hub"))
         pairs = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(pairs, sets, texts, rule))
-        found = components(links)
+        new = _verified(pairs, sets, texts, rule)
+        tested = tested.unionByName(pairs)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = components(links)
         if last:
             break
-        tested = tested.unionByName(pairs)
     return found
 
 
