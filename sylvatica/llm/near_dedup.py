@@ -16,7 +16,7 @@ the likeliest to be equal by chance.  All segments are indexed; only those not p
 Candidates.  Equal sets are one node from the start.  A bucket (nodes that share a segment's signature) is
 not expanded into pairs: its nodes are first compared with one of them, its hub, links are joined into
 components, and only nodes of different components are compared further, with other hubs and at last with
-each other.  No pair that could join two components is left untested, so the components are those of all links.
+each other, block by block in place.  No pair that could join two components is left untested, so the components are those of all links.
 A pair is verified on whole sets after a filter that bounds the difference from below by that of two small
 histograms.
 
@@ -47,9 +47,11 @@ BAND = 1.5
 #: Bins of the histogram that a pair must pass before its texts are compared.
 BINS = 64
 #: Rounds with one hub per bucket before the remaining pairs of different components are all compared.
-HUB_ROUNDS = 6
+HUB_ROUNDS = 3
 #: Remaining pairs, as a multiple of the rows of the buckets, that are compared without another round.
-FEW_PAIRS = 2
+FEW_PAIRS = 128
+#: Nodes of a bucket that are compared with each other in one group.
+PART = 1024
 
 
 @dataclass(frozen=True)
@@ -219,11 +221,11 @@ def _index(rule: Rule, plan: list[Band]):
 
 
 def _buckets(docs: DataFrame, rule: Rule, largest: int, text: str) -> DataFrame:
-    """(signature, node, probe) of the buckets that hold two nodes or more and make candidates."""
+    """(signature, node, probe, n: the bucket's rows) of the buckets that hold two nodes or more and make candidates."""
     rows = docs.select(text_or_empty(text).alias("text")).mapInArrow(_index(rule, bands(rule, largest)), INDEX)
     same = Window.partitionBy("signature")
-    marked = rows.select("*", F.min("node").over(same).alias("first"), F.max("node").over(same).alias("last"), F.max("probe").over(same).alias("live"))
-    return settle(marked.where((F.col("first") != F.col("last")) & F.col("live")).select("signature", "node", "probe"), "buckets")
+    marked = rows.select("*", F.min("node").over(same).alias("first"), F.max("node").over(same).alias("last"), F.max("probe").over(same).alias("live"), F.count(F.lit(1)).over(same).alias("n"))
+    return settle(marked.where((F.col("first") != F.col("last")) & F.col("live")).select("signature", "node", "probe", "n"), "buckets")
 
 
 def _close(rule: Rule):
@@ -295,8 +297,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) -
     return settle(whole.mapInArrow(_exact(rule), "a long, b long"), "links")
 
 
-def _pair(left: str, right: str) -> list:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+def _compare(rule: Rule):
+    """All pairs of different components within each group of rows sorted by (signature, left, right), of which
+    those go on that a link is possible for by size and histogram.  Pairs are compared in place, block against
+    block, and not made into rows."""
+
+    def pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node, home, size = (group[c].to_numpy() for c in ("node", "component", "n_shingles"))
+        probe = group["probe"].to_numpy()
+        part, left, right = group["part"].to_numpy(), group["left"][0].as_py(), group["right"][0].as_py()
+        bins = np.frombuffer(b"".join(group["histogram"].to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+        first = np.flatnonzero(part == left)
+        second = np.flatnonzero(part == right)
+        for i in first:
+            others = second[second > i] if left == right else second
+            fits = others[(home[others] != home[i]) & (probe[others] | probe[i])]
+            least = np.maximum(size[fits], size[i])
+            fits = fits[rule.linked(size[fits], size[i], np.minimum(size[fits], size[i])) & (least > 0)]
+            if len(fits):
+                differ = np.abs(bins[fits] - bins[i]).sum(axis=1)
+                both = np.minimum((size[fits] + size[i] - differ) // 2, np.minimum(size[fits], size[i]))
+                fits = fits[rule.linked(size[fits], size[i], both)]
+            if len(fits):
+                yield np.minimum(node[fits], node[i]), np.maximum(node[fits], node[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            part = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
+            held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
+            yield from flush(held, last=False)
+            held = held.slice(starts(held)[-1])
+        if held is not None and held.num_rows:
+            yield from flush(held, last=True)
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        key = [rows[c].to_numpy() for c in ("signature", "left", "right")]
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+        return np.flatnonzero(new)
+
+    def flush(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        edge = [*starts(rows), rows.num_rows]
+        for start, stop in zip(edge[: len(edge) - 1 - (not last)], edge[1:], strict=False):
+            found = list(pairs(rows.slice(start, stop - start).combine_chunks()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(end)) for end in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _open_pairs(open_: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs of open buckets that might link.  A large bucket is cut into parts, and every pair of parts is
+    a group of its own, so that no group holds more than two parts."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    described = open_.join(sets, "node").select("signature", "node", "probe", "component", "n_shingles", "histogram", parts.alias("parts"))
+    described = described.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    spread = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")}).drop("parts", "other")
+    sorted_ = spread.repartition(F.col("signature"), F.col("left"), F.col("right")).sortWithinPartitions("signature", "left", "right")
+    return sorted_.mapInArrow(_compare(rule), "a long, b long")
 
 
 def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -305,24 +364,25 @@ def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) ->
     links = tested = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "node long, component long")
     rows = buckets.count()
+    # a node with many neighbours is likely the text that the others were made from: a good hub
+    weights = settle(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     for turn in range(HUB_ROUNDS + 1):
-        members = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = buckets.drop("n").join(weights, "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         same = Window.partitionBy("signature")
-        open_ = members.withColumns({"first": F.min("component").over(same), "last": F.max("component").over(same)}).where("first <> last")
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("hub"), F.col("component").alias("home"))
-        hubs = open_.select("signature", "node", "probe", "component", F.min(F.when(F.col("probe"), order)).over(same).alias("h"))
-        open_ = settle(hubs.select("signature", "node", "probe", "component", "h.hub", "h.home"), "open")
-        size = open_.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
-        left = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        open_ = members.withColumns({"first": F.min("component").over(same), "last": F.max("component").over(same), "n": F.count(F.lit(1)).over(same)}).where("first <> last")
+        rank = -F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        order = F.struct(rank.alias("o"), F.col("node").alias("hub"), F.col("component").alias("home"))
+        hubs = open_.select("signature", "node", "probe", "component", "n", F.min(F.when(F.col("probe"), order)).over(same).alias("h"))
+        open_ = settle(hubs.select("signature", "node", "probe", "component", "n", "h.hub", "h.home"), "open")
+        left = open_.agg(F.sum(F.col("n") - 1)).first()[0] or 0
         if not left:
             break
-        last = turn > 0 and (turn == HUB_ROUNDS or left <= FEW_PAIRS * rows)
+        last = turn == HUB_ROUNDS or (turn > 0 and left <= FEW_PAIRS * rows)
         if last:
-            x = open_.select("signature", F.col("node").alias("x"), F.col("probe").alias("px"), F.col("component").alias("cx"))
-            y = open_.select("signature", F.col("node").alias("y"), F.col("probe").alias("py"), F.col("component").alias("cy"))
-            pairs = x.join(y, "signature").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.col("px") | F.col("py"))).select(*_pair("x", "y"))
+            pairs = _open_pairs(open_, sets, rule)
         else:
-            pairs = open_.where((F.col("node") != F.col("hub")) & (F.col("component") != F.col("home"))).select(*_pair("node", "hub"))
+            apart = open_.where((F.col("node") != F.col("hub")) & (F.col("component") != F.col("home")))
+            pairs = apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         pairs = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         new = _verified(pairs, sets, texts, rule)
         tested = tested.unionByName(pairs)
@@ -340,7 +400,7 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias(text))
     rows = settle(source.mapInArrow(_sets(rule), SETS), "sets")
     classes = settle(
-        rows.where("n_shingles > 0").groupBy("node", "low").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members")), "classes"
+        rows.where("n_shingles > 0").groupBy("node", "low").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("histogram").alias("histogram"), F.count(F.lit(1)).alias("members")), "classes"
     )
     figures = classes.agg(F.max("n_shingles").alias("largest"), F.count(F.lit(1)).alias("n")).first()
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -351,8 +411,7 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     buckets = _buckets(source, rule, figures["largest"], text)
     inside = buckets.select("node").distinct()
     texts = _texts(source, classes.join(inside, "node"), rule, text)
-    one = rows.where("n_shingles > 0").join(inside, "node", "left_semi").dropDuplicates(["node"])
-    sets = settle(one.select("node", "n_shingles", "histogram"), "node-sets")
+    sets = settle(classes.join(inside, "node").select("node", "n_shingles", "histogram"), "node-sets")
     found = _links(buckets, sets, texts, rule)
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("members").alias("size"))
