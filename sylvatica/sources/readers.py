@@ -85,7 +85,16 @@ def read_media(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of a settings file; of a key set twice the first counts."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), setting(F.col("value")).alias("s")).where(F.col("s").isNotNull())
+    # a hidden file, which Spark's readers pass over, in any store: opened by itself
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    rows = spark.createDataFrame(list(enumerate(text.splitlines())), "n long, value string")
+    lines = rows.select("n", setting(F.col("value")).alias("s")).where(F.col("s").isNotNull())
     return lines.groupBy(F.col("s.key").alias("key")).agg(F.min_by("s.value", "n").alias("value"))
 
 
