@@ -3,7 +3,7 @@
 The features are densities of lexicon words (plain, and found only after undoing obfuscation), the share of
 hits near a second-person word, capitals, punctuation and obfuscation rates.  One lexicon is fixed below;
 another is learned from the training labels: words and stems
-that stand after many different words, nearly always in toxic texts.  Both are held
+with the log odds of standing in toxic text.  Both are held
 as 64-bit word hashes and looked up for a whole Arrow batch at once.
 
 Only the model is fitted on a sample: SAMPLE labelled rows at most, chosen by a hash of their doc_id, none
@@ -27,20 +27,24 @@ from pyspark.sql import functions as F
 
 from sylvatica.llm.boosting import Boosted, boost
 from sylvatica.llm.storage import settle, text_or_empty
-from sylvatica.llm.words import LOWER, Words, distinct, hashes, mix, slices, words
+from sylvatica.llm.words import LOWER, distinct, inverse_power, mix, power, slices, words
 
 SAMPLE = 12_000
 FOLDS = 5
-#: The learned lexicon: at most LEARNED words and stems, out of CANDIDATES that stand in at least MIN_TEXTS toxic
-#: texts of the sample, each after at least MIN_CONTEXTS different words and so mostly in toxic texts.
-LEARNED = 256
-CANDIDATES = 4_096
+#: The learned lexicon: at most LEARNED words and stems out of CANDIDATES, each in at least MIN_TEXTS toxic texts of the
+#: sample, whose odds in toxic text are LIFT times those in other text or more, by MIN_Z standard errors or more.
+LEARNED = 512
+CANDIDATES = 8_192
 MIN_TEXTS = 4
-MIN_CONTEXTS = 8
-MIN_PRECISION = 0.9
-#: Lengths of stems in bytes.
-STEMS = (4, 5, 6)
+LIFT = 4.0
+MIN_Z = 4.0
+#: Lengths of stems in bytes; the first is the head by which words are sifted.
+STEMS = (4, 5, 6, 7, 8, 9)
+#: Parts of the sample: a text's features for training come from a lexicon learned on the other parts.
+PARTS = 4
 NEAR = 3
+#: From so many toxic texts on, the calibration uses a part of the sample that the trees do not see.
+CALIBRATE_APART = 80
 
 #: Abusive words in the four languages of the corpus; none is an ordinary word of another of them.
 ABUSE = """
@@ -62,7 +66,7 @@ tu te toi ton ta tes vous votre vos toi-même tú ti tuyo tuya vos usted ustedes
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
 
 FEATURES = (
-    "abuse_density", "abuse_count", "learned_density", "learned_count", "hidden_density", "near_second_person", "second_person_density",
+    "abuse_density", "abuse_count", "learned_density", "learned_count", "learned_sum", "learned_best", "hidden_density", "near_second_person", "second_person_density",
     "upper_share", "shouted_words", "exclamations", "questions", "repeated_marks", "symbol_share", "digit_in_word", "masked_words", "words", "abuse_spread",
 )
 
@@ -83,6 +87,20 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*+/<=>@\\^_|~"]] = True
 
 
+def prefix_sums(value: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over the kept bytes; ``place`` is each byte's rank among them."""
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * power(int(place[-1]) + 2)[place], out=total[1:])
+    return total
+
+
+def run_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Hashes of byte runs whose first kept byte has the given rank."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    return mix((sums[end] - sums[start]) * inverse_power(int(rank.max()) + 1)[rank])
+
+
 def _member(value: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(value), bool)
@@ -91,55 +109,104 @@ def _member(value: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def letters_hash(word: str) -> int:
-    """The hash of a word's letters, as ``profile`` gives it."""
+    """The hash of a word's letters, as ``Profile`` gives it."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(profile(raw, np.array([0, len(raw)])).letters[0])
+    return int(Profile(raw, np.array([0, len(raw)])).letters[0])
 
 
-def lexicon(entries: list[str]) -> np.ndarray:
+def fixed_lexicon(entries: list[str]) -> np.ndarray:
     return np.unique(np.array([letters_hash(w) for w in entries], np.uint64))
 
 
 @dataclass
-class Profile:
-    """The words of a run of texts with hashes of their letters: plain, with obfuscation undone, and their
-    stems, the first letters of words long enough."""
+class Lexicon:
+    """Learned words and stems: hashes in order, the log odds of each, and a sieve of their heads."""
 
-    found: Words
-    letters: np.ndarray
-    folded: np.ndarray
-    stems: list[tuple[np.ndarray, np.ndarray]]  # (index of the word, hash) for each of STEMS
+    units: np.ndarray
+    odds: np.ndarray
+    heads: np.ndarray  # booleans by the low 16 bits of the head's hash
 
-    def units(self) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the word, hash) of all words and all stems."""
-        every = [(np.arange(len(self.letters)), self.letters), *self.stems]
-        return np.concatenate([i for i, _ in every]), np.concatenate([h for _, h in every])
+    @staticmethod
+    def of(units: np.ndarray, odds: np.ndarray, heads: np.ndarray) -> Lexicon:
+        order = np.argsort(units)
+        sieve = np.zeros(1 << 16, bool)
+        sieve[(heads & np.uint64(0xFFFF)).astype(np.int64)] = True
+        return Lexicon(units[order], odds[order], sieve)
 
+    @staticmethod
+    def empty() -> Lexicon:
+        return Lexicon.of(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64))
 
-def profile(buffer: np.ndarray, offsets: np.ndarray) -> Profile:
-    found = words(buffer, offsets)
-    start, end = found.start, found.end
-    if not len(start):
-        none = np.zeros(0, np.uint64)
-        return Profile(found, none, none, [(np.zeros(0, np.int64), none) for _ in STEMS])
-    keep = _LETTER[buffer]
-    place = np.cumsum(keep) - keep
-    value = np.where(keep, _PLAIN[LOWER[buffer]], np.uint64(0))
-    where = np.append(np.flatnonzero(keep), len(buffer))
-    first = place[start]
-    count = np.append(place, place[-1] + keep[-1])[end] - first
-    stems = []
-    for k in STEMS:
-        long = np.flatnonzero(count > k)
-        stems.append((long, mix(hashes(value, start[long], where[first[long] + k - 1] + 1, place) + np.uint64(k))))
-    kept = _KEPT[buffer]
-    folded = hashes(np.where(kept, _PLAIN[_FOLD[buffer]], np.uint64(0)), start, end, np.cumsum(kept) - kept)
-    return Profile(found, hashes(value, start, end, place), folded, stems)
-
-
-def features(buffer: np.ndarray, offsets: np.ndarray, learned: np.ndarray, abuse: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def look_up(self, value: np.ndarray) -> np.ndarray:
+        """The log odds of each hash, 0 for one that was not learned."""
+        if not len(self.units):
+            return np.zeros(len(value))
+        at = np.minimum(np.searchsorted(self.units, value), len(self.units) - 1)
+        return np.where(self.units[at] == value, self.odds[at], 0.0)
+
+
+class Profile:
+    """The words of a run of texts with hashes of their letters: plain, with obfuscation undone, and of their
+    stems, the first letters of words that are longer."""
+
+    def __init__(self, buffer: np.ndarray, offsets: np.ndarray) -> None:
+        self.found = found = words(buffer, offsets)
+        self.start, end = found.start, found.end
+        if not len(end):
+            self.letters = self.folded = self.count = np.zeros(0, np.uint64)
+            return
+        keep = _LETTER[buffer]
+        self.place = np.cumsum(keep) - keep
+        value = np.where(keep, _PLAIN[LOWER[buffer]], np.uint64(0))
+        self.sums = prefix_sums(value, self.place)
+        self.where = np.append(np.flatnonzero(keep), len(buffer))
+        self.first = self.place[self.start]
+        self.count = np.append(self.place, self.place[-1] + keep[-1])[end] - self.first
+        self.letters = run_hashes(self.sums, self.start, end, self.first)
+        kept = _KEPT[buffer]
+        place = np.cumsum(kept) - kept
+        odd = np.flatnonzero(np.append(place, place[-1] + kept[-1])[end] - place[self.start] != self.count)
+        self.folded = self.letters.copy()  # words without a sign that stands for a letter are the same
+        self.folded[odd] = run_hashes(prefix_sums(np.where(kept, _PLAIN[_FOLD[buffer]], np.uint64(0)), place), self.start[odd], end[odd], place[self.start[odd]])
+
+    def stem(self, k: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, hash) of the first k letters of those words in ``of`` that are longer."""
+        long = of[self.count[of] > k]
+        end = self.where[self.first[long] + k - 1] + 1
+        return long, mix(run_hashes(self.sums, self.start[long], end, self.first[long]) + np.uint64(k))
+
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the word, hash, hash of its head) of all words and all stems; a short word is its own head."""
+        every = np.arange(len(self.letters))
+        if not len(every):
+            return every, self.letters, self.letters
+        head = self.letters.copy()
+        at, value = self.stem(STEMS[0], every)
+        head[at] = value
+        parts = [(every, self.letters), (at, value), *[self.stem(k, every) for k in STEMS[1:]]]
+        index = np.concatenate([i for i, _ in parts])
+        return index, np.concatenate([h for _, h in parts]), head[index]
+
+    def odds(self, lexicon: Lexicon) -> np.ndarray:
+        """The largest log odds of each word and its stems.  Words whose head no entry has are passed over."""
+        every = np.arange(len(self.letters))
+        out = np.zeros(len(every))
+        if not len(every) or not len(lexicon.units):
+            return out
+        head = self.letters.copy()
+        at, value = self.stem(STEMS[0], every)
+        head[at] = value
+        some = np.flatnonzero(lexicon.heads[(head & np.uint64(0xFFFF)).astype(np.int64)])
+        out[some] = lexicon.look_up(self.letters[some])
+        for k in STEMS:
+            at, value = self.stem(k, some)
+            out[at] = np.maximum(out[at], lexicon.look_up(value))
+        return out
+
+
+def features(buffer: np.ndarray, offsets: np.ndarray, learned: Lexicon, abuse: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each text."""
-    p = profile(buffer, offsets)
+    p = Profile(buffer, offsets)
     found, n = p.found, len(offsets) - 1
     text, count = found.text, found.count().astype(float)
     per_word = 1 / np.maximum(count, 1)
@@ -153,10 +220,14 @@ def features(buffer: np.ndarray, offsets: np.ndarray, learned: np.ndarray, abuse
         return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
 
     plain = _member(p.letters, abuse)
-    taught = _member(p.letters, learned)
-    for at, stem in p.stems:
-        taught[at] |= _member(stem, learned)
-    hidden = (_member(p.folded, abuse) | _member(p.folded, learned)) & ~plain & ~taught
+    odds = p.odds(learned)
+    taught = odds > 0
+    learned_sum = np.bincount(text, odds, minlength=n) if len(text) else np.zeros(n)
+    learned_best = np.zeros(n)
+    np.maximum.at(learned_best, text[taught], odds[taught])
+    odd = np.flatnonzero(p.folded != p.letters)
+    hidden = np.zeros(len(text), bool)
+    hidden[odd] = (_member(p.folded[odd], abuse) | (learned.look_up(p.folded[odd]) > 0)) & ~plain[odd] & ~taught[odd]
     hit = plain | taught | hidden
     person = _member(p.letters, second)
     near = np.zeros(len(text), bool)
@@ -180,7 +251,7 @@ def features(buffer: np.ndarray, offsets: np.ndarray, learned: np.ndarray, abuse
         np.maximum.at(last, text[hit], place[hit] + 1)
     letters = np.maximum(per_byte(_LETTER[buffer]), 1)
     columns = [
-        per_text(plain) * per_word, per_text(plain), per_text(taught) * per_word, per_text(taught), per_text(hidden) * per_word,
+        per_text(plain) * per_word, per_text(plain), learned_sum * per_word, per_text(taught), learned_sum, learned_best, per_text(hidden) * per_word,
         per_text(near) / np.maximum(hits, 1), per_text(person) * per_word,
         per_byte(upper) / letters, per_text((inside["upper"] == length) & (length > 2)) * per_word,
         per_byte(buffer == 33) / size, per_byte(buffer == 63) / size, per_byte(doubled) / size, per_byte(symbol) / size,
@@ -205,7 +276,7 @@ def training_labels(labels: DataFrame, sample: int = SAMPLE, identifier: str = "
 @dataclass
 class Model:
     trees: Boosted
-    learned: np.ndarray
+    learned: Lexicon
     abuse: np.ndarray
     second: np.ndarray
 
@@ -218,8 +289,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         y = batch.column(1).to_numpy()
         for first, last, buffer, offsets in slices(batch.column(0)):
-            p = profile(buffer, offsets)
-            at, unit = p.units()
+            p = Profile(buffer, offsets)
+            at, unit, _ = p.units()
             if not len(unit):
                 continue
             text, unit = distinct(p.found.text[at], unit)
@@ -229,64 +300,101 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(likely: np.ndarray):
-    """The (unit, hash of the word before, label) of each place where a unit of ``likely`` stands."""
+    """The (unit, its head, part, hash of the word before, label) of each place where a unit of ``likely`` stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(1).to_numpy()
+            y, part = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for first, last, buffer, offsets in slices(batch.column(0)):
-                p = profile(buffer, offsets)
-                at, unit = p.units()
+                p = Profile(buffer, offsets)
+                at, unit, head = p.units()
                 hit = _member(unit, likely)
-                at, unit = at[hit], unit[hit]
+                at, unit, head = at[hit], unit[hit], head[hit]
                 if len(at):
                     before = np.roll(p.letters, 1)[at]
-                    label = y[first:last][p.found.text[at]].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(before.view(np.int64)), pa.array(label)], names=["unit", "before", "bad"])
+                    text = p.found.text[at]
+                    columns = [unit.view(np.int64), head.view(np.int64), part[first:last][text], before.view(np.int64), y[first:last][text].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["unit", "head", "part", "before", "bad"])
 
     return run
 
 
-def learn_lexicon(rows: DataFrame, n: int, bad: int, size: int = LEARNED) -> np.ndarray:
-    """Hashes of words and stems that mark toxic texts, from (text, y) rows.
+def _log_odds(bad, good, all_bad, all_good):
+    """(log odds ratio, its standard errors) of counts in toxic and in other text."""
+    odds = np.log((bad + 0.5) / (all_bad + 1.0)) - np.log((good + 0.5) / (all_good + 1.0))
+    return odds, odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+
 
-    Candidates stand in enough toxic texts and mostly there.  Each is then counted once for each word that it
-    follows, so that copies of a text count once: what a few copied texts share is no mark of toxicity.
+def learn_lexicons(rows: DataFrame, n: int, bad: int, size: int = LEARNED) -> list[Lexicon]:
+    """Words and stems that mark toxic text, from (text, y, part) rows: one lexicon learned without each part,
+    and at last one learned on all.
+
+    Candidates stand in enough toxic texts.  Each is then counted once for each word that it follows, so that
+    copies of a text count once: what a few copied texts share is no mark of toxicity.
     """
-    frequent = (F.col("bad") >= max(MIN_TEXTS, bad // 50)) & (F.col("bad") >= F.col("n") * MIN_PRECISION)
     counts = rows.select("text", "y").mapInArrow(_frequencies, "unit long, n long, bad long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    likely = counts.where(frequent).orderBy(F.col("bad").desc(), "unit").limit(CANDIDATES).select("unit").collect()
+    good = F.col("n") - F.col("bad")
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((good + 0.5) / (n - bad + 1.0))
+    z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (good + 0.5))
+    frequent = counts.where(F.col("bad") >= max(MIN_TEXTS, bad // 100)).withColumn("z", z).where((odds > 0.7) & (F.col("z") > 1.0))
+    likely = frequent.orderBy(F.col("z").desc(), "unit").limit(CANDIDATES).select("unit").collect()
     table = np.unique(np.array([r["unit"] for r in likely], np.int64).view(np.uint64))
-    places = rows.select("text", "y").mapInArrow(_contexts(table), "unit long, before long, bad long").groupBy("unit", "before").agg(F.max("bad").alias("bad"))
-    spread = places.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    best = spread.where((F.col("bad") >= max(MIN_CONTEXTS, bad // 25)) & (F.col("bad") >= F.col("n") * MIN_PRECISION))
-    chosen = best.orderBy(F.col("bad").desc(), "unit").limit(size).select("unit").collect()
-    return np.unique(np.array([r["unit"] for r in chosen], np.int64).view(np.uint64))
+    if not len(table):
+        return [Lexicon.empty()] * (PARTS + 1)
+    places = rows.select("text", "y", "part").mapInArrow(_contexts(table), "unit long, head long, part int, before long, bad long")
+    once = places.groupBy("unit", "part", "before").agg(F.max("bad").alias("bad"), F.max("head").alias("head"))
+    spread = once.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.max("head").alias("head")).toArrow()
+    words_in = np.zeros((2, PARTS))
+    totals = rows.groupBy("y", "part").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("w")).collect()
+    for r in totals:
+        words_in[r["y"], r["part"]] = r["w"] or 0
+    at = np.searchsorted(table, spread["unit"].to_numpy().view(np.uint64))
+    seen = np.zeros((2, PARTS, len(table)))
+    part, hits = spread["part"].to_numpy(), spread["bad"].to_numpy()
+    np.add.at(seen, (1, part, at), hits)
+    np.add.at(seen, (0, part, at), spread["n"].to_numpy() - hits)
+    heads = np.zeros(len(table), np.uint64)
+    heads[at] = spread["head"].to_numpy().view(np.uint64)
+    out = []
+    for without in [*range(PARTS), None]:
+        use = [k for k in range(PARTS) if k != without]
+        odds_of, z_of = _log_odds(seen[1, use].sum(axis=0), seen[0, use].sum(axis=0), words_in[1, use].sum(), words_in[0, use].sum())
+        good_ones = np.flatnonzero((odds_of >= np.log(LIFT)) & (z_of >= MIN_Z))
+        best = good_ones[np.lexsort((table[good_ones], -z_of[good_ones]))][:size]
+        out.append(Lexicon.of(table[best], odds_of[best], heads[best]))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, learned_words: int = LEARNED) -> Model:
-    """Fit on a bounded sample: the texts stay on the executors, only features (some MB) reach the driver."""
+    """Fit on a bounded sample: the texts stay on the executors, only counts and features (some MB) reach the driver."""
     chosen = training_labels(labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = settle(rows, "toxicity-sample")
+    # copies mostly begin alike, and belong into one part
+    part = F.pmod(F.xxhash64(F.substring("text", 1, 24)), F.lit(PARTS)).cast("int")
+    rows = settle(rows.withColumn("part", part), "toxicity-sample")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).first()
     n, bad = totals["n"], totals["bad"] or 0
-    abuse, second = lexicon(ABUSE), lexicon(SECOND_PERSON)
-    learned = np.zeros(0, np.uint64)
-    if 0 < bad < n:
-        learned = learn_lexicon(rows, n, bad, learned_words)
+    abuse, second = fixed_lexicon(ABUSE), fixed_lexicon(SECOND_PERSON)
+    lexicons = learn_lexicons(rows, n, bad, learned_words) if 0 < bad < n else [Lexicon.empty()] * (PARTS + 1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, buffer, offsets in slices(batch.column(2)):
-                x = features(buffer, offsets, learned, abuse, second)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
-
-    measured = rows.select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
-    y = measured["y"].to_numpy()
+            parts = batch.column(2).to_numpy()
+            for first, last, buffer, offsets in slices(batch.column(3)):
+                x = np.zeros((last - first, len(FEATURES)))
+                for k in np.unique(parts[first:last]):
+                    own = parts[first:last] == k
+                    x[own] = features(buffer, offsets, lexicons[k], abuse, second)[own]
+                columns = [batch.column(i).slice(first, last - first) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "part", "x"])
+
+    measured = rows.select("doc_id", "y", "part", "text").mapInArrow(measure, "doc_id long, y int, part int, x array<double>").toArrow().sort_by("doc_id")
+    y, part = measured["y"].to_numpy(), measured["part"].to_numpy()
     x = np.stack(measured["x"].to_numpy()) if len(y) else np.zeros((0, len(FEATURES)))
-    fold = mix(measured["doc_id"].to_numpy().view(np.uint64)) % np.uint64(4) == 0
-    return Model(boost(x, y, fold=fold), learned, abuse, second)
+    # with few toxic texts all of them teach the trees, and the calibration too
+    fold = part == 0 if bad >= CALIBRATE_APART else np.zeros(len(y), bool)
+    least = max(1, min(8, bad // 8))
+    return Model(boost(x, y, fold=fold, least=least), lexicons[-1], abuse, second)
 
 
 def score_column(model: Model):

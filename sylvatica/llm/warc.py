@@ -13,7 +13,7 @@ against the total length, joined, and the chunked framing of the result is decod
 Defined cases: a null html is an empty payload; equal means the same SHA-256 and length; of rows that repeat
 the largest page_id of a group each is a response; a null page_id counts as the smallest and is read back as
 null; a null or odd url is written percent-encoded; an origin with a missing or repeated segment, or whose
-length or framing is wrong, is returned with ``complete`` false and null figures; other columns of the
+length, framing or digest is wrong, is returned with ``complete`` false and null figures; other columns of the
 input, whatever their names, are not read; an empty table gives an empty archive and no rows.
 """
 
@@ -234,7 +234,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         payload = entity(block)
                         found = base32_sha1(payload)
                         complete = digest in (None, found)
-                        size, digest = len(payload), found
+                        size, digest = len(payload) if complete else None, found
                     except ValueError:
                         pass
             kind = "response" if first["record_type"] == "continuation" else first["record_type"]

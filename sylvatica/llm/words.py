@@ -84,22 +84,22 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the byte runs [start, end) of a polynomial over ``values``; ``place`` gives each byte's
-    exponent where some bytes (with value 0) are left out."""
+def power(n: int) -> np.ndarray:
+    return _power(_BASE, n)
+
+
+def inverse_power(n: int) -> np.ndarray:
+    return _power(_BASE_INVERSE, n)
+
+
+def hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs [start, end) of a polynomial over ``values``."""
+    n = len(values)
     if not len(start):
         return np.zeros(0, np.uint64)
-    n = len(values)
-    if place is None:
-        terms = values * _power(_BASE, n)
-        shift = _power(_BASE_INVERSE, n)[start]
-    else:
-        power = _power(_BASE, int(place[-1]) + 2)
-        terms = values * power[place]
-        shift = _power(_BASE_INVERSE, int(place[-1]) + 2)[place[start]]
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(terms, out=total[1:])
-    return mix((total[end] - total[start]) * shift)
+    np.cumsum(values * power(n), out=total[1:])
+    return mix((total[end] - total[start]) * inverse_power(n)[start])
 
 
 def words(buffer: np.ndarray, offsets: np.ndarray) -> Words:
@@ -116,12 +116,6 @@ def words(buffer: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(buffer, offsets, start, end, text, hashes(_VALUE[LOWER[buffer]], start, end))
 
 
-def word_hash(word: str) -> int:
-    """The hash that ``words`` gives a single word."""
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(words(raw, np.array([0, len(raw)])).hash[0])
-
-
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every run of ``size`` words; a text with fewer words is one run, one without words none."""
     h, text = found.hash, found.text
