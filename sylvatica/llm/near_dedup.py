@@ -39,17 +39,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sylvatica.llm.graph import components
-from sylvatica.llm.storage import join_groups, settle, text_or_empty
+from sylvatica.llm.storage import discard, join_groups, settle, text_or_empty, tidy
 from sylvatica.llm.words import distinct, mix, shingles, slices, words
 
 #: Sizes in a band differ by this factor at most.
 BAND = 1.5
 #: Bins of the histogram that a pair must pass before its texts are compared.
-BINS = 64
+BINS = 256
 #: Rounds with one hub per bucket before the remaining pairs of different components are all compared.
 HUB_ROUNDS = 3
 #: Remaining pairs, as a multiple of the rows of the buckets, that are compared without another round.
 FEW_PAIRS = 128
+#: Buckets that a node shares with a hub at least to be compared with it before the last round.
+HUB_SHARES = 2
 #: Nodes of a bucket that are compared with each other in one group.
 PART = 1024
 
@@ -97,7 +99,7 @@ def bands(rule: Rule, largest: int) -> list[Band]:
             need = delta + 1
             mean = low / need
             # a set passes over its empty segments and its smallest: as many spare ones as it may have empty
-            spare = 1 + math.ceil(2 * need * math.exp(-mean))
+            spare = 1 + math.ceil(need * math.exp(-mean))
             # an allowance of 1 saves two segments and costs a signature per shingle of one
             deletions = 1 if need >= 4 and mean <= 16 else 0
             out.append(Band(low, high, min(low, rule.smallest(low)), need - deletions + spare, deletions, spare))
@@ -116,7 +118,7 @@ def set_key(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np
 def histogram(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     bin_ = (mix(value ^ np.uint64(0x77)) >> np.uint64(40)).astype(np.int64) % BINS
     counts = np.bincount(text * BINS + bin_, minlength=n * BINS).reshape(n, BINS)
-    return np.minimum(counts, 65_535).astype("<u2")
+    return np.minimum(counts, 255).astype(np.uint8)  # capped counts differ no more than the counts do
 
 
 def signatures(text: np.ndarray, value: np.ndarray, size: np.ndarray, plan: list[Band]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,8 +236,8 @@ def _close(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            a, b = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), "<u2").reshape(-1, BINS).astype(np.int64) for i in (4, 5))
-            least = np.abs(a - b).sum(axis=1)  # of the symmetric difference
+            a, b = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
+            least = np.abs(a - b).sum(axis=1, dtype=np.int64)  # of the symmetric difference
             both = np.minimum((n_a + n_b - least) // 2, np.minimum(n_a, n_b))
             keep = pa.array(rule.linked(n_a, n_b, both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
@@ -306,16 +308,15 @@ def _compare(rule: Rule):
         node, home, size = (group[c].to_numpy() for c in ("node", "component", "n_shingles"))
         probe = group["probe"].to_numpy()
         part, left, right = group["part"].to_numpy(), group["left"][0].as_py(), group["right"][0].as_py()
-        bins = np.frombuffer(b"".join(group["histogram"].to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32)
+        bins = np.frombuffer(b"".join(group["histogram"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
         first = np.flatnonzero(part == left)
         second = np.flatnonzero(part == right)
         for i in first:
             others = second[second > i] if left == right else second
             fits = others[(home[others] != home[i]) & (probe[others] | probe[i])]
-            least = np.maximum(size[fits], size[i])
-            fits = fits[rule.linked(size[fits], size[i], np.minimum(size[fits], size[i])) & (least > 0)]
+            fits = fits[rule.linked(size[fits], size[i], np.minimum(size[fits], size[i]))]
             if len(fits):
-                differ = np.abs(bins[fits] - bins[i]).sum(axis=1)
+                differ = np.abs(bins[fits] - bins[i]).sum(axis=1, dtype=np.int64)
                 both = np.minimum((size[fits] + size[i] - differ) // 2, np.minimum(size[fits], size[i]))
                 fits = fits[rule.linked(size[fits], size[i], both)]
             if len(fits):
@@ -383,8 +384,13 @@ def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) ->
         else:
             apart = open_.where((F.col("node") != F.col("hub")) & (F.col("component") != F.col("home")))
             pairs = apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            # a hub that meets a node in one bucket only is there by chance; the last round passes over nothing
+            pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= HUB_SHARES).select("a", "b")
         pairs = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        discard(open_)
+        tidy(spark)
         new = _verified(pairs, sets, texts, rule)
+        tidy(spark)
         tested = tested.unionByName(pairs)
         if not new.isEmpty():
             links = links.unionByName(new)
@@ -409,9 +415,11 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     if classes.groupBy("node").count().where("count > 1").limit(1).count():
         raise RuntimeError("two different sets share a 64-bit key; choose another seed for the words' hashes")
     buckets = _buckets(source, rule, figures["largest"], text)
+    tidy(docs.sparkSession)
     inside = buckets.select("node").distinct()
     texts = _texts(source, classes.join(inside, "node"), rule, text)
     sets = settle(classes.join(inside, "node").select("node", "n_shingles", "histogram"), "node-sets")
+    tidy(docs.sparkSession)
     found = _links(buckets, sets, texts, rule)
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("members").alias("size"))

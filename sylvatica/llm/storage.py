@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the files of shuffles that no plan refers to any more go now rather than at some later collection.
+
+    Spark deletes them once the driver's JVM has collected the objects that stand for them, which an idle
+    driver does rarely; a job of many steps would keep every step's shuffle on disk to its end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a settled table that nothing will read again."""
     spark = df.sparkSession
