@@ -52,6 +52,9 @@ HUB_ROUNDS = 3
 FEW_PAIRS = 128
 #: Buckets that a node shares with a hub at least to be compared with it before the last round.
 HUB_SHARES = 2
+#: Pairs that a task looks at, and of which it holds histograms, at once.
+PAIRS_AT_ONCE = 1 << 18
+HISTOGRAMS_AT_ONCE = 1 << 14
 #: Nodes of a bucket that are compared with each other in one group.
 PART = 1024
 
@@ -301,49 +304,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) -
 
 def _compare(rule: Rule):
     """All pairs of different components within each group of rows sorted by (signature, left, right), of which
-    those go on that a link is possible for by size and histogram.  Pairs are compared in place, block against
-    block, and not made into rows."""
-
-    def pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node, home, size = (group[c].to_numpy() for c in ("node", "component", "n_shingles"))
-        probe = group["probe"].to_numpy()
-        part, left, right = group["part"].to_numpy(), group["left"][0].as_py(), group["right"][0].as_py()
-        bins = np.frombuffer(b"".join(group["histogram"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        first = np.flatnonzero(part == left)
-        second = np.flatnonzero(part == right)
-        for i in first:
-            others = second[second > i] if left == right else second
-            fits = others[(home[others] != home[i]) & (probe[others] | probe[i])]
-            fits = fits[rule.linked(size[fits], size[i], np.minimum(size[fits], size[i]))]
-            if len(fits):
-                differ = np.abs(bins[fits] - bins[i]).sum(axis=1, dtype=np.int64)
-                both = np.minimum((size[fits] + size[i] - differ) // 2, np.minimum(size[fits], size[i]))
-                fits = fits[rule.linked(size[fits], size[i], both)]
-            if len(fits):
-                yield np.minimum(node[fits], node[i]), np.maximum(node[fits], node[i])
+    those go on that a link is possible for by size and histogram.  Pairs are compared in place, some ten
+    thousands at a time whatever the groups' sizes, and not made into rows."""
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = False
+        for name in ("signature", "left", "right"):
+            value = rows[name].to_numpy()
+            new[1:] |= value[1:] != value[:-1]
+        return np.flatnonzero(new)
+
+    def found(rows: pa.Table, stop: np.ndarray) -> pa.RecordBatch:
+        """``stop``: for each row the end of its group."""
+        node, home, size, probe, part, left, right = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "probe", "part", "left", "right"))
+        bins = np.frombuffer(b"".join(rows["histogram"].to_pylist()), np.uint8).reshape(-1, BINS)
+        after = stop - np.arange(rows.num_rows) - 1
+        sums = np.concatenate(([0], np.cumsum(after)))
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        row = 0
+        while row < rows.num_rows:
+            end = max(row + 1, int(np.searchsorted(sums, sums[row] + PAIRS_AT_ONCE, side="right")) - 1)
+            i = np.repeat(np.arange(row, end), after[row:end])
+            j = i + 1 + np.arange(len(i)) - np.repeat(sums[row:end] - sums[row], after[row:end])
+            row = end
+            fits = (home[i] != home[j]) & (probe[i] | probe[j]) & ((left[i] == right[i]) | (part[i] != part[j]))
+            i, j = i[fits], j[fits]
+            least = np.minimum(size[i], size[j])
+            fits = rule.linked(size[i], size[j], least)
+            i, j, least = i[fits], j[fits], least[fits]
+            keep = np.zeros(len(i), bool)
+            for at in range(0, len(i), HISTOGRAMS_AT_ONCE):
+                x, y = i[at : at + HISTOGRAMS_AT_ONCE], j[at : at + HISTOGRAMS_AT_ONCE]
+                differ = np.abs(bins[x].astype(np.int16) - bins[y]).sum(axis=1, dtype=np.int64)
+                both = np.minimum((size[x] + size[y] - differ) // 2, least[at : at + HISTOGRAMS_AT_ONCE])
+                keep[at : at + HISTOGRAMS_AT_ONCE] = rule.linked(size[x], size[y], both)
+            out_a.append(np.minimum(node[i[keep]], node[j[keep]]))
+            out_b.append(np.maximum(node[i[keep]], node[j[keep]]))
+        a, b = distinct(np.concatenate(out_a), np.concatenate(out_b))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             part = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
             held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
-            yield from flush(held, last=False)
-            held = held.slice(starts(held)[-1])
+            edge = starts(held)
+            if len(edge) > 1:  # the last group may go on in the next batch
+                yield found(held.slice(0, edge[-1]), np.repeat(edge[1:], np.diff(edge)))
+                held = held.slice(edge[-1])
         if held is not None and held.num_rows:
-            yield from flush(held, last=True)
-
-    def starts(rows: pa.Table) -> np.ndarray:
-        key = [rows[c].to_numpy() for c in ("signature", "left", "right")]
-        new = np.ones(rows.num_rows, bool)
-        new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
-        return np.flatnonzero(new)
-
-    def flush(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        edge = [*starts(rows), rows.num_rows]
-        for start, stop in zip(edge[: len(edge) - 1 - (not last)], edge[1:], strict=False):
-            found = list(pairs(rows.slice(start, stop - start).combine_chunks()))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(end)) for end in zip(*found, strict=True)], names=["a", "b"])
+            yield found(held, np.full(held.num_rows, held.num_rows))
 
     return run
 

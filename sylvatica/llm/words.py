@@ -13,7 +13,8 @@ import pyarrow as pa
 
 #: The six white-space bytes that part words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-SLICE_BYTES = 2 << 20
+#: A run of texts makes some twenty arrays of eight bytes for each of its own.
+SLICE_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
@@ -82,6 +83,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         last = min(n, max(first + 1, last))
         yield first, last, bytes_[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def power(n: int) -> np.ndarray:
