@@ -66,11 +66,14 @@ def next_tasks(nodes: DataFrame, evidence: DataFrame, case: str | None = None) -
     """
     keys = [case] if case else []
     states = last_by_key(evidence.select(*keys, "node_id", "state", "ordinal"), [*keys, "node_id"], "ordinal").drop("ordinal")
-    tasks = nodes.crossJoin(F.broadcast(evidence.select(case).distinct())) if case else nodes  # a tree is small
-    open_ = tasks.join(states.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
     confirmed = states.where(F.col("state") == "confirmed").select(*keys, F.col("node_id").alias("parent_id"))
-    roots = open_.where(F.col("parent_id").isNull())
-    return roots.unionByName(open_.join(confirmed, [*keys, "parent_id"], "left_semi").select(*open_.columns))
+    columns = [*keys, *nodes.columns]
+    # only children of confirmed nodes and the roots can be open, so cases meet no other node
+    children = confirmed.join(nodes, "parent_id").select(*columns)
+    roots = nodes.where(F.col("parent_id").isNull())
+    if case:  # a tree has few roots; the cases stay spread
+        roots = evidence.select(case).distinct().crossJoin(F.broadcast(roots)).select(*columns)
+    return roots.unionByName(children).join(states.select(*keys, "node_id"), [*keys, "node_id"], "left_anti").select(*columns)
 
 
 def feature_evidence_violations(evidence: DataFrame, values: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def candidates(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     asked = evidence.select("case_id", "release_id", F.col("feature_id").alias("feature_name"), F.col("value_id").alias("vocab_id")).distinct()
     sizes = asked.groupBy("case_id", "release_id").agg(F.count(F.lit(1)).alias("asked"))
     releases = sizes.groupBy("case_id").agg(F.count(F.lit(1)).alias("releases"))
-    met = claims.select("release_id", "taxon_name", "feature_name", "vocab_id").distinct().join(asked, ["release_id", "feature_name", "vocab_id"])
+    met = claims.join(asked, ["release_id", "feature_name", "vocab_id"]).select("case_id", "release_id", "taxon_name", "feature_name", "vocab_id").distinct()
     whole = met.groupBy("case_id", "release_id", "taxon_name").agg(F.count(F.lit(1)).alias("met")).join(sizes, ["case_id", "release_id"]).where("met = asked")
     return whole.groupBy("case_id", "taxon_name").agg(F.count(F.lit(1)).alias("agreeing")).join(releases, "case_id").where("agreeing = releases").select("case_id", "taxon_name")
 
