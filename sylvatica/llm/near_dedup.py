@@ -47,16 +47,14 @@ BAND = 1.5
 #: Bins of the histogram that a pair must pass before its texts are compared.
 BINS = 256
 #: Rounds with one hub per bucket before the remaining pairs of different components are all compared.
-HUB_ROUNDS = 3
-#: Remaining pairs, as a multiple of the rows of the buckets, that are compared without another round.
-FEW_PAIRS = 128
+HUB_ROUNDS = 1
 #: Buckets that a node shares with a hub at least to be compared with it before the last round.
 HUB_SHARES = 2
 #: Pairs that a task looks at, and of which it holds histograms, at once.
 PAIRS_AT_ONCE = 1 << 18
 HISTOGRAMS_AT_ONCE = 1 << 14
 #: Nodes of a bucket that are compared with each other in one group.
-PART = 1024
+PART = 8192
 
 
 @dataclass(frozen=True)
@@ -179,7 +177,17 @@ def signatures(text: np.ndarray, value: np.ndarray, size: np.ndarray, plan: list
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
-SETS = "doc_id long, node long, low long, n_shingles long, histogram binary"
+def sketch(counts: np.ndarray) -> np.ndarray:
+    """The histogram in half the room: counts up to 15, two to a byte."""
+    low = np.minimum(counts, 15)
+    return low[:, 0::2] | (low[:, 1::2] << 4)
+
+
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.concatenate((packed & 15, packed >> 4), axis=1).astype(np.int8)
+
+
+SETS = "doc_id long, node long, low long, n_shingles long, histogram binary, sketch binary"
 INDEX = "signature long, node long, probe boolean"
 
 
@@ -200,8 +208,9 @@ def _sets(rule: Rule):
                 columns = [
                     batch.column(0).slice(first, last - first), pa.array(high.view(np.int64), mask=empty), pa.array(low.view(np.int64), mask=empty),
                     pa.array(size, pa.int64()), pa.array([b.tobytes() for b in bins], pa.binary(), mask=empty),
+                    pa.array([b.tobytes() for b in sketch(bins)], pa.binary(), mask=empty),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "low", "n_shingles", "histogram"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "low", "n_shingles", "histogram", "sketch"])
 
     return run
 
@@ -304,7 +313,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) -
 
 def _compare(rule: Rule):
     """All pairs of different components within each group of rows sorted by (signature, left, right), of which
-    those go on that a link is possible for by size and histogram.  Pairs are compared in place, some ten
+    those go on that a link is possible for by size and sketch.  Pairs are compared in place, some ten
     thousands at a time whatever the groups' sizes, and not made into rows."""
 
     def starts(rows: pa.Table) -> np.ndarray:
@@ -318,7 +327,7 @@ def _compare(rule: Rule):
     def found(rows: pa.Table, stop: np.ndarray) -> pa.RecordBatch:
         """``stop``: for each row the end of its group."""
         node, home, size, probe, part, left, right = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "probe", "part", "left", "right"))
-        bins = np.frombuffer(b"".join(rows["histogram"].to_pylist()), np.uint8).reshape(-1, BINS)
+        bins = unpacked(np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BINS // 2))
         after = stop - np.arange(rows.num_rows) - 1
         sums = np.concatenate(([0], np.cumsum(after)))
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -336,7 +345,7 @@ def _compare(rule: Rule):
             keep = np.zeros(len(i), bool)
             for at in range(0, len(i), HISTOGRAMS_AT_ONCE):
                 x, y = i[at : at + HISTOGRAMS_AT_ONCE], j[at : at + HISTOGRAMS_AT_ONCE]
-                differ = np.abs(bins[x].astype(np.int16) - bins[y]).sum(axis=1, dtype=np.int64)
+                differ = np.abs(bins[x] - bins[y]).sum(axis=1, dtype=np.int64)
                 both = np.minimum((size[x] + size[y] - differ) // 2, least[at : at + HISTOGRAMS_AT_ONCE])
                 keep[at : at + HISTOGRAMS_AT_ONCE] = rule.linked(size[x], size[y], both)
             out_a.append(np.minimum(node[i[keep]], node[j[keep]]))
@@ -360,10 +369,10 @@ def _compare(rule: Rule):
 
 
 def _open_pairs(open_: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs of open buckets that might link.  A large bucket is cut into parts, and every pair of parts is
+    """The pairs of open buckets that might link, by their sketches alone.  A large bucket is cut into parts, and every pair of parts is
     a group of its own, so that no group holds more than two parts."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    described = open_.join(sets, "node").select("signature", "node", "probe", "component", "n_shingles", "histogram", parts.alias("parts"))
+    described = open_.join(sets, "node").select("signature", "node", "probe", "component", "n_shingles", "sketch", parts.alias("parts"))
     described = described.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")}).drop("parts", "other")
     sorted_ = spread.repartition(F.col("signature"), F.col("left"), F.col("right")).sortWithinPartitions("signature", "left", "right")
@@ -375,7 +384,6 @@ def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) ->
     spark = buckets.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "node long, component long")
-    rows = buckets.count()
     # a node with many neighbours is likely the text that the others were made from: a good hub
     weights = settle(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     for turn in range(HUB_ROUNDS + 1):
@@ -386,10 +394,9 @@ def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) ->
         order = F.struct(rank.alias("o"), F.col("node").alias("hub"), F.col("component").alias("home"))
         hubs = open_.select("signature", "node", "probe", "component", "n", F.min(F.when(F.col("probe"), order)).over(same).alias("h"))
         open_ = settle(hubs.select("signature", "node", "probe", "component", "n", "h.hub", "h.home"), "open")
-        left = open_.agg(F.sum(F.col("n") - 1)).first()[0] or 0
-        if not left:
+        if open_.isEmpty():
             break
-        last = turn == HUB_ROUNDS or (turn > 0 and left <= FEW_PAIRS * rows)
+        last = turn == HUB_ROUNDS
         if last:
             pairs = _open_pairs(open_, sets, rule)
         else:
@@ -417,7 +424,7 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias(text))
     rows = settle(source.mapInArrow(_sets(rule), SETS), "sets")
     classes = settle(
-        rows.where("n_shingles > 0").groupBy("node", "low").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("histogram").alias("histogram"), F.count(F.lit(1)).alias("members")), "classes"
+        rows.where("n_shingles > 0").groupBy("node", "low").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("histogram").alias("histogram"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("members")), "classes"
     )
     figures = classes.agg(F.max("n_shingles").alias("largest"), F.count(F.lit(1)).alias("n")).first()
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -429,7 +436,7 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     tidy(docs.sparkSession)
     inside = buckets.select("node").distinct()
     texts = _texts(source, classes.join(inside, "node"), rule, text)
-    sets = settle(classes.join(inside, "node").select("node", "n_shingles", "histogram"), "node-sets")
+    sets = settle(classes.join(inside, "node").select("node", "n_shingles", "histogram", "sketch"), "node-sets")
     tidy(docs.sparkSession)
     found = _links(buckets, sets, texts, rule)
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -139,6 +139,21 @@ def test_every_linked_pair_shares_a_signature_that_makes_candidates(rule):
             assert any(s in left and (p or left[s]) for w, s, p in zip(who, signature, probe, strict=True) if w == 1), (size, drop, len(b))
 
 
+def test_histograms_bound_the_difference_from_below():
+    rng = np.random.default_rng(4)
+    for size in (3, 40, 500, 30_000):
+        sets = [np.unique(rng.integers(1, 2**62, size, dtype=np.uint64)) for _ in range(2)]
+        sets.append(np.unique(np.concatenate((sets[0][: size // 2], sets[1][: size // 3]))))
+        text, value = np.repeat(range(3), [len(s) for s in sets]), np.concatenate(sets)
+        bins = N.histogram(text, value, 3)
+        coarse = N.unpacked(N.sketch(bins))
+        assert coarse.shape == (3, N.BINS)
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            differ = len(np.setxor1d(sets[i], sets[j]))
+            assert np.abs(bins[i].astype(int) - bins[j]).sum() <= differ
+            assert np.abs(coarse[i].astype(int) - coarse[j]).sum() <= differ
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_against_union_find(spark, seed):
     rng = random.Random(seed)
