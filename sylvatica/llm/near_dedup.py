@@ -311,11 +311,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) -
     return settle(whole.mapInArrow(_exact(rule), "a long, b long"), "links")
 
 
-def _compare(rule: Rule):
-    """All pairs of different components within each group of rows sorted by (signature, left, right), of which
+def _compare(rule: Rule, plan: list[Band]):
+    """(a, b, shared, required): in how many buckets of the task a pair meets, and in how many at least if it links.
+
+    Under the band of its larger set, a set makes candidates with a fixed number of segments that allow for no
+    difference.  A pair that differs in d shingles agrees in all but d of them, so it meets in that number less d.
+
+    All pairs of different components within each group of rows sorted by (signature, left, right), of which
     those go on that a link is possible for by size and sketch.  Pairs are compared in place, some ten
     thousands at a time whatever the groups' sizes, and not made into rows."""
 
+    lows = np.array([b.low for b in plan])
+    probes = np.array([rule.delta(b.high) + 1 - 2 * b.deletions for b in plan])
+
     def starts(rows: pa.Table) -> np.ndarray:
         new = np.ones(rows.num_rows, bool)
         new[1:] = False
@@ -330,7 +338,8 @@ def _compare(rule: Rule):
         bins = unpacked(np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BINS // 2))
         after = stop - np.arange(rows.num_rows) - 1
         sums = np.concatenate(([0], np.cumsum(after)))
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        none = np.zeros(0, np.int64)
+        out_a, out_b, out_required = [none], [none], [none]
         row = 0
         while row < rows.num_rows:
             end = max(row + 1, int(np.searchsorted(sums, sums[row] + PAIRS_AT_ONCE, side="right")) - 1)
@@ -350,8 +359,18 @@ def _compare(rule: Rule):
                 keep[at : at + HISTOGRAMS_AT_ONCE] = rule.linked(size[x], size[y], both)
             out_a.append(np.minimum(node[i[keep]], node[j[keep]]))
             out_b.append(np.maximum(node[i[keep]], node[j[keep]]))
-        a, b = distinct(np.concatenate(out_a), np.concatenate(out_b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            x, y = size[i[keep]], size[j[keep]]
+            band = np.searchsorted(lows, np.maximum(x, y), side="right") - 1
+            differ = (x + y) * (rule.den - rule.num) // (rule.den + rule.num)
+            out_required.append(np.where(band >= 0, np.maximum(1, probes[band] - differ), 1))
+        a, b, required = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_required)
+        order = np.lexsort((b, a))
+        a, b, required = a[order], b[order], required[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first = np.flatnonzero(new)
+        shared = np.diff(np.append(first, len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (a[first], b[first], shared, required[first])], names=["a", "b", "shared", "required"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -368,7 +387,7 @@ def _compare(rule: Rule):
     return run
 
 
-def _open_pairs(open_: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _open_pairs(open_: DataFrame, sets: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
     """The pairs of open buckets that might link, by their sketches alone.  A large bucket is cut into parts, and every pair of parts is
     a group of its own, so that no group holds more than two parts."""
     parts = F.ceil(F.col("n") / PART).cast("int")
@@ -376,10 +395,12 @@ def _open_pairs(open_: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     described = described.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")}).drop("parts", "other")
     sorted_ = spread.repartition(F.col("signature"), F.col("left"), F.col("right")).sortWithinPartitions("signature", "left", "right")
-    return sorted_.mapInArrow(_compare(rule), "a long, b long")
+    met = sorted_.mapInArrow(_compare(rule, plan), "a long, b long, shared long, required long")
+    often = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("required").alias("required"))
+    return often.where("shared >= required").select("a", "b")
 
 
-def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
     """(node, component) of the nodes that link with another."""
     spark = buckets.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
@@ -398,7 +419,7 @@ def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) ->
             break
         last = turn == HUB_ROUNDS
         if last:
-            pairs = _open_pairs(open_, sets, rule)
+            pairs = _open_pairs(open_, sets, rule, plan)
         else:
             apart = open_.where((F.col("node") != F.col("hub")) & (F.col("component") != F.col("home")))
             pairs = apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
@@ -438,7 +459,7 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     texts = _texts(source, classes.join(inside, "node"), rule, text)
     sets = settle(classes.join(inside, "node").select("node", "n_shingles", "histogram", "sketch"), "node-sets")
     tidy(docs.sparkSession)
-    found = _links(buckets, sets, texts, rule)
+    found = _links(buckets, sets, texts, rule, bands(rule, figures["largest"]))
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("members").alias("size"))
     total = rows.count()
