@@ -53,6 +53,7 @@ HUB_SHARES = 2
 #: Pairs that a task looks at, and of which it holds histograms, at once.
 PAIRS_AT_ONCE = 1 << 18
 HISTOGRAMS_AT_ONCE = 1 << 14
+SUMS_AT_ONCE = 1 << 20
 #: Nodes of a bucket that are compared with each other in one group.
 PART = 8192
 
@@ -187,7 +188,7 @@ def unpacked(packed: np.ndarray) -> np.ndarray:
     return np.concatenate((packed & 15, packed >> 4), axis=1).astype(np.int8)
 
 
-SETS = "doc_id long, node long, low long, n_shingles long, histogram binary, sketch binary"
+SETS = "doc_id long, node long, low long, n_shingles long"
 INDEX = "signature long, node long, probe boolean"
 
 
@@ -203,14 +204,9 @@ def _sets(rule: Rule):
         for batch in batches:
             for first, last, text, value, size in _sets_of(batch.column(1), rule):
                 high, low = set_key(text, value, last - first)
-                bins = histogram(text, value, last - first)
                 empty = size == 0
-                columns = [
-                    batch.column(0).slice(first, last - first), pa.array(high.view(np.int64), mask=empty), pa.array(low.view(np.int64), mask=empty),
-                    pa.array(size, pa.int64()), pa.array([b.tobytes() for b in bins], pa.binary(), mask=empty),
-                    pa.array([b.tobytes() for b in sketch(bins)], pa.binary(), mask=empty),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "low", "n_shingles", "histogram", "sketch"])
+                columns = [batch.column(0).slice(first, last - first), pa.array(high.view(np.int64), mask=empty), pa.array(low.view(np.int64), mask=empty), pa.array(size, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "low", "n_shingles"])
 
     return run
 
@@ -282,7 +278,7 @@ def _exact(rule: Rule):
 
 
 def _texts(docs: DataFrame, members: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """(node, text): one text of each node of ``members`` (node, least: a doc_id that has it).
+    """(node, n_shingles, histogram, sketch, text): a text of each node of ``members`` (node, least: a doc_id that has it).
 
     As a doc_id may repeat with other texts, a row counts only if its text has the node's set.
     """
@@ -293,17 +289,20 @@ def _texts(docs: DataFrame, members: DataFrame, rule: Rule, text: str) -> DataFr
             for first, last, at, value, size in _sets_of(batch.column(1), rule):
                 node = set_key(at, value, last - first)[0].view(np.int64)
                 keep = pa.array((node == asked[first:last]) & (size > 0))
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(first, last - first).filter(keep) for i in (0, 1)], names=["node", "text"])
+                bins = histogram(at, value, last - first)
+                made = [pa.array(size, pa.int64()), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([b.tobytes() for b in sketch(bins)], pa.binary())]
+                columns = [batch.column(0).slice(first, last - first), *made, batch.column(1).slice(first, last - first)]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["node", "n_shingles", "histogram", "sketch", "text"])
 
     wanted = members.select("node", F.coalesce(F.col("least").cast("string"), F.lit("null")).alias("__id"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("__id"), text_or_empty(text).alias("text"))
-    found = rows.join(wanted, "__id").select("node", "text").mapInArrow(check, "node long, text string")
+    found = rows.join(wanted, "__id").select("node", "text").mapInArrow(check, "node long, n_shingles long, histogram binary, sketch binary, text string")
     return settle(found.dropDuplicates(["node"]), "node-texts")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs that link.  Both joins are plain shuffles on a node, which Spark splits where a hub is hot."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("histogram").alias(f"h_{k}"))
+    side = lambda k: texts.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("histogram").alias(f"h_{k}"))
     described = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "h_a", "h_b")
     close = settle(described.mapInArrow(_close(rule), "a long, b long"), "close")
     body = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"t_{k}"))
@@ -332,7 +331,15 @@ def _compare(rule: Rule, plan: list[Band]):
             new[1:] |= value[1:] != value[:-1]
         return np.flatnonzero(new)
 
-    def found(rows: pa.Table, stop: np.ndarray) -> pa.RecordBatch:
+    def summed(a: np.ndarray, b: np.ndarray, shared: np.ndarray, required: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((b, a))
+        a, b, shared, required = a[order], b[order], shared[order], required[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first = np.flatnonzero(new)
+        return [a[first], b[first], np.add.reduceat(shared, first) if len(first) else shared, required[first]]
+
+    def found(rows: pa.Table, stop: np.ndarray) -> list[np.ndarray]:
         """``stop``: for each row the end of its group."""
         node, home, size, probe, part, left, right = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "probe", "part", "left", "right"))
         bins = unpacked(np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BINS // 2))
@@ -364,34 +371,37 @@ def _compare(rule: Rule, plan: list[Band]):
             differ = (x + y) * (rule.den - rule.num) // (rule.den + rule.num)
             out_required.append(np.where(band >= 0, np.maximum(1, probes[band] - differ), 1))
         a, b, required = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_required)
-        order = np.lexsort((b, a))
-        a, b, required = a[order], b[order], required[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
-        shared = np.diff(np.append(first, len(a)))
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (a[first], b[first], shared, required[first])], names=["a", "b", "shared", "required"])
+        return summed(a, b, np.ones(len(a), np.int64), required)
+
+    def told(sums: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in sums], names=["a", "b", "shared", "required"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        sums = [np.zeros(0, np.int64)] * 4  # of all the task's buckets so far
         for batch in batches:
             part = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
             held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
             edge = starts(held)
             if len(edge) > 1:  # the last group may go on in the next batch
-                yield found(held.slice(0, edge[-1]), np.repeat(edge[1:], np.diff(edge)))
+                new = found(held.slice(0, edge[-1]), np.repeat(edge[1:], np.diff(edge)))
                 held = held.slice(edge[-1])
+                sums = summed(*[np.concatenate(pair) for pair in zip(sums, new, strict=True)])
+                if len(sums[0]) > SUMS_AT_ONCE:
+                    yield told(sums)
+                    sums = [np.zeros(0, np.int64)] * 4
         if held is not None and held.num_rows:
-            yield found(held, np.full(held.num_rows, held.num_rows))
+            new = found(held, np.full(held.num_rows, held.num_rows))
+            yield told(summed(*[np.concatenate(pair) for pair in zip(sums, new, strict=True)]))
 
     return run
 
 
-def _open_pairs(open_: DataFrame, sets: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
+def _open_pairs(open_: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
     """The pairs of open buckets that might link, by their sketches alone.  A large bucket is cut into parts, and every pair of parts is
     a group of its own, so that no group holds more than two parts."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    described = open_.join(sets, "node").select("signature", "node", "probe", "component", "n_shingles", "sketch", parts.alias("parts"))
+    described = open_.join(texts.select("node", "n_shingles", "sketch"), "node").select("signature", "node", "probe", "component", "n_shingles", "sketch", parts.alias("parts"))
     described = described.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")}).drop("parts", "other")
     sorted_ = spread.repartition(F.col("signature"), F.col("left"), F.col("right")).sortWithinPartitions("signature", "left", "right")
@@ -400,7 +410,7 @@ def _open_pairs(open_: DataFrame, sets: DataFrame, rule: Rule, plan: list[Band])
     return often.where("shared >= required").select("a", "b")
 
 
-def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
+def _links(buckets: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
     """(node, component) of the nodes that link with another."""
     spark = buckets.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
@@ -419,7 +429,7 @@ def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule, pl
             break
         last = turn == HUB_ROUNDS
         if last:
-            pairs = _open_pairs(open_, sets, rule, plan)
+            pairs = _open_pairs(open_, texts, rule, plan)
         else:
             apart = open_.where((F.col("node") != F.col("hub")) & (F.col("component") != F.col("home")))
             pairs = apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
@@ -428,7 +438,7 @@ def _links(buckets: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule, pl
         pairs = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         discard(open_)
         tidy(spark)
-        new = _verified(pairs, sets, texts, rule)
+        new = _verified(pairs, texts, rule)
         tidy(spark)
         tested = tested.unionByName(pairs)
         if not new.isEmpty():
@@ -445,7 +455,7 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias(text))
     rows = settle(source.mapInArrow(_sets(rule), SETS), "sets")
     classes = settle(
-        rows.where("n_shingles > 0").groupBy("node", "low").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("histogram").alias("histogram"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("members")), "classes"
+        rows.where("n_shingles > 0").groupBy("node", "low").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members")), "classes"
     )
     figures = classes.agg(F.max("n_shingles").alias("largest"), F.count(F.lit(1)).alias("n")).first()
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -457,9 +467,8 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     tidy(docs.sparkSession)
     inside = buckets.select("node").distinct()
     texts = _texts(source, classes.join(inside, "node"), rule, text)
-    sets = settle(classes.join(inside, "node").select("node", "n_shingles", "histogram", "sketch"), "node-sets")
     tidy(docs.sparkSession)
-    found = _links(buckets, sets, texts, rule, bands(rule, figures["largest"]))
+    found = _links(buckets, texts, rule, bands(rule, figures["largest"]))
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("members").alias("size"))
     total = rows.count()
