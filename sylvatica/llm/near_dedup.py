@@ -284,11 +284,16 @@ def _texts(docs: DataFrame, members: DataFrame, rule: Rule, text: str) -> DataFr
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # nodes of this task: rows that repeat a doc_id meet in one task
         for batch in batches:
             asked = batch.column(0).to_numpy()
             for first, last, at, value, size in _sets_of(batch.column(1), rule):
                 node = set_key(at, value, last - first)[0].view(np.int64)
-                keep = pa.array((node == asked[first:last]) & (size > 0))
+                fits = (node == asked[first:last]) & (size > 0)
+                for i in np.flatnonzero(fits):
+                    fits[i] = int(node[i]) not in seen
+                    seen.add(int(node[i]))
+                keep = pa.array(fits)
                 bins = histogram(at, value, last - first)
                 made = [pa.array(size, pa.int64()), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([b.tobytes() for b in sketch(bins)], pa.binary())]
                 columns = [batch.column(0).slice(first, last - first), *made, batch.column(1).slice(first, last - first)]
@@ -297,7 +302,7 @@ def _texts(docs: DataFrame, members: DataFrame, rule: Rule, text: str) -> DataFr
     wanted = members.select("node", F.coalesce(F.col("least").cast("string"), F.lit("null")).alias("__id"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("__id"), text_or_empty(text).alias("text"))
     found = rows.join(wanted, "__id").select("node", "text").mapInArrow(check, "node long, n_shingles long, histogram binary, sketch binary, text string")
-    return settle(found.dropDuplicates(["node"]), "node-texts")
+    return settle(found, "node-texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
