@@ -138,9 +138,23 @@ def species_path_table(spark: SparkSession, sf_dir: str) -> DataFrame:
       ON o.species IS NOT DISTINCT FROM s.species
 """)
 def obs_species_nullsafe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr("nullif(user_id, 3)").cast("string").alias("scientific_name"), F.col("props").alias("image_url"))
+    """The first 40 species only, as its SQL has it; ``obs_species_nullsafe_join_whole`` joins them all."""
+    return _species_seen(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer").where("c_custkey <= 40"))
+
+
+@query("""
+    SELECT DISTINCT 'guide ' || coalesce(s.species::VARCHAR, 'none') AS guide_species_name, s.species::VARCHAR AS species_inat, '' AS taxon_id, o.event_id AS observation_id, '' AS photo_id, o.props AS photo_url
+    FROM (SELECT *, nullif(user_id, 3) AS species FROM events) o JOIN (SELECT DISTINCT nullif(c_custkey, 3) AS species FROM customer) s
+      ON o.species IS NOT DISTINCT FROM s.species
+""")
+def obs_species_nullsafe_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _species_seen(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"))
+
+
+def _species_seen(events: DataFrame, customers: DataFrame) -> DataFrame:
+    seen = events.select(F.col("event_id").alias("id"), F.expr("nullif(user_id, 3)").cast("string").alias("scientific_name"), F.col("props").alias("image_url"))
     species = F.expr("nullif(c_custkey, 3)").cast("string")
-    paths = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.concat(F.lit("guide "), F.coalesce(species, F.lit("none"))).alias(keys.SPECIES), species.alias("species_inat"))
+    paths = customers.select(F.concat(F.lit("guide "), F.coalesce(species, F.lit("none"))).alias(keys.SPECIES), species.alias("species_inat"))
     return keys.observation_sample(seen, paths)
 
 

@@ -53,3 +53,9 @@ def test_plans_push_filters_and_prune_columns(spark, sf_dir):
     assert "ReadSchema: struct<p_brand:string,p_type:string>" in plan
     best = catalogue.QUERIES["topk_gallery"](spark, sf_dir)._jdf.queryExecution().toString()
     assert best.count("WindowGroupLimit") >= 2  # before and after the exchange
+
+
+def test_whole_species_join_keeps_every_event_of_a_species(spark, sf_small):
+    found = catalogue.QUERIES["obs_species_nullsafe_join_whole"](spark, sf_small)
+    seen = duckdb.sql(f"SELECT count(*) FROM '{sf_small}/events.parquet' WHERE user_id IN (SELECT c_custkey FROM '{sf_small}/customer.parquet')").fetchall()[0][0]
+    assert found.count() == seen > catalogue.QUERIES["obs_species_nullsafe_join"](spark, sf_small).count()
