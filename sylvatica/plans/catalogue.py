@@ -117,9 +117,30 @@ def route_pivot_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN f ON f.route_id = r.route_id WHERE l_linenumber = 1
 """)
 def species_path_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each order only, as its SQL has it; ``species_path_table_whole`` joins them all."""
     part, supplier, lines = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    return _paths_of_lines(part, supplier, lines.where("l_linenumber = 1"))
+
+
+@query("""
+    WITH p AS (SELECT part.*, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+    f AS (SELECT p_size AS route_id, """ + ", ".join(f"arg_min(p_type, p_partkey) FILTER (p_brand = '{b}') AS key_{f}" for b, f in _PART_FEATURES.items()) + """, NULL AS key_subgroup_3
+          FROM part WHERE p_brand IN (""" + ", ".join(f"'{b}'" for b in _PART_FEATURES) + """) GROUP BY p_size)
+    SELECT s_name AS guide_species_name, s_name AS species_inat, 's' || s_suppkey AS subspecies_inat, s_name AS suggested_species_id, l_linenumber AS species_page,
+           r.route_id AS key_page_range_start, r.route_id + 1 AS key_page_range_end, 'g' || (r.route_id % 5) AS key_group_number,
+           key_flower_type, key_plant_type, key_leaf_type, key_subgroup_1, key_subgroup_2, key_subgroup_3::VARCHAR AS key_subgroup_3, 'route ' || r.route_id AS key_description,
+           'link' AS species_inat_link, '' AS subspecies_inat_link, (l_returnflag = 'R')::DOUBLE AS warning_species_extraction, (l_linestatus = 'F')::DOUBLE AS warning_key_extraction
+    FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT DISTINCT p_size AS route_id FROM part) r ON r.route_id = l_partkey % 50
+    LEFT JOIN f ON f.route_id = r.route_id
+""")
+def species_path_table_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, supplier, lines = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    return _paths_of_lines(part, supplier, lines)
+
+
+def _paths_of_lines(part: DataFrame, supplier: DataFrame, lines: DataFrame) -> DataFrame:
     taxa = supplier.select(F.col("s_suppkey").alias("taxon_id"), F.col("s_name").alias("scientific_name"), F.col("s_name").alias("canonical_name"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("subspecies_inat"), F.lit("link").alias("species_inat_link"))
-    through = lines.where("l_linenumber = 1").select(
+    through = lines.select(
         F.col("l_suppkey").alias("taxon_id"), (F.col("l_partkey") % 50).cast("int").alias("route_id"), F.col("l_linenumber").alias("species_page"),
         (F.col("l_returnflag") == "R").alias("warning_species_extraction"), (F.col("l_linestatus") == "F").alias("warning_key_extraction"),
     )

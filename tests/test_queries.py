@@ -59,3 +59,10 @@ def test_whole_species_join_keeps_every_event_of_a_species(spark, sf_small):
     found = catalogue.QUERIES["obs_species_nullsafe_join_whole"](spark, sf_small)
     seen = duckdb.sql(f"SELECT count(*) FROM '{sf_small}/events.parquet' WHERE user_id IN (SELECT c_custkey FROM '{sf_small}/customer.parquet')").fetchall()[0][0]
     assert found.count() == seen > catalogue.QUERIES["obs_species_nullsafe_join"](spark, sf_small).count()
+
+
+def test_whole_path_table_keeps_every_line(spark, sf_dir, duck):
+    found = catalogue.QUERIES["species_path_table_whole"](spark, sf_dir)
+    lines = duck.execute("SELECT count(*) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey % 50 IN (SELECT p_size FROM part)").fetchone()[0]
+    assert found.count() == lines > catalogue.QUERIES["species_path_table"](spark, sf_dir).count()
+    assert found.select("species_page").distinct().count() > 1
