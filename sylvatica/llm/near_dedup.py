@@ -188,7 +188,7 @@ def unpacked(packed: np.ndarray) -> np.ndarray:
     return np.concatenate((packed & 15, packed >> 4), axis=1).astype(np.int8)
 
 
-SETS = "doc_id long, node long, low long, n_shingles long"
+SETS = "doc_id long, digest long, node long, low long, n_shingles long"
 INDEX = "signature long, node long, probe boolean"
 
 
@@ -202,11 +202,11 @@ def _sets_of(column: pa.Array, rule: Rule) -> Iterator[tuple[int, int, np.ndarra
 def _sets(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, text, value, size in _sets_of(batch.column(1), rule):
+            for first, last, text, value, size in _sets_of(batch.column(2), rule):
                 high, low = set_key(text, value, last - first)
                 empty = size == 0
-                columns = [batch.column(0).slice(first, last - first), pa.array(high.view(np.int64), mask=empty), pa.array(low.view(np.int64), mask=empty), pa.array(size, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "low", "n_shingles"])
+                columns = [*(batch.column(i).slice(first, last - first) for i in (0, 1)), pa.array(high.view(np.int64), mask=empty), pa.array(low.view(np.int64), mask=empty), pa.array(size, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "low", "n_shingles"])
 
     return run
 
@@ -454,18 +454,20 @@ def _links(buckets: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -
     return found
 
 
-def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
-    rule = rule or Rule()
+def _grouped(docs: DataFrame, rule: Rule, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of SETS, and (doc_id, digest, n_shingles, component, component_id) of those with words, if any have.
+
+    ``digest`` is that of the text, and tells apart the rows that share a doc_id; ``component`` is the component
+    itself, which has no component_id where all its ids are null.
+    """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias(text))
-    rows = settle(source.mapInArrow(_sets(rule), SETS), "sets")
+    rows = settle(source.select("doc_id", F.xxhash64(text).alias("digest"), text).mapInArrow(_sets(rule), SETS), "sets")
     classes = settle(
         rows.where("n_shingles > 0").groupBy("node", "low").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members")), "classes"
     )
     figures = classes.agg(F.max("n_shingles").alias("largest"), F.count(F.lit(1)).alias("n")).first()
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     if not figures["n"]:
-        return empty
+        return rows, None
     if classes.groupBy("node").count().where("count > 1").limit(1).count():
         raise RuntimeError("two different sets share a 64-bit key; choose another seed for the words' hashes")
     buckets = _buckets(source, rule, figures["largest"], text)
@@ -477,14 +479,30 @@ def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text"
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("members").alias("size"))
     total = rows.count()
-    homes = settle(join_groups(named.select("node", "low", "members", "component"), smallest, ["component"], "size", total).select("node", "low", "members", "component_id"), "homes")
-    linked = join_groups(rows.where("n_shingles > 0").select("doc_id", "node", "low", "n_shingles"), homes, ["node", "low"], "members", total)
-    return linked.select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    homes = settle(join_groups(named.select("node", "low", "members", "component"), smallest, ["component"], "size", total).select("node", "low", "members", "component", "component_id"), "homes")
+    linked = join_groups(rows.where("n_shingles > 0").select("doc_id", "digest", "node", "low", "n_shingles"), homes, ["node", "low"], "members", total)
+    return rows, linked.select("doc_id", "digest", "n_shingles", "component", "component_id")
+
+
+def similar_groups(docs: DataFrame, rule: Rule | None = None, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
+    rows, linked = _grouped(docs, rule or Rule(), text)
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return empty if linked is None else linked.select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
 def keep_one(docs: DataFrame, rule: Rule | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id, and all without words."""
-    groups = similar_groups(docs, rule, text)
-    keep = settle(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id")).distinct(), "kept")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__text": F.xxhash64(text_or_empty(text))})
-    return keyed.join(keep, "__id", "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    """``docs`` with one row of each component, one of those with its smallest doc_id, and all rows without words.
+
+    A row is known by its doc_id and its text's digest; of rows that share both, and so are copies, one stays.
+    """
+    worded = text_or_empty(text).rlike(r"[^\x20\x09-\x0D]")
+    empty = docs.where(~worded)
+    _, linked = _grouped(docs, rule or Rule(), text)
+    if linked is None:
+        return empty
+    least = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"))
+    number = lambda: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("__id")
+    keep = settle(least.select(number(), F.col("digest").alias("__text")), "kept")
+    keyed = docs.where(worded).select("*", number(), F.xxhash64(text_or_empty(text)).alias("__text"))
+    return keyed.join(keep, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns).unionByName(empty)

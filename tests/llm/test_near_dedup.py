@@ -114,6 +114,25 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5]
 
 
+def test_keep_one_keeps_one_row_of_each_component(spark):
+    """Ids that repeat over components, and null ids alone and beside numbered ones."""
+    rule, rng = N.Rule(5, 80, 100), random.Random(11)
+    texts = [t for _, t in corpus(5, 200)]
+    ids = [rng.choice((None, None, *range(40))) for _ in texts]
+    lone = [" ".join(rng.choices(WORDS, k=60)) for _ in range(3)]
+    texts += [lone[0], f"{lone[0]} more", f"{lone[0]} still", lone[1], f"{lone[1]} more", lone[2], lone[2], lone[2].upper(), "", "", " \t", None]
+    ids += [None, None, None, 900, None, 7, 7, 7, 8, 8, None, None]
+    least = {}
+    home = {i: c for i, _, c in brute(list(enumerate(texts)), rule)}
+    for i, c in home.items():
+        least.setdefault(c, set()).add(ids[i])
+    docs = spark.createDataFrame(list(zip(ids, texts, range(len(ids)), strict=True)), "doc_id long, text string, row long").repartition(4)
+    kept = N.keep_one(docs, rule).collect()
+    assert sorted(home[r.row] for r in kept) == sorted(set(home.values()))
+    for r in kept:
+        assert r.doc_id == min(least[home[r.row]] - {None}, default=None)
+
+
 @pytest.mark.parametrize("rule", [N.Rule(3, 90, 100), N.Rule(5, 80, 100), N.Rule(1, 60, 100)])
 def test_every_linked_pair_shares_a_signature_that_makes_candidates(rule):
     """The pigeonhole on random pairs at the very edge of the threshold."""
