@@ -9,7 +9,7 @@ Segments.  Under a band, shingles are hashed into segments.  A pair that differs
 cannot differ by more than its allowance in every segment, if the allowances plus one add up to more than
 delta: that is the pigeonhole.  A segment's allowance is 0 (the segments must be equal), 1 (equal, or one is
 the other without one shingle: the one-deletion neighbourhood is indexed) or -1 (the segment is passed over).
-One segment of a band gets allowance 1 where that pays, some segments more than needed are made, and each
+One segment of a band gets allowance 1 if at least four are needed, some more than needed are made, and each
 set spends the spare ones on passing over its costliest segments: those with fewest shingles, which are
 the likeliest to be equal by chance.  All segments are indexed; only those not passed over make candidates.
 
@@ -92,7 +92,7 @@ class Band:
 
 
 def bands(rule: Rule, largest: int) -> list[Band]:
-    """The bands up to ``largest``, with segments allotted by expected cost."""
+    """The bands up to ``largest``.  Allowances are a fixed rule, not a choice by estimated cost."""
     out, low = [], 1
     while low <= largest:
         high = max(low, math.ceil(low * BAND) - 1)
