@@ -9,16 +9,24 @@ Segments.  Under a band, shingles are hashed into segments.  A pair that differs
 cannot differ by more than its allowance in every segment, if the allowances plus one add up to more than
 delta: that is the pigeonhole.  A segment's allowance is 0 (the segments must be equal), 1 (equal, or one is
 the other without one shingle: the one-deletion neighbourhood is indexed) or -1 (the segment is passed over).
-One segment of a band gets allowance 1 if at least four are needed, some more than needed are made, and each
-set spends the spare ones on passing over its costliest segments: those with fewest shingles, which are
-the likeliest to be equal by chance.  All segments are indexed; only those not passed over make candidates.
+
+Allocation.  Both choices go by cost.  For a band, the number of segments and of those that have an indexed
+neighbourhood is the one with the least expected cost of signatures written and of nodes met by chance, given
+how many sets have the band's sizes.  For a set, each unit of allowance costs what its signatures are expected
+to meet by chance (COMMON to the power of the shingles in the segment, and for the second unit of a segment
+that of each of its neighbours); the set takes the cheapest units that add up to more than delta.  All segments
+are indexed; only those that a set allows for make candidates.
 
 Candidates.  Equal sets are one node from the start.  A bucket (nodes that share a segment's signature) is
-not expanded into pairs: its nodes are first compared with one of them, its hub, links are joined into
-components, and only nodes of different components are compared further, with other hubs and at last with
-each other, block by block in place.  No pair that could join two components is left untested, so the components are those of all links.
-A pair is verified on whole sets after a filter that bounds the difference from below by that of two small
-histograms.
+not expanded into pairs: its nodes are first compared with one of them, its hub, and links are joined into
+components.  Then only nodes of different components are compared further, bucket by bucket in place, by sizes
+and sketches; the pairs that are left must have met as often as the pigeonhole asks before their texts are read.
+No pair that could join two components is left untested, so the components are those of all links.  A sketch is
+a small histogram of a set's hashes; its bins grow with the set, and the difference of two bounds that of the
+sets from below.
+
+Keys.  A node is a 64-bit hash of a set; sets that share it by chance (told by a second hash) are given numbers
+of their own before the index is made.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a text
 with fewer words than a shingle is one shingle; rows that repeat a doc_id are documents of their own that
@@ -34,28 +42,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from sylvatica.llm.graph import components
-from sylvatica.llm.storage import discard, join_groups, settle, text_or_empty, tidy
+from sylvatica.llm.storage import discard, join_groups, settle, text_or_empty, tidy, unused
 from sylvatica.llm.words import distinct, mix, shingles, slices, words
 
 #: Sizes in a band differ by this factor at most.
-BAND = 1.5
-#: Bins of the histogram that a pair must pass before its texts are compared.
+BAND = 1.25
+#: The chance that a shingle of a set is in another set of its band, and what a node met by chance costs against
+#: a signature written: both only weigh costs.
+COMMON = 0.02
+CANDIDATE = 2.0
+#: Bins of the sketch of a small set, and of the largest; and the shingles a bin has about.
 BINS = 256
-#: Rounds with one hub per bucket before the remaining pairs of different components are all compared.
-HUB_ROUNDS = 1
+MOST_BINS = 1024
+PER_BIN = 8
 #: Buckets that a node shares with a hub at least to be compared with it before the last round.
 HUB_SHARES = 2
-#: Pairs that a task looks at, and of which it holds histograms, at once.
-PAIRS_AT_ONCE = 1 << 18
-HISTOGRAMS_AT_ONCE = 1 << 14
-SUMS_AT_ONCE = 1 << 20
-#: Nodes of a bucket that are compared with each other in one group.
-PART = 8192
+#: Pairs that a task looks at, of which it holds sketches, and that it holds counted, at once.
+PAIRS_AT_ONCE = 1 << 17
+SKETCHES_AT_ONCE = 1 << 13
+SUMS_AT_ONCE = 1 << 18
+#: Nodes of a bucket that are compared with as many others in one group.
+PART = 4096
+#: Nodes that a task remembers to have seen.
+SEEN = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -65,6 +78,8 @@ class Rule:
     size: int = 3
     num: int = 90
     den: int = 100
+    #: Bits of a node's first hash: fewer than 64 make clashes, for tests.
+    key_bits: int = 64
 
     def delta(self, largest: int) -> int:
         """The most shingles in which two linked sets of at most ``largest`` can differ."""
@@ -80,47 +95,124 @@ class Rule:
 
 @dataclass(frozen=True)
 class Band:
-    """Pairs whose larger set has low..high shingles: the segments made, those with allowance 1 (the first),
-    and those that a set may pass over."""
+    """Pairs whose larger set has low..high shingles, whose units of allowance must add up to ``need``: the segments
+    made, and how many of them, the first, have an indexed one-deletion neighbourhood."""
 
     low: int
     high: int
     smallest: int
+    need: int
     segments: int
     deletions: int
-    spare: int
 
 
-def bands(rule: Rule, largest: int) -> list[Band]:
-    """The bands up to ``largest``.  Allowances are a fixed rule, not a choice by estimated cost."""
+def unit_costs(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the first and the second unit of allowance of segments of ``count`` shingles cost, relatively."""
+    count = np.minimum(count, 64).astype(float)
+    first = COMMON**count
+    return first, np.maximum(first, count * COMMON ** np.maximum(count - 1, 0))
+
+
+def allotment(need: int, size: int, nodes: int) -> tuple[int, int]:
+    """(segments, neighbourhoods) of the least expected cost for sets of ``size`` among ``nodes`` others.
+
+    Counts in segments are taken as Poisson; a set that has the band's need of units takes the cheapest ones.
+    From a need of four on at least one segment has a neighbourhood."""
+    count = np.arange(64)
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 64)))))
+    first, second = unit_costs(count)
+    cost = np.concatenate((first, first, second))
+    order = np.argsort(cost, kind="stable")
+    best = (math.inf, need, 0)
+    for deletions in sorted({1, 2, 4, 8, need // 4, need // 2} if need >= 4 else {0}):
+        for factor in np.arange(1.0, 2.01, 0.05):
+            segments = max(deletions + 1, math.ceil((need - deletions) * factor))
+            if 2 * deletions > need or segments + deletions < need:
+                continue
+            mean = size / segments
+            share = np.exp(count * math.log(mean) - mean - log_factorial)
+            units = np.concatenate(((segments - deletions) * share, deletions * share, deletions * share))[order]
+            taken = np.clip(need - (np.cumsum(units) - units), 0, units)
+            met = nodes * math.exp(-mean) * float((taken * cost[order]).sum())
+            best = min(best, (segments + deletions * mean + CANDIDATE * met, segments, deletions))
+    return best[1], best[2]
+
+
+def bands(rule: Rule, largest: int, nodes: dict[int, int] | None = None) -> list[Band]:
+    """The bands up to ``largest``.  ``nodes`` has the number of sets by ``size_class``; any numbers give right results."""
     out, low = [], 1
     while low <= largest:
         high = max(low, math.ceil(low * BAND) - 1)
         delta = rule.delta(high)
         if delta:  # else only equal sets link
-            need = delta + 1
-            mean = low / need
-            # a set passes over its empty segments and its smallest: as many spare ones as it may have empty
-            spare = 1 + math.ceil(need * math.exp(-mean))
-            # an allowance of 1 saves two segments and costs a signature per shingle of one
-            deletions = 1 if need >= 4 and mean <= 16 else 0
-            out.append(Band(low, high, min(low, rule.smallest(low)), need - deletions + spare, deletions, spare))
+            smallest = min(low, rule.smallest(low))
+            others = 1000 if nodes is None else sum(n for c, n in nodes.items() if size_class(smallest) <= c <= size_class(high))
+            out.append(Band(low, high, smallest, delta + 1, *allotment(delta + 1, low, max(1, others))))
         low = high + 1
     return out
 
 
-def set_key(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each text's set of shingles."""
+def size_class(size: int) -> int:
+    """Sizes by their bits and the next two binary digits."""
+    bits = size.bit_length() - 1
+    return 4 * bits + ((4 * size >> bits) & 3)
+
+
+def set_key(text: np.ndarray, value: np.ndarray, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each text's set of shingles, the first cut to ``bits``."""
     high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     np.add.at(high, text, mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
     np.add.at(low, text, mix(value + np.uint64(0x0123456789ABCDEF)))
-    return mix(high), mix(low)
-
-
-def histogram(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    bin_ = (mix(value ^ np.uint64(0x77)) >> np.uint64(40)).astype(np.int64) % BINS
-    counts = np.bincount(text * BINS + bin_, minlength=n * BINS).reshape(n, BINS)
-    return np.minimum(counts, 255).astype(np.uint8)  # capped counts differ no more than the counts do
+    return mix(high) >> np.uint64(64 - bits), mix(low)
+
+
+def bins_for(size: np.ndarray) -> np.ndarray:
+    """Bins of the sketches of sets of ``size``: a power of two, about a bin for PER_BIN shingles."""
+    want = np.maximum(1, -(-size // PER_BIN)).astype(float)
+    return np.clip(2 ** np.ceil(np.log2(want)).astype(np.int64), BINS, MOST_BINS)
+
+
+def sketches(text: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A histogram of each set's hashes, counts up to 15 and two to a byte; capped counts differ no more than the counts."""
+    bins = bins_for(size)
+    base = np.concatenate(([0], np.cumsum(bins)))
+    place = (mix(value ^ np.uint64(0x77)) >> np.uint64(40)).astype(np.int64) & (bins[text] - 1)
+    counts = np.minimum(np.bincount(base[text] + place, minlength=base[-1]), 15).astype(np.uint8)
+    packed = counts[0::2] | (counts[1::2] << 4)
+    return [packed[base[i] // 2 : base[i + 1] // 2].tobytes() for i in range(len(size))]
+
+
+class Sketches:
+    """Sketches of rows, compared at the fewer bins of a pair."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.bins = np.fromiter((2 * len(p) for p in packed), np.int64, len(packed))
+        self.at: dict[int, np.ndarray] = {}
+        self.row: dict[int, np.ndarray] = {}
+        for bins in np.unique(self.bins).tolist():
+            chosen = np.flatnonzero(self.bins >= bins)
+            out = np.empty((len(chosen), bins), np.int8)
+            for full in np.unique(self.bins[chosen]).tolist():
+                mine = self.bins[chosen] == full
+                half = np.frombuffer(b"".join(packed[i] for i in chosen[mine].tolist()), np.uint8).reshape(-1, full // 2)
+                whole = np.empty((len(half), full), np.int8)
+                whole[:, 0::2], whole[:, 1::2] = half & 15, half >> 4
+                out[mine] = whole.reshape(len(half), full // bins, bins).sum(axis=1, dtype=np.int8)
+            self.at[bins] = out
+            self.row[bins] = np.full(len(packed), -1)
+            self.row[bins][chosen] = np.arange(len(chosen))
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of the symmetric difference of each pair of rows."""
+        out = np.zeros(len(i), np.int64)
+        fewer = np.minimum(self.bins[i], self.bins[j])
+        for bins, table in self.at.items():
+            mine = np.flatnonzero(fewer == bins)
+            x, y = self.row[bins][i[mine]], self.row[bins][j[mine]]
+            step = max(1, SKETCHES_AT_ONCE * BINS // bins)
+            for k in range(0, len(mine), step):
+                out[mine[k : k + step]] = np.abs(table[x[k : k + step]] - table[y[k : k + step]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def signatures(text: np.ndarray, value: np.ndarray, size: np.ndarray, plan: list[Band]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,9 +223,8 @@ def signatures(text: np.ndarray, value: np.ndarray, size: np.ndarray, plan: list
     """
     if not plan:  # all sets are so small that only equal ones link
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    lows, least = np.array([b.low for b in plan]), np.array([b.smallest for b in plan])
-    segments, deletions, spare = (np.array([getattr(b, k) for b in plan]) for k in ("segments", "deletions", "spare"))
-    highs = np.array([b.high for b in plan])
+    lows, least, highs = (np.array([getattr(b, k) for b in plan]) for k in ("low", "smallest", "high"))
+    segments, deletions, needs = (np.array([getattr(b, k) for b in plan]) for k in ("segments", "deletions", "need"))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     own = np.searchsorted(lows, size, side="right") - 1  # the last band that begins at or below the size
     for step in range(len(plan) + 1):
@@ -163,31 +254,25 @@ def signatures(text: np.ndarray, value: np.ndarray, size: np.ndarray, plan: list
         place = np.arange(base[-1]) - base[owner]
         tag = mix((b[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))
         whole = mix(total + tag * np.uint64(5) + count.astype(np.uint64))
-        # the costliest segments, fewest shingles first, are passed over
-        free = place >= deletions[b][owner]
-        order = np.lexsort((place, np.where(free, count, np.iinfo(np.int64).max), owner))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - base[owner[order]]
-        out.append((chosen[owner], whole, ~(free & (rank < spare[b][owner]))))
+        # units of allowance, one of each segment and a second of those with a neighbourhood, the cheapest first
+        twice = np.flatnonzero(place < deletions[b][owner])
+        unit = np.concatenate((np.arange(base[-1]), twice))
+        first, second = unit_costs(count)
+        later = np.arange(len(unit)) >= base[-1]
+        order = np.lexsort((later, place[unit], np.concatenate((first, second[twice])), owner[unit]))
+        before = np.concatenate(([0], np.cumsum(m + deletions[b])))[owner[unit[order]]]
+        spent = order[np.arange(len(order)) - before < needs[b][owner[unit[order]]]]
+        units = np.bincount(unit[spent], minlength=base[-1])
+        out.append((chosen[owner], whole, units > 0))
         gone = np.flatnonzero(local < deletions[b][who])
         if len(gone):
             c = cell[gone]
-            out.append((chosen[who[gone]], mix(total[c] - x[gone] + tag[c] * np.uint64(5) + (count[c] - 1).astype(np.uint64)), np.ones(len(gone), bool)))
+            out.append((chosen[who[gone]], mix(total[c] - x[gone] + tag[c] * np.uint64(5) + (count[c] - 1).astype(np.uint64)), units[c] > 1))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
-def sketch(counts: np.ndarray) -> np.ndarray:
-    """The histogram in half the room: counts up to 15, two to a byte."""
-    low = np.minimum(counts, 15)
-    return low[:, 0::2] | (low[:, 1::2] << 4)
-
-
-def unpacked(packed: np.ndarray) -> np.ndarray:
-    return np.concatenate((packed & 15, packed >> 4), axis=1).astype(np.int8)
-
-
 SETS = "doc_id long, digest long, node long, low long, n_shingles long"
 INDEX = "signature long, node long, probe boolean"
 
@@ -203,7 +288,7 @@ def _sets(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, text, value, size in _sets_of(batch.column(2), rule):
-                high, low = set_key(text, value, last - first)
+                high, low = set_key(text, value, last - first, rule.key_bits)
                 empty = size == 0
                 columns = [*(batch.column(i).slice(first, last - first) for i in (0, 1)), pa.array(high.view(np.int64), mask=empty), pa.array(low.view(np.int64), mask=empty), pa.array(size, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "low", "n_shingles"])
@@ -211,43 +296,67 @@ def _sets(rule: Rule):
     return run
 
 
-def _index(rule: Rule, plan: list[Band]):
+Renamed = dict[tuple[int, int], int]
+
+
+def _nodes(rule: Rule, renamed: Renamed, text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The node of each set: its first hash, or the number of its own if it shares that with another set."""
+    high, low = set_key(text, value, n, rule.key_bits)
+    node = high.view(np.int64).copy()
+    if renamed:
+        for i in np.flatnonzero(np.isin(node, np.array([high for high, _ in renamed]))).tolist():
+            node[i] = renamed.get((int(node[i]), int(low.view(np.int64)[i])), int(node[i]))
+    return node
+
+
+def _unseen(node: np.ndarray, asked: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows of ``asked`` are the first of their node that the task sees (or remembers)."""
+    new = np.zeros(len(node), bool)
+    if len(seen) > SEEN:
+        seen.clear()
+    for i in np.flatnonzero(asked).tolist():
+        key = int(node[i])
+        if key not in seen:
+            seen.add(key)
+            new[i] = True
+    return new
+
+
+def _index(rule: Rule, plan: list[Band], renamed: Renamed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # nodes of this task: equal texts are indexed once
+        seen: set[int] = set()  # equal texts of a task are indexed once
         for batch in batches:
             for first, last, text, value, size in _sets_of(batch.column(0), rule):
-                node = set_key(text, value, last - first)[0]
-                new = np.zeros(last - first, bool)
-                for i, key in enumerate(node.tolist()):
-                    if size[i] and key not in seen:
-                        seen.add(key)
-                        new[i] = True
+                node = _nodes(rule, renamed, text, value, last - first)
+                new = _unseen(node, size > 0, seen)
                 mine = new[text]
                 who, signature, probe = signatures(text[mine], value[mine], np.where(new, size, 0), plan)
                 if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(node[who].view(np.int64)), pa.array(probe)], names=["signature", "node", "probe"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(node[who]), pa.array(probe)], names=["signature", "node", "probe"])
 
     return run
 
 
-def _buckets(docs: DataFrame, rule: Rule, largest: int, text: str) -> DataFrame:
-    """(signature, node, probe, n: the bucket's rows) of the buckets that hold two nodes or more and make candidates."""
-    rows = docs.select(text_or_empty(text).alias("text")).mapInArrow(_index(rule, bands(rule, largest)), INDEX)
+def _buckets(docs: DataFrame, rule: Rule, plan: list[Band], renamed: Renamed, text: str) -> DataFrame:
+    """(signature, node, probe, n: the bucket's rows) of the buckets that hold two nodes or more and make candidates.
+
+    The window streams over a sorted partition and spills what it holds of a bucket."""
+    rows = docs.select(text_or_empty(text).alias("text")).mapInArrow(_index(rule, plan, renamed), INDEX)
     same = Window.partitionBy("signature")
     marked = rows.select("*", F.min("node").over(same).alias("first"), F.max("node").over(same).alias("last"), F.max("probe").over(same).alias("live"), F.count(F.lit(1)).over(same).alias("n"))
     return settle(marked.where((F.col("first") != F.col("last")) & F.col("live")).select("signature", "node", "probe", "n"), "buckets")
 
 
 def _close(rule: Rule):
-    """Pairs whose histograms allow a link."""
+    """Pairs whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n = batch.num_rows
             n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            a, b = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
-            least = np.abs(a - b).sum(axis=1, dtype=np.int64)  # of the symmetric difference
-            both = np.minimum((n_a + n_b - least) // 2, np.minimum(n_a, n_b))
-            keep = pa.array(rule.linked(n_a, n_b, both))
+            both = Sketches([v.as_py() for i in (4, 5) for v in batch.column(i)])
+            least = both.differ(np.arange(n), n + np.arange(n))  # of the symmetric difference
+            keep = pa.array(rule.linked(n_a, n_b, np.minimum((n_a + n_b - least) // 2, np.minimum(n_a, n_b))))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
@@ -277,56 +386,60 @@ def _exact(rule: Rule):
     return run
 
 
-def _texts(docs: DataFrame, members: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """(node, n_shingles, histogram, sketch, text): a text of each node of ``members`` (node, least: a doc_id that has it).
+def _texts(docs: DataFrame, members: DataFrame, rule: Rule, renamed: Renamed, text: str) -> DataFrame:
+    """(node, n_shingles, sketch, text): a text of each node of ``members`` (node, least and digest: those of a row that has it).
 
-    As a doc_id may repeat with other texts, a row counts only if its text has the node's set.
+    A row counts only if its text has the node's set, whatever other rows share its id and digest.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # nodes of this task: rows that repeat a doc_id meet in one task
+        seen: set[int] = set()  # rows that repeat an id and a text meet in one task
         for batch in batches:
             asked = batch.column(0).to_numpy()
             for first, last, at, value, size in _sets_of(batch.column(1), rule):
-                node = set_key(at, value, last - first)[0].view(np.int64)
-                fits = (node == asked[first:last]) & (size > 0)
-                for i in np.flatnonzero(fits):
-                    fits[i] = int(node[i]) not in seen
-                    seen.add(int(node[i]))
-                keep = pa.array(fits)
-                bins = histogram(at, value, last - first)
-                made = [pa.array(size, pa.int64()), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([b.tobytes() for b in sketch(bins)], pa.binary())]
+                node = _nodes(rule, renamed, at, value, last - first)
+                keep = pa.array(_unseen(node, (node == asked[first:last]) & (size > 0), seen))
+                made = [pa.array(size, pa.int64()), pa.array(sketches(at, value, size), pa.binary())]
                 columns = [batch.column(0).slice(first, last - first), *made, batch.column(1).slice(first, last - first)]
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["node", "n_shingles", "histogram", "sketch", "text"])
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["node", "n_shingles", "sketch", "text"])
 
-    wanted = members.select("node", F.coalesce(F.col("least").cast("string"), F.lit("null")).alias("__id"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("__id"), text_or_empty(text).alias("text"))
-    found = rows.join(wanted, "__id").select("node", "text").mapInArrow(check, "node long, n_shingles long, histogram binary, sketch binary, text string")
+    wanted = members.select("node", _number("least").alias("id"), "digest")
+    rows = docs.select(_number("doc_id").alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    found = rows.join(wanted, ["id", "digest"]).select("node", "text").mapInArrow(check, "node long, n_shingles long, sketch binary, text string")
     return settle(found, "node-texts")
 
 
+def _number(column: str) -> Column:
+    """An id as text, so that null is one of them."""
+    return F.coalesce(F.col(column).cast("long").cast("string"), F.lit("null"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that link.  Both joins are plain shuffles on a node, which Spark splits where a hub is hot."""
-    side = lambda k: texts.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("histogram").alias(f"h_{k}"))
-    described = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "h_a", "h_b")
+    """The pairs that link.  What a member has is joined to its pair first and what its hub ``a`` has last, so that no
+    hub's text is written once a pair; Spark splits the partition of a hot hub."""
+    side = lambda k: texts.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"h_{k}"))
+    described = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "h_a", "h_b")
     close = settle(described.mapInArrow(_close(rule), "a long, b long"), "close")
     body = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"t_{k}"))
-    whole = close.join(body("a"), "a").join(body("b"), "b").select("a", "b", "t_a", "t_b")
-    return settle(whole.mapInArrow(_exact(rule), "a long, b long"), "links")
+    whole = close.join(body("b"), "b").join(body("a"), "a").select("a", "b", "t_a", "t_b")
+    links = settle(whole.mapInArrow(_exact(rule), "a long, b long"), "links")
+    discard(close)
+    return links
 
 
 def _compare(rule: Rule, plan: list[Band]):
     """(a, b, shared, required): in how many buckets of the task a pair meets, and in how many at least if it links.
 
-    Under the band of its larger set, a set makes candidates with a fixed number of segments that allow for no
-    difference.  A pair that differs in d shingles agrees in all but d of them, so it meets in that number less d.
+    Under the band of its larger set, a set allows for nothing or one shingle in at least need - deletions segments.
+    A pair that differs in d shingles agrees in all but d of them, so it meets in that number less d.
 
-    All pairs of different components within each group of rows sorted by (signature, left, right), of which
-    those go on that a link is possible for by size and sketch.  Pairs are compared in place, some ten
-    thousands at a time whatever the groups' sizes, and not made into rows."""
+    All pairs of different components, one of them making candidates, within each group of rows sorted by
+    (signature, left, right), of which those go on that a link is possible for by size and sketch.  Pairs are
+    compared in place, PAIRS_AT_ONCE at a time whatever the groups' sizes, and the counted ones are told as soon
+    as there are SUMS_AT_ONCE."""
 
     lows = np.array([b.low for b in plan])
-    probes = np.array([rule.delta(b.high) + 1 - 2 * b.deletions for b in plan])
+    agree = np.array([b.need - b.deletions for b in plan])
 
     def starts(rows: pa.Table) -> np.ndarray:
         new = np.ones(rows.num_rows, bool)
@@ -344,143 +457,194 @@ def _compare(rule: Rule, plan: list[Band]):
         first = np.flatnonzero(new)
         return [a[first], b[first], np.add.reduceat(shared, first) if len(first) else shared, required[first]]
 
-    def found(rows: pa.Table, stop: np.ndarray) -> list[np.ndarray]:
-        """``stop``: for each row the end of its group."""
+    def found(rows: pa.Table, stop: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """The counted pairs of whole groups; ``stop``: for each row the end of its group."""
         node, home, size, probe, part, left, right = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "probe", "part", "left", "right"))
-        bins = unpacked(np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BINS // 2))
-        after = stop - np.arange(rows.num_rows) - 1
+        order = np.lexsort((home, ~probe, stop))  # in each group those that make candidates first, by component
+        node, home, size, probe, part, across = node[order], home[order], size[order], probe[order], part[order], (left != right)[order]
+        packed = rows["sketch"].to_pylist()
+        bins = Sketches([packed[i] for i in order.tolist()])
+        n = len(order)
+        ends = np.flatnonzero(np.append((home[1:] != home[:-1]) | (probe[1:] != probe[:-1]) | (stop[1:] != stop[:-1]), True)) + 1
+        begin = np.repeat(ends, np.diff(ends, prepend=0))  # a row's partners lie after those of its own component
+        after = np.where(probe, stop - begin, 0)
         sums = np.concatenate(([0], np.cumsum(after)))
-        none = np.zeros(0, np.int64)
-        out_a, out_b, out_required = [none], [none], [none]
         row = 0
-        while row < rows.num_rows:
+        while row < n:
             end = max(row + 1, int(np.searchsorted(sums, sums[row] + PAIRS_AT_ONCE, side="right")) - 1)
             i = np.repeat(np.arange(row, end), after[row:end])
-            j = i + 1 + np.arange(len(i)) - np.repeat(sums[row:end] - sums[row], after[row:end])
+            j = np.arange(len(i)) + np.repeat(begin[row:end] - (sums[row:end] - sums[row]), after[row:end])
             row = end
-            fits = (home[i] != home[j]) & (probe[i] | probe[j]) & ((left[i] == right[i]) | (part[i] != part[j]))
-            i, j = i[fits], j[fits]
             least = np.minimum(size[i], size[j])
-            fits = rule.linked(size[i], size[j], least)
+            fits = np.flatnonzero((home[i] != home[j]) & (~across[i] | (part[i] != part[j])) & rule.linked(size[i], size[j], least))
             i, j, least = i[fits], j[fits], least[fits]
-            keep = np.zeros(len(i), bool)
-            for at in range(0, len(i), HISTOGRAMS_AT_ONCE):
-                x, y = i[at : at + HISTOGRAMS_AT_ONCE], j[at : at + HISTOGRAMS_AT_ONCE]
-                differ = np.abs(bins[x] - bins[y]).sum(axis=1, dtype=np.int64)
-                both = np.minimum((size[x] + size[y] - differ) // 2, least[at : at + HISTOGRAMS_AT_ONCE])
-                keep[at : at + HISTOGRAMS_AT_ONCE] = rule.linked(size[x], size[y], both)
-            out_a.append(np.minimum(node[i[keep]], node[j[keep]]))
-            out_b.append(np.maximum(node[i[keep]], node[j[keep]]))
-            x, y = size[i[keep]], size[j[keep]]
-            band = np.searchsorted(lows, np.maximum(x, y), side="right") - 1
-            differ = (x + y) * (rule.den - rule.num) // (rule.den + rule.num)
-            out_required.append(np.where(band >= 0, np.maximum(1, probes[band] - differ), 1))
-        a, b, required = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_required)
-        return summed(a, b, np.ones(len(a), np.int64), required)
+            both = np.minimum((size[i] + size[j] - bins.differ(i, j)) // 2, least)
+            keep = np.flatnonzero(rule.linked(size[i], size[j], both))
+            if len(keep):
+                i, j = i[keep], j[keep]
+                total = size[i] + size[j]
+                band = np.searchsorted(lows, np.maximum(size[i], size[j]), side="right") - 1
+                required = np.where(band >= 0, np.maximum(1, agree[band] - total * (rule.den - rule.num) // (rule.den + rule.num)), 1)
+                yield summed(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.ones(len(i), np.int64), required)
 
     def told(sums: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in sums], names=["a", "b", "shared", "required"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        sums = [np.zeros(0, np.int64)] * 4  # of all the task's buckets so far
+        sums = [np.zeros(0, np.int64)] * 4
+
+        def count(rows: pa.Table, stop: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal sums
+            for new in found(rows, stop):
+                sums = summed(*[np.concatenate(pair) for pair in zip(sums, new, strict=True)])
+                if len(sums[0]) > SUMS_AT_ONCE:
+                    yield told(sums)
+                    sums = [np.zeros(0, np.int64)] * 4
+
         for batch in batches:
             part = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
             held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
             edge = starts(held)
             if len(edge) > 1:  # the last group may go on in the next batch
-                new = found(held.slice(0, edge[-1]), np.repeat(edge[1:], np.diff(edge)))
+                yield from count(held.slice(0, edge[-1]), np.repeat(edge[1:], np.diff(edge)))
                 held = held.slice(edge[-1])
-                sums = summed(*[np.concatenate(pair) for pair in zip(sums, new, strict=True)])
-                if len(sums[0]) > SUMS_AT_ONCE:
-                    yield told(sums)
-                    sums = [np.zeros(0, np.int64)] * 4
         if held is not None and held.num_rows:
-            new = found(held, np.full(held.num_rows, held.num_rows))
-            yield told(summed(*[np.concatenate(pair) for pair in zip(sums, new, strict=True)]))
+            yield from count(held, np.full(held.num_rows, held.num_rows))
+        yield told(sums)
 
     return run
 
 
+def _parted(open_: DataFrame) -> DataFrame:
+    """``open_`` with ``part``, ``left`` and ``right``: rows of one (signature, left, right) are compared with each other.
+
+    A bucket of more than PART rows is cut into parts, those of its home component apart from the others.  Parts of
+    the others meet every part and those of the home component only the others', so a large component is repeated
+    as often as there are parts outside it, and no group holds more than some two parts."""
+    none = {"part": F.lit(0), "left": F.lit(0), "right": F.lit(0)}
+    few = open_.where(F.col("n") <= PART).withColumns(none).drop("n", "home")
+    many = open_.where(F.col("n") > PART)
+    outside = F.col("component") != F.col("home")
+    split = many.groupBy("signature").agg(F.count_if(outside).alias("outer"), F.count(F.lit(1)).alias("rows"))
+    cut = join_groups(many, split, ["signature"], "rows", open_.count())
+    outer, inner = F.greatest(F.lit(1), F.ceil(F.col("outer") / PART)).cast("int"), F.ceil((F.col("rows") - F.col("outer")) / PART).cast("int")
+    hashed = F.xxhash64("node")
+    cut = cut.withColumns({
+        "part": F.when(outside, F.pmod(hashed, outer)).otherwise(outer + F.pmod(hashed, inner)).cast("int"),
+        "other": F.explode(F.when(outside, F.sequence(F.lit(0), outer + inner - 1)).otherwise(F.sequence(F.lit(0), outer - 1))),
+    })
+    cut = cut.withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")}).drop("n", "home", "outer", "rows", "other")
+    return few.unionByName(cut)
+
+
 def _open_pairs(open_: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
-    """The pairs of open buckets that might link, by their sketches alone.  A large bucket is cut into parts, and every pair of parts is
-    a group of its own, so that no group holds more than two parts."""
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    described = open_.join(texts.select("node", "n_shingles", "sketch"), "node").select("signature", "node", "probe", "component", "n_shingles", "sketch", parts.alias("parts"))
-    described = described.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    spread = described.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"left": F.least("part", "other"), "right": F.greatest("part", "other")}).drop("parts", "other")
-    sorted_ = spread.repartition(F.col("signature"), F.col("left"), F.col("right")).sortWithinPartitions("signature", "left", "right")
-    met = sorted_.mapInArrow(_compare(rule, plan), "a long, b long, shared long, required long")
+    """The pairs of open buckets that might link, by sizes, sketches and the buckets they share."""
+    described = open_.join(texts.select("node", "n_shingles", "sketch"), "node")
+    sorted_ = described.repartition(F.col("signature"), F.col("left"), F.col("right")).sortWithinPartitions("signature", "left", "right")
+    names = ["signature", "node", "probe", "component", "n_shingles", "sketch", "part", "left", "right"]
+    met = sorted_.select(*names).mapInArrow(_compare(rule, plan), "a long, b long, shared long, required long")
     often = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("required").alias("required"))
     return often.where("shared >= required").select("a", "b")
 
 
+def _open(members: DataFrame, total: int) -> DataFrame:
+    """The rows of buckets that hold two components and make candidates, with the bucket's rows ``n``, its ``hub``
+    and the component of its weightiest node, ``home``.  A bucket's figures are partial sums of tasks first."""
+    order = F.struct((-F.col("weight")).alias("o"), F.col("node").alias("node"), F.col("component").alias("component"))
+    figures = members.groupBy("signature").agg(
+        F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("probe"), order)).alias("hub"), F.min(order).alias("home"),
+    )
+    several = figures.where((F.col("first") != F.col("last")) & F.col("hub").isNotNull()).select("signature", "n", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_home"), F.col("home.component").alias("home"))
+    return settle(join_groups(members, several, ["signature"], "n", total).select("signature", "node", "probe", "component", "n", "hub", "hub_home", "home"), "open")
+
+
 def _links(buckets: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
     """(node, component) of the nodes that link with another."""
     spark = buckets.sparkSession
-    links = tested = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "node long, component long")
     # a node with many neighbours is likely the text that the others were made from: a good hub
-    weights = settle(buckets.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    for turn in range(HUB_ROUNDS + 1):
-        members = buckets.drop("n").join(weights, "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        same = Window.partitionBy("signature")
-        open_ = members.withColumns({"first": F.min("component").over(same), "last": F.max("component").over(same), "n": F.count(F.lit(1)).over(same)}).where("first <> last")
-        rank = -F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        order = F.struct(rank.alias("o"), F.col("node").alias("hub"), F.col("component").alias("home"))
-        hubs = open_.select("signature", "node", "probe", "component", "n", F.min(F.when(F.col("probe"), order)).over(same).alias("h"))
-        open_ = settle(hubs.select("signature", "node", "probe", "component", "n", "h.hub", "h.home"), "open")
-        if open_.isEmpty():
-            break
-        last = turn == HUB_ROUNDS
-        if last:
-            pairs = _open_pairs(open_, texts, rule, plan)
-        else:
-            apart = open_.where((F.col("node") != F.col("hub")) & (F.col("component") != F.col("home")))
-            pairs = apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            # a hub that meets a node in one bucket only is there by chance; the last round passes over nothing
-            pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= HUB_SHARES).select("a", "b")
-        pairs = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        discard(open_)
+    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = settle(buckets.drop("n").join(weights, "node"), "members")
+    discard(buckets)
+    total = members.count()
+    found = spark.createDataFrame([], "node long, component long")
+    open_ = _open(members.withColumn("component", F.col("node")), total)
+    apart = open_.where(F.col("node") != F.col("hub")).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    # a hub that meets a node in one bucket only is there by chance; the last round passes over nothing
+    tested = settle(apart.where(F.col("shared") >= HUB_SHARES).select("a", "b"), "pairs")
+    discard(open_)
+    tidy(spark)
+    links = _verified(tested, texts, rule)
+    tidy(spark)
+    if not links.isEmpty():
+        found = components(links)
+    open_ = _open(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), total)
+    discard(members)
+    if not open_.isEmpty():
+        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = settle(_open_pairs(_parted(open_.drop("hub", "hub_home")), texts, rule, plan).join(known, ["a", "b"], "left_anti"), "pairs")
         tidy(spark)
-        new = _verified(pairs, texts, rule)
+        more = _verified(pairs, texts, rule)
         tidy(spark)
-        tested = tested.unionByName(pairs)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links)
-        if last:
-            break
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
+        discard(pairs)
+        discard(more)
+    for table in (open_, tested, links):
+        discard(table)
     return found
 
 
+def _renamed(classes: DataFrame) -> Renamed:
+    """Numbers of their own for the sets that share a node with another: a few at most, as a pair of sets does so
+    with a probability of 2 ** -64 (some three among 10 ** 10 sets)."""
+    clash = classes.groupBy("node").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("node")
+    sets = settle(classes.join(clash, "node", "left_semi").select("node", "low"), "clashes")
+    for turn in range(8):
+        named = sets.withColumn("own", F.xxhash64("node", "low", F.lit(turn)))
+        twice = named.groupBy("own").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+        if twice.isEmpty() and named.join(classes.select(F.col("node").alias("own")), "own", "left_semi").isEmpty():
+            return {(r["node"], r["low"]): r["own"] for r in named.collect()}
+    raise RuntimeError("no free numbers for sets that share a key")  # once in 2 ** 500 or so
+
+
 def _grouped(docs: DataFrame, rule: Rule, text: str) -> tuple[DataFrame, DataFrame | None]:
     """The rows of SETS, and (doc_id, digest, n_shingles, component, component_id) of those with words, if any have.
 
     ``digest`` is that of the text, and tells apart the rows that share a doc_id; ``component`` is the component
     itself, which has no component_id where all its ids are null.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias(text))
     rows = settle(source.select("doc_id", F.xxhash64(text).alias("digest"), text).mapInArrow(_sets(rule), SETS), "sets")
-    classes = settle(
-        rows.where("n_shingles > 0").groupBy("node", "low").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members")), "classes"
-    )
-    figures = classes.agg(F.max("n_shingles").alias("largest"), F.count(F.lit(1)).alias("n")).first()
-    if not figures["n"]:
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest")))
+    grouped = rows.where("n_shingles > 0").groupBy("node", "low").agg(first.alias("first"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members"))
+    classes = settle(grouped.select("node", "low", F.col("first.doc_id").alias("least"), F.col("first.digest").alias("digest"), "n_shingles", "members"), "classes")
+    bits = F.length(F.bin("n_shingles")) - 1
+    kind = 4 * bits + F.floor(F.col("n_shingles") * 4 / F.pow(F.lit(2.0), bits)).cast("int").bitwiseAND(3)
+    sizes = classes.groupBy(kind.cast("int").alias("kind")).agg(F.max("n_shingles").alias("largest"), F.count(F.lit(1)).alias("n")).collect()  # some 100 at most
+    if not sizes:
         return rows, None
-    if classes.groupBy("node").count().where("count > 1").limit(1).count():
-        raise RuntimeError("two different sets share a 64-bit key; choose another seed for the words' hashes")
-    buckets = _buckets(source, rule, figures["largest"], text)
-    tidy(docs.sparkSession)
+    renamed = _renamed(classes)
+    own = F.col("node")
+    if renamed:
+        own = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for (high, low), new in renamed.items() for x in (f"{high} {low}", new)]), F.concat_ws(" ", "node", "low")), "node")
+    plan = bands(rule, max(r["largest"] for r in sizes), {r["kind"]: r["n"] for r in sizes})
+    buckets = _buckets(source, rule, plan, renamed, text)
+    tidy(spark)
     inside = buckets.select("node").distinct()
-    texts = _texts(source, classes.join(inside, "node"), rule, text)
-    tidy(docs.sparkSession)
-    found = _links(buckets, texts, rule, bands(rule, figures["largest"]))
-    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    numbered = classes.withColumn("own", own)
+    texts = _texts(source, numbered.select(F.col("own").alias("node"), "least", "digest").join(inside, "node", "left_semi"), rule, renamed, text)
+    tidy(spark)
+    found = _links(buckets, texts, rule, plan)
+    discard(texts)
+    named = numbered.join(found.withColumnRenamed("node", "own"), "own", "left").withColumn("component", F.coalesce("component", "own"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("members").alias("size"))
     total = rows.count()
     homes = settle(join_groups(named.select("node", "low", "members", "component"), smallest, ["component"], "size", total).select("node", "low", "members", "component", "component_id"), "homes")
     linked = join_groups(rows.where("n_shingles > 0").select("doc_id", "digest", "node", "low", "n_shingles"), homes, ["node", "low"], "members", total)
+    discard(classes)
     return rows, linked.select("doc_id", "digest", "n_shingles", "component", "component_id")
 
 
@@ -495,14 +659,15 @@ def keep_one(docs: DataFrame, rule: Rule | None = None, text: str = "text") -> D
     """``docs`` with one row of each component, one of those with its smallest doc_id, and all rows without words.
 
     A row is known by its doc_id and its text's digest; of rows that share both, and so are copies, one stays.
+    Columns of the input may have any names.
     """
+    identity, digest = (unused(name, docs.columns) for name in ("id", "digest"))
     worded = text_or_empty(text).rlike(r"[^\x20\x09-\x0D]")
     empty = docs.where(~worded)
     _, linked = _grouped(docs, rule or Rule(), text)
     if linked is None:
         return empty
     least = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"))
-    number = lambda: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("__id")
-    keep = settle(least.select(number(), F.col("digest").alias("__text")), "kept")
-    keyed = docs.where(worded).select("*", number(), F.xxhash64(text_or_empty(text)).alias("__text"))
-    return keyed.join(keep, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns).unionByName(empty)
+    keep = settle(least.select(_number("doc_id").alias(identity), F.col("digest").alias(digest)), "kept")
+    keyed = docs.where(worded).select("*", _number("doc_id").alias(identity), F.xxhash64(text_or_empty(text)).alias(digest))
+    return keyed.join(keep, [identity, digest], "left_semi").dropDuplicates([identity, digest]).select(*docs.columns).unionByName(empty)

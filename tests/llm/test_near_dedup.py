@@ -80,6 +80,24 @@ def test_against_all_pairs(spark, rule):
     check(spark, corpus(rule.size, 260), rule)
 
 
+@pytest.mark.parametrize("bits", [1, 6, 40])
+def test_sets_that_share_a_key(spark, bits):
+    """Forced clashes of the first hash: all nodes, many, or hardly any get numbers of their own."""
+    check(spark, corpus(17, 150), N.Rule(3, 90, 100, key_bits=bits))
+
+
+def test_parts_of_a_large_bucket(spark, monkeypatch):
+    """Buckets cut into parts, with a large component and rows outside it."""
+    monkeypatch.setattr(N, "PART", 16)
+    check(spark, corpus(23, 200) + [(1000 + i, t) for i, (_, t) in enumerate(corpus(29, 60, longest=30))], N.Rule(5, 80, 100))
+
+
+def test_null_ids_are_not_multiplied(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(WORDS, k=40)) for _ in range(120)]
+    check(spark, [(None, t) for t in texts] + [(None, t + " more") for t in texts[:40]] + [(3, texts[0])], N.Rule())
+
+
 def test_edge_rows(spark):
     long = " ".join(random.Random(1).choices(WORDS, k=40_000))
     rows = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two"), (7, "one two"), (None, "one two"), (8, long), (9, long + " more"),
@@ -154,23 +172,32 @@ def test_every_linked_pair_shares_a_signature_that_makes_candidates(rule):
                 continue  # equal sets are one node
             text, value = np.repeat([0, 1], [len(a), len(b)]), np.concatenate((np.sort(a), np.sort(b)))
             who, signature, probe = N.signatures(text, value, np.array([len(a), len(b)]), plan)
-            left = {s: p for w, s, p in zip(who, signature, probe, strict=True) if w == 0}
-            assert any(s in left and (p or left[s]) for w, s, p in zip(who, signature, probe, strict=True) if w == 1), (size, drop, len(b))
-
-
-def test_histograms_bound_the_difference_from_below():
+            left = {}
+            for w, s, p in zip(who, signature, probe, strict=True):
+                if w == 0:
+                    left[s] = left.get(s, False) or p
+            met = {s for w, s, p in zip(who, signature, probe, strict=True) if w == 1 and s in left and (p or left[s])}
+            assert met, (size, drop, len(b))
+            # and in as many buckets as a pair that is told must have met
+            band = next(x for x in reversed(plan) if x.low <= max(len(a), len(b)))
+            differ = (len(a) + len(b)) * (rule.den - rule.num) // (rule.den + rule.num)
+            assert len(met) >= band.need - band.deletions - differ, (size, drop, len(b))
+
+
+def test_sketches_bound_the_difference_from_below():
     rng = np.random.default_rng(4)
     for size in (3, 40, 500, 30_000):
         sets = [np.unique(rng.integers(1, 2**62, size, dtype=np.uint64)) for _ in range(2)]
         sets.append(np.unique(np.concatenate((sets[0][: size // 2], sets[1][: size // 3]))))
         text, value = np.repeat(range(3), [len(s) for s in sets]), np.concatenate(sets)
-        bins = N.histogram(text, value, 3)
-        coarse = N.unpacked(N.sketch(bins))
-        assert coarse.shape == (3, N.BINS)
-        for i, j in ((0, 1), (0, 2), (1, 2)):
-            differ = len(np.setxor1d(sets[i], sets[j]))
-            assert np.abs(bins[i].astype(int) - bins[j]).sum() <= differ
-            assert np.abs(coarse[i].astype(int) - coarse[j]).sum() <= differ
+        sizes = np.array([len(s) for s in sets])
+        bins = N.Sketches(N.sketches(text, value, sizes))
+        assert bins.bins.tolist() == N.bins_for(sizes).tolist()
+        i, j = np.array([0, 0, 1, 0]), np.array([1, 2, 2, 0])
+        least = bins.differ(i, j)
+        for x, y, found in zip(i, j, least, strict=True):
+            assert found <= len(np.setxor1d(sets[x], sets[y]))
+        assert least[3] == 0 and (size > 10_000 or least[0] > 0)
 
 
 @pytest.mark.parametrize("seed", range(3))
