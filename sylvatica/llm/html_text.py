@@ -7,8 +7,10 @@ class, id and role), and whether it is a heading.  A decision tree trained on th
 tells content from the rest.  Content blocks are joined in page order by one space.
 
 Defined cases: a null or empty html, and a page without content, give an empty text; scripts, styles,
-templates, comments and the head are never text, also when not closed; unclosed and stray tags are taken as
-browsers take them; a cut page is read as far as it goes; repeated rows are read each; an empty table gives
+templates, comments and the head are never text, also when not closed, drawings and embedded objects only when closed;
+custom elements are plain ones whatever their names begin with; classes of a body, main or html element never mark
+furniture, and those of an article only if a class is such a word alone or begins with ``comment-``; unclosed and stray tags are taken as
+browsers take them, in time that grows with the page and not with its depth; a cut page is read as far as it goes; repeated rows are read each; an empty table gives
 no rows; columns other than page_id, url and html are not read.  White space is what ``str.split`` parts.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,7 +37,6 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td "
     "textarea tfoot th thead tr ul video audio canvas".split()
 )
-RAW = frozenset("script style noscript template title iframe textarea svg math object xmp noembed noframes head".split())
 FURNITURE = frozenset("nav footer aside form menu button select dialog fieldset label option textarea".split())
 CLOSES_P = BLOCK - {"br", "button"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -46,9 +48,18 @@ HINTS = re.compile(
     re.I,
 )
 
+#: Beginnings and ends of class words that tell of a page or of something else's presence, and the
+#: elements that hold the content itself.
+ABOUT = re.compile(r"^(?:has|no|not|with|without|can|show|hide|single|page|template)-|-(?:page|template|enabled|disabled|open|closed|active|layout)$", re.I)
+HOLDERS = frozenset("html body main".split())
+#: Class words that make an article element furniture.
+LONE = frozenset("comment comments ad ads advert advertisement promo promoted sponsored related reply teaser".split())
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|iframe|textarea|svg|math|object|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"'/]+|\"[^\"]*\"|'[^']*'|/(?!>))*+/>"
+    r"|<(?P<raw>script|style|noscript|template|title|iframe|textarea|xmp|noembed|noframes)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<closed>svg|math|object)(?=[\s/>])[^>]*>.*?</(?P=closed)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -78,9 +89,14 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
-            furniture |= bool(HINTS.search(spaced))
             article |= name == "role" and value.lower() in ("main", "article")
+            if tag in HOLDERS:
+                continue
+            if tag == "article":
+                furniture |= name == "class" and any(word in LONE or word.startswith("comment-") for word in value.lower().split())
+                continue
+            spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
+            furniture |= any(HINTS.search(word) and not ABOUT.search(word) for word in spaced.split())
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             furniture = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -92,8 +108,9 @@ def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # (tag, furniture, article) of the open elements
+    opened: Counter[str] = Counter()  # how many of each are open, so that no search goes down the stack in vain
     parts: list[tuple[str, bool]] = []
-    links = 0
+    headings = 0
 
     def flush() -> None:
         if not parts:
@@ -103,16 +120,20 @@ def blocks(page: str) -> list[Block]:
             linked = sum(len(p.split()) for p, inside in parts if inside)
             furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             words = len(text.split())
-            out.append(Block(text, words, min(linked, words), article, furniture, any(t in HEADINGS for t, _, _ in stack)))
+            out.append(Block(text, words, min(linked, words), article, furniture, headings > 0))
         parts.clear()
 
     def pop_to(depth: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _, _ in stack[depth:])
+        nonlocal headings
+        for tag, _, _ in stack[depth:]:
+            opened[tag] -= 1
+            headings -= tag in HEADINGS
         del stack[depth:]
 
     def implied(tags: frozenset[str], within: frozenset[str]) -> None:
         """Close the nearest open element of ``tags``, unless one of ``within`` is opened inside it."""
+        if not any(opened[t] for t in tags):
+            return
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] in tags:
                 pop_to(depth)
@@ -122,7 +143,7 @@ def blocks(page: str) -> list[Block]:
 
     def text(raw: str) -> None:
         if raw and not any(t == "head" for t, _, _ in stack[:2]):
-            parts.append((entities.unescape(raw) if "&" in raw else raw, links > 0))
+            parts.append((entities.unescape(raw) if "&" in raw else raw, opened["a"] > 0))
 
     at = 0
     for token in TOKEN.finditer(page):
@@ -138,14 +159,14 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
         if token["close"]:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), -1)
-            if depth >= 0:
+            if opened[tag]:
+                depth = next(d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag)
                 flush() if tag in BLOCK else None
                 pop_to(depth)
             continue
         if tag in VOID:
             continue
-        if tag == "body":  # ends an unclosed head
+        if tag == "body" and opened["head"]:  # ends an unclosed head
             pop_to(next((d for d, s in enumerate(stack) if s[0] == "head"), len(stack)))
         if tag in CLOSES_P:
             implied(frozenset(("p", *HEADINGS)) if tag in HEADINGS else frozenset(("p",)), BLOCK - {"p"} - HEADINGS)
@@ -166,7 +187,8 @@ def blocks(page: str) -> list[Block]:
         if tag == "header" and not outer[2]:
             furniture = True
         stack.append((tag, furniture or outer[1], (article or outer[2]) and not furniture))
-        links += tag == "a"
+        opened[tag] += 1
+        headings += tag in HEADINGS
     text(page[at:])
     flush()
     return out

@@ -44,6 +44,19 @@ PAGES = {
                   "Before it comes a paragraph of plain words. one"),
     "list": ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", "one two a b"),
     "hidden": ("<article><p>Seen</p><p hidden>Unseen</p><div style='display: none'>Unseen</div></article>", "Seen"),
+    "custom_elements": (
+        "<article><svg-icon name=x></svg-icon><p>First part of it</p><template-part>Second</template-part><title-bar></title-bar><p>Third part of it</p></article>",
+        "First part of it Second Third part of it",
+    ),
+    "self_closed": ("<article><p>Before the drawing</p><svg viewBox='0 0 1 1' data-x='a>b'/><p>After the drawing</p><math/><p>End</p></article>", "Before the drawing After the drawing End"),
+    "closed_drawing": ("<article><p>Before it</p><svg><text>no</text></svg><p>After it</p></article>", "Before it After it"),
+    "unclosed_drawing": ("<article><p>Before it</p><svg><path d='x'><p>After it all</p></article>", "Before it After it all"),
+    "article_class": ("<article class='post has-comments related-tags'><p>Text of the post</p></article>", "Text of the post"),
+    "main_class": ("<main class='has-comments no-sidebar'><p>Text of the main part of it</p></main>", "Text of the main part of it"),
+    "body_class": ("<html class=no-menu><body class='page no-sidebar newsletter'><p>Text of a page that has no article element, which is quite long enough.</p></body></html>",
+                   "Text of a page that has no article element, which is quite long enough."),
+    "section_class": ("<article><section class='with-sidebar'><p>Text of the section</p></section><div class='menu-open'><p>More text of it</p></div></article>", "Text of the section More text of it"),
+    "comment_articles": ("<article><p>The story itself</p></article><div class=comment-list><article class=comment-body><p>A reader says so</p></article></div><article class='comment'><p>Another reader</p></article>", "The story itself"),
     "empty": ("", ""),
     "markup_only": ("<html><body></body></html>", ""),
     "stray": ("<article></p><p>a < b and c > d</p></div></article>", "a < b and c > d"),
@@ -82,3 +95,16 @@ def test_against_article_element(spark, sf_dir):
         spaced = re.sub(r"</?(?:p|br|h1)>", " ", inner)
         expected = " ".join(html.unescape(re.sub(r"<[^>]*>", "", spaced)).split())
         assert (row.text, row.n_chars) == (expected, len(expected))
+
+
+def test_time_does_not_grow_with_depth():
+    import time
+
+    def took(n):
+        page = "<article>" + "".join(f"<div><p>text {i}<span>" for i in range(n))
+        began = time.process_time()
+        assert len(html_text.blocks(page)) == n
+        return time.process_time() - began
+
+    took(200)
+    assert took(8000) < 12 * max(took(2000), 0.02)
