@@ -73,6 +73,30 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_chat_windows": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        k AS (SELECT *, CASE role WHEN 'assistant' THEN 'ANS' ELSE 'INST' END AS kind, regexp_replace(replace(text, '\', '\\'), '([\[<])(/?(?:INST|ANS)|/?s>)', '\1\\\2', 'g') AS e FROM c),
+        r AS (SELECT *, '[' || kind || ' ' || url_encode(role) || ']' AS head, '[/' || kind || ']' AS tail FROM k),
+        n AS (SELECT *, length(head || e || tail) AS len, ceil(octet_length(encode(head || e || tail)) / 4.0)::BIGINT AS n FROM r),
+        p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n),
+        f AS (SELECT conv_id, start AS system_start, n, text, head, tail, (1024 - octet_length(encode(head || tail)))::BIGINT AS room FROM p WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY start) = 1),
+        g AS (SELECT *, regexp_replace(replace(left(text, room), '\', '\\'), '([\[<])(/?(?:INST|ANS)|/?s>)', '\1\\\2', 'g') AS plain FROM f),
+        h AS (SELECT *, CASE WHEN n <= 256 THEN text WHEN octet_length(encode(plain)) <= room THEN left(text, room) ELSE left(text, room // 8) END AS shown FROM g),
+        y AS (SELECT conv_id, system_start, head || regexp_replace(replace(shown, '\', '\\'), '([\[<])(/?(?:INST|ANS)|/?s>)', '\1\\\2', 'g') || tail AS told FROM h),
+        s AS (SELECT conv_id, system_start, length(told) AS system_len, ceil(octet_length(encode(told)) / 4.0)::BIGINT AS system_n FROM y),
+        b AS (SELECT p.*, s.system_start, coalesce(s.system_len, 0) AS system_len, 1536 - 256 - 2 - coalesce(s.system_n, 0) AS body FROM p LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+        w AS (SELECT *, 2 * (start // body) + (start + n > (start // body + 1) * body)::BIGINT AS w FROM b),
+        x AS (SELECT *, max(start + n) OVER q AS ends, row_number() OVER (q ORDER BY start DESC) AS nth FROM w WINDOW q AS (PARTITION BY conv_id, w)),
+        v AS (SELECT conv_id, w, min(start) AS begins, any_value(system_start) AS system_start, any_value(system_len) AS system_len, sum(len) AS len,
+                     coalesce(sum(len) FILTER (start >= ends - 256 AND nth <= 2 AND role <> 'system'), 0) AS history FROM x GROUP BY conv_id, w),
+        u AS (SELECT *, 7 + len + coalesce(lag(history) OVER (PARTITION BY conv_id ORDER BY w), 0) + CASE WHEN system_start < begins THEN system_len ELSE 0 END AS chars FROM v),
+        z AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars, count(*)::INTEGER AS n_windows FROM u GROUP BY conv_id),
+        d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY start)) AS turns_sha256,
+                     coalesce(string_agg(text, '' ORDER BY start) FILTER (role = 'assistant'), '') AS loss FROM p GROUP BY conv_id)
+        SELECT d.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows
+        FROM d JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id
+    """,
     "op4_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

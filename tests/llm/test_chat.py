@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -46,8 +47,7 @@ def test_long_conversation_is_cut_into_bounded_windows(spark):
     rows = [(1, 0, "system", "rules " * 20)] + [(1, t, "user" if t % 2 else "assistant", f"turn {t} " + "word " * (t * 37 % 300)) for t in range(1, 700)]
     made = check(spark, rows).orderBy("window").collect()
     assert len(made) > 100
-    body = [sum(-(-len(t.text.encode()) // 4) + 4 for t in r.turns) for r in chat.read_back(spark.createDataFrame(made)).collect()]
-    assert max(body) <= chat.BODY
+    assert max(len(r.formatted.encode()) for r in made) <= chat.BUDGET * chat.BYTES_PER_TOKEN
     system = "[INST system]" + "rules " * 20 + "[/INST]"
     assert all(r.formatted.startswith("<s>" + system) for r in made)
     assert all(1 <= r.n_repeated <= 1 + chat.HISTORY_TURNS for r in made[1:])
@@ -75,3 +75,28 @@ def test_empty_table_and_no_python(spark, sf_dir):
 def test_whole_table(spark, sf_small):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     check(spark, rows)
+
+
+def test_long_system_turn_is_inside_the_budget(spark):
+    rng = random.Random(1)
+    for text in ("rule " * 8000, "é<s>" * 9000):
+        rows = [(1, 0, "system", text)] + [(1, t, "user" if t % 2 else "assistant", "x<s>" * rng.randint(0, 500)) for t in range(1, 61)]
+        made = check(spark, rows).orderBy("window").collect()
+        limit = chat.BUDGET * chat.BYTES_PER_TOKEN
+        assert len(made[0].formatted) > len(text) and made[0].n_new == 1  # whole and alone once
+        assert all(len(r.formatted.encode()) <= limit for r in made[1:])
+        assert all(r.formatted.startswith("<s>[INST system]" + ("rule" if text[0] == "r" else "é")) for r in made)
+        assert sum(len(r.formatted.encode()) for r in made) < 2.5 * sum(len(r[3].encode()) for r in rows) + 20 * limit
+
+
+def test_windows_keep_to_any_budget(spark):
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(("system", "user", "assistant")), rng.choice("ab<[\\é") * rng.randint(0, 60)) for c in range(12) for t in range(40)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    for budget, history, system in ((100, 20, 20), (140, 0, 40)):
+        made = chat.windows(df, budget, history, 2, system).collect()
+        for r in made:
+            if r.n_new > 1:
+                assert len(r.formatted.encode()) <= budget * chat.BYTES_PER_TOKEN
+        found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.conversation_digests(chat.windows(df, budget, history, 2, system)).collect()}
+        assert found == expected(rows)
