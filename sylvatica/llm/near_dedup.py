@@ -273,7 +273,7 @@ def signatures(text: np.ndarray, value: np.ndarray, size: np.ndarray, plan: list
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
-SETS = "doc_id long, digest long, node long, low long, n_shingles long"
+SETS = "doc_id long, digest long, node long, low long, n_shingles long, sketch binary"
 INDEX = "signature long, node long, probe boolean"
 
 
@@ -291,7 +291,8 @@ def _sets(rule: Rule):
                 high, low = set_key(text, value, last - first, rule.key_bits)
                 empty = size == 0
                 columns = [*(batch.column(i).slice(first, last - first) for i in (0, 1)), pa.array(high.view(np.int64), mask=empty), pa.array(low.view(np.int64), mask=empty), pa.array(size, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "low", "n_shingles"])
+                columns.append(pa.array(sketches(text, value, size), pa.binary(), mask=empty))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "low", "n_shingles", "sketch"])
 
     return run
 
@@ -386,8 +387,8 @@ def _exact(rule: Rule):
     return run
 
 
-def _texts(docs: DataFrame, members: DataFrame, rule: Rule, renamed: Renamed, text: str) -> DataFrame:
-    """(node, n_shingles, sketch, text): a text of each node of ``members`` (node, least and digest: those of a row that has it).
+def _texts(docs: DataFrame, wanted: DataFrame, rule: Rule, renamed: Renamed, text: str) -> DataFrame:
+    """(node, text): a text of each node of ``wanted`` (node, least and digest: those of a row that has it).
 
     A row counts only if its text has the node's set, whatever other rows share its id and digest.
     """
@@ -399,14 +400,11 @@ def _texts(docs: DataFrame, members: DataFrame, rule: Rule, renamed: Renamed, te
             for first, last, at, value, size in _sets_of(batch.column(1), rule):
                 node = _nodes(rule, renamed, at, value, last - first)
                 keep = pa.array(_unseen(node, (node == asked[first:last]) & (size > 0), seen))
-                made = [pa.array(size, pa.int64()), pa.array(sketches(at, value, size), pa.binary())]
-                columns = [batch.column(0).slice(first, last - first), *made, batch.column(1).slice(first, last - first)]
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["node", "n_shingles", "sketch", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(first, last - first).filter(keep) for i in (0, 1)], names=["node", "text"])
 
-    wanted = members.select("node", _number("least").alias("id"), "digest")
+    keys = wanted.select("node", _number("least").alias("id"), "digest")
     rows = docs.select(_number("doc_id").alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    found = rows.join(wanted, ["id", "digest"]).select("node", "text").mapInArrow(check, "node long, n_shingles long, sketch binary, text string")
-    return settle(found, "node-texts")
+    return settle(rows.join(keys, ["id", "digest"]).select("node", "text").mapInArrow(check, "node long, text string"), "node-texts")
 
 
 def _number(column: str) -> Column:
@@ -414,16 +412,34 @@ def _number(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long").cast("string"), F.lit("null"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that link.  What a member has is joined to its pair first and what its hub ``a`` has last, so that no
-    hub's text is written once a pair; Spark splits the partition of a hot hub."""
-    side = lambda k: texts.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"h_{k}"))
+@dataclass
+class Corpus:
+    """What the steps of a join read: the documents, and (node, least, digest, n_shingles, sketch) of every node."""
+
+    docs: DataFrame
+    nodes: DataFrame
+    rule: Rule
+    plan: list[Band]
+    renamed: Renamed
+    text: str
+
+
+def _verified(pairs: DataFrame, corpus: Corpus) -> DataFrame:
+    """The pairs that link.  Only the texts of pairs whose sketches allow it are fetched.  What a member has is joined
+    to its pair first and what its hub ``a`` has last, so that no hub's text is written once a pair; Spark splits
+    the partition of a hot hub."""
+    rule = corpus.rule
+    side = lambda k: corpus.nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"h_{k}"))
     described = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "h_a", "h_b")
     close = settle(described.mapInArrow(_close(rule), "a long, b long"), "close")
+    ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    wanted = settle(corpus.nodes.select("node", "least", "digest").join(ends, "node", "left_semi"), "wanted")
+    texts = _texts(corpus.docs, wanted, rule, corpus.renamed, corpus.text)
     body = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"t_{k}"))
     whole = close.join(body("b"), "b").join(body("a"), "a").select("a", "b", "t_a", "t_b")
     links = settle(whole.mapInArrow(_exact(rule), "a long, b long"), "links")
-    discard(close)
+    for table in (close, wanted, texts):
+        discard(table)
     return links
 
 
@@ -538,12 +554,12 @@ def _parted(open_: DataFrame) -> DataFrame:
     return few.unionByName(cut)
 
 
-def _open_pairs(open_: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
+def _open_pairs(open_: DataFrame, corpus: Corpus) -> DataFrame:
     """The pairs of open buckets that might link, by sizes, sketches and the buckets they share."""
-    described = open_.join(texts.select("node", "n_shingles", "sketch"), "node")
+    described = open_.join(corpus.nodes.select("node", "n_shingles", "sketch"), "node")
     sorted_ = described.repartition(F.col("signature"), F.col("left"), F.col("right")).sortWithinPartitions("signature", "left", "right")
     names = ["signature", "node", "probe", "component", "n_shingles", "sketch", "part", "left", "right"]
-    met = sorted_.select(*names).mapInArrow(_compare(rule, plan), "a long, b long, shared long, required long")
+    met = sorted_.select(*names).mapInArrow(_compare(corpus.rule, corpus.plan), "a long, b long, shared long, required long")
     often = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("required").alias("required"))
     return often.where("shared >= required").select("a", "b")
 
@@ -560,7 +576,7 @@ def _open(members: DataFrame, total: int) -> DataFrame:
     return settle(join_groups(members, several, ["signature"], "n", total).select("signature", "node", "probe", "component", "n", "hub", "hub_home", "home"), "open")
 
 
-def _links(buckets: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -> DataFrame:
+def _links(buckets: DataFrame, corpus: Corpus) -> DataFrame:
     """(node, component) of the nodes that link with another."""
     spark = buckets.sparkSession
     # a node with many neighbours is likely the text that the others were made from: a good hub
@@ -575,7 +591,7 @@ def _links(buckets: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -
     tested = settle(apart.where(F.col("shared") >= HUB_SHARES).select("a", "b"), "pairs")
     discard(open_)
     tidy(spark)
-    links = _verified(tested, texts, rule)
+    links = _verified(tested, corpus)
     tidy(spark)
     if not links.isEmpty():
         found = components(links)
@@ -583,9 +599,9 @@ def _links(buckets: DataFrame, texts: DataFrame, rule: Rule, plan: list[Band]) -
     discard(members)
     if not open_.isEmpty():
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = settle(_open_pairs(_parted(open_.drop("hub", "hub_home")), texts, rule, plan).join(known, ["a", "b"], "left_anti"), "pairs")
+        pairs = settle(_open_pairs(_parted(open_.drop("hub", "hub_home")), corpus).join(known, ["a", "b"], "left_anti"), "pairs")
         tidy(spark)
-        more = _verified(pairs, texts, rule)
+        more = _verified(pairs, corpus)
         tidy(spark)
         if not more.isEmpty():
             found = components(links.unionByName(more))
@@ -618,9 +634,9 @@ def _grouped(docs: DataFrame, rule: Rule, text: str) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias(text))
     rows = settle(source.select("doc_id", F.xxhash64(text).alias("digest"), text).mapInArrow(_sets(rule), SETS), "sets")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest")))
-    grouped = rows.where("n_shingles > 0").groupBy("node", "low").agg(first.alias("first"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members"))
-    classes = settle(grouped.select("node", "low", F.col("first.doc_id").alias("least"), F.col("first.digest").alias("digest"), "n_shingles", "members"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest"), "n_shingles", "sketch"))
+    grouped = rows.where("n_shingles > 0").groupBy("node", "low").agg(first.alias("first"), F.count(F.lit(1)).alias("members"))
+    classes = settle(grouped.select("node", "low", F.col("first.doc_id").alias("least"), F.col("first.digest").alias("digest"), "first.n_shingles", "first.sketch", "members"), "classes")
     bits = F.length(F.bin("n_shingles")) - 1
     kind = 4 * bits + F.floor(F.col("n_shingles") * 4 / F.pow(F.lit(2.0), bits)).cast("int").bitwiseAND(3)
     sizes = classes.groupBy(kind.cast("int").alias("kind")).agg(F.max("n_shingles").alias("largest"), F.count(F.lit(1)).alias("n")).collect()  # some 100 at most
@@ -633,12 +649,9 @@ def _grouped(docs: DataFrame, rule: Rule, text: str) -> tuple[DataFrame, DataFra
     plan = bands(rule, max(r["largest"] for r in sizes), {r["kind"]: r["n"] for r in sizes})
     buckets = _buckets(source, rule, plan, renamed, text)
     tidy(spark)
-    inside = buckets.select("node").distinct()
     numbered = classes.withColumn("own", own)
-    texts = _texts(source, numbered.select(F.col("own").alias("node"), "least", "digest").join(inside, "node", "left_semi"), rule, renamed, text)
-    tidy(spark)
-    found = _links(buckets, texts, rule, plan)
-    discard(texts)
+    corpus = Corpus(source, numbered.select(F.col("own").alias("node"), "least", "digest", "n_shingles", "sketch"), rule, plan, renamed, text)
+    found = _links(buckets, corpus)
     named = numbered.join(found.withColumnRenamed("node", "own"), "own", "left").withColumn("component", F.coalesce("component", "own"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("members").alias("size"))
     total = rows.count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -17,9 +18,12 @@ HEAVY_LEAST = 200
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a session without one (a test) gets a folder of its own."""
+    """The folder in ``spark.checkpoint.dir``.  A local session without one gets a folder of its own; on a cluster, whose
+    machines do not share their disks, that would lose rows, so it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='sylvatica-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,10 +33,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/sylvatica/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes that Spark hands to a Python worker at once while a table is settled.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs survive the loss of any executor."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +59,8 @@ def tidy(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the last query's end is told to listeners by another thread, which holds its plan till then
+    spark.sparkContext._jvm.System.gc()
 
 
 def discard(df: DataFrame) -> None:
