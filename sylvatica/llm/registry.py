@@ -135,10 +135,9 @@ ORACLES = {
     """,
     "op10_topk_search": r"""
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS c FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(embedding) > 0
-                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, v.vec_id,
-                     list_sum(list_transform(range(1, len(v.c) + 1), lambda i: q.c[i] * v.c[i]))::BIGINT AS score
+                     coalesce(list_sum(list_transform(range(1, len(v.c) + 1), lambda i: q.c[i] * v.c[i])), 0)::BIGINT AS score
               FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.c) = len(v.c)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10

@@ -1,21 +1,27 @@
 """Exact top-k inner-product search over vector-approximation files.
 
-Components are the integers floor(1024 * x).  Every block of vectors is held as a file of approximations:
-per dimension the block's range is cut into 2 ** BITS equal cells and a vector is kept as its cell numbers,
-a byte each.  A query first scans the cells.  As all cells of a dimension are equally wide, the largest and
-smallest inner product that a vector in a given cell can have differ from that of the cell's lower corner by
-amounts that depend on the query alone, so a single product of matrices bounds all pairs of a block.  The
-k-th largest lower bound, or the k-th best exact score so far, then rules out nearly all vectors; the rest
-are read exactly in the order of their upper bounds until the k-th score is at least the next bound.
-
-A task holds one block (an Arrow batch) and one block of queries (QUERY_BLOCK at most in expectation, about
-a MB, whatever the size of the query set) and keeps k results per query; blocks of queries are jobs one
-after the other.  The best k of all partitions are then ranked per query.
-
-Defined cases: a vector that is null or empty, or that holds a null or non-finite component, and a row
-without an id take no part; a query is compared with vectors of its own length only; a query is answered
-once however often its row is repeated, and no row with its id is a candidate; repeated candidate rows each
-take a rank; an empty table, or a query without candidates, gives no rows; scores saturate at a long's ends.
+Components are the integers floor(1024 * x).  The vectors are written once as approximations: a block of some
+thousand vectors of one length and like magnitude keeps, per dimension, the block's range in 2 ** BITS equal cells,
+and of every vector the numbers of its cells, a byte each.  A search scans these files alone.  With a vector taken
+at the middle of its cells, one product of matrices gives the scores of a block for a block of queries within a
+distance that depends on the query only (half a cell's width in every dimension, and the rounding of the product).
+A vector goes on if its upper bound reaches the k-th largest lower bound that the task has seen; once all blocks
+are scanned, if it reaches that of the whole table.  Only the vectors that are left are read exactly, for each
+query in the order of their upper bounds, until the k-th score is above the next bound.
+
+Equal vectors have equal scores, of which only the smallest ids can be answers; so a vector that repeats, however
+often, is searched as its 2 * k smallest rows (of which at most k can be a query's own, as an id counts k times at
+most).  That is a window with a limit on both sides of its shuffle, and no task meets all copies.
+
+Queries are sent to the tasks some MB at a time (QUERY_BYTES, whatever the query set), so the approximations are
+scanned once per so many queries.  A task holds one block, the queries sent, and k bounds per query.
+
+Defined cases: a vector that is null, or that holds a null or non-finite component, and a row without an id take no
+part; an empty vector does, and its score with another is 0; a query is compared with vectors of its own length
+only; a query is answered once however often its row is repeated (by its smallest vector), and no row with its id is
+a candidate; repeated candidate rows each take a rank; ties go to the smaller id; very large components only widen
+the cells of blocks of their own magnitude; an empty table, or a query without candidates, gives no rows; scores
+saturate at a long's ends; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvatica.llm.storage import fresh_path, settle
+from sylvatica.llm.storage import discard, fresh_path, settle
 
 SCALE = 1024
-BITS = 7
-QUERY_BLOCK = 2048
-#: Vectors of a block that are bounded against a block of queries at once: 2,048 x 2,048 doubles are 32 MB.
+BITS = 8
+#: Vectors of a block of approximations, and queries that are bounded against it at once.
 VECTOR_BLOCK = 2048
+QUERY_BLOCK = 1024
+#: Bytes of queries that a scan answers.
+QUERY_BYTES = 8 << 20
 _LONG = 2**63 - 1
+CELLS = "size int, row binary, id binary, low binary, width binary, cells binary"
+BOUNDS = "query_id long, row long, lower double, upper double"
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -42,73 +52,47 @@ def usable(vectors: DataFrame, identifier: str = "vec_id", column: str = "embedd
     """(id, components) of the rows that take part, as integers."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     whole = F.transform(column, lambda x: F.floor(x.cast("double") * SCALE))
-    kept = vectors.where(F.col(identifier).isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0) & F.coalesce(finite, F.lit(False)))
+    kept = vectors.where(F.col(identifier).isNotNull() & F.col(column).isNotNull() & F.coalesce(finite, F.lit(False)))
     return kept.select(F.col(identifier).cast("long").alias("id"), whole.alias("v"))
 
 
-class Best:
-    """The k best (score, smallest id first) of each query."""
+class Grid:
+    """Equal cells of each dimension of a block: ``low`` is the first one's edge, ``reach`` how far a component can be
+    from the middle of its cell and ``most`` its largest size."""
 
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
-        self.rows: list[list[tuple[int, int]]] = [[] for _ in range(queries)]  # (-score, id), sorted
-
-    def floor(self, q: int) -> int | None:
-        return -self.rows[q][-1][0] if len(self.rows[q]) == self.k else None
-
-    def add(self, q: int, found: list[tuple[int, int]]) -> None:
-        self.rows[q] = sorted(self.rows[q] + found)[: self.k]
-
-
-def approximate(vectors: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell numbers, each dimension's least value, each dimension's cell width) of a block of integer vectors."""
-    low, high = vectors.min(axis=0), vectors.max(axis=0)
-    width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-    return ((vectors - low) // width).astype(np.uint8 if bits <= 8 else np.int32), low, width
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: Best, bits: int = BITS) -> int:
-    """Put the block's best into ``best``; returns how many vectors were read exactly."""
-    k = best.k
-    limit = float(np.abs(vectors.astype(np.float64)).max() * np.abs(queries.astype(np.float64)).max() * vectors.shape[1])
-    if limit >= 2.0**52:  # sums of doubles would not be exact: score these as whole numbers of any size
-        for q in range(len(query_ids)):
-            scores = [max(-_LONG - 1, min(_LONG, sum(int(a) * int(b) for a, b in zip(queries[q], v, strict=True)))) for v in vectors]
-            best.add(q, [(-s, int(i)) for s, i in zip(scores, ids, strict=True) if i != query_ids[q]])
-        return len(ids) * len(query_ids)
-    cells, low, width = approximate(vectors, bits)
-    corner = (low + cells.astype(np.int64) * width).astype(np.float64)
-    span = (width - 1).astype(np.float64)
-    wide = queries.astype(np.float64)
-    base = wide @ corner.T
-    above, below = np.maximum(wide, 0) @ span, np.minimum(wide, 0) @ span
-    own = query_ids[:, None] == ids[None, :]
-    base[own] = -np.inf
-    read, n = 0, len(ids)
-    bar = np.full(len(query_ids), -np.inf)
-    if n > k:
-        bar = np.partition(base, n - k, axis=1)[:, n - k] + below  # the k-th largest lower bound
-    for q in range(len(query_ids)):
-        floor = best.floor(q)
-        least = max(bar[q], -np.inf if floor is None else float(floor))
-        upper = base[q] + above[q]
-        candidates = np.flatnonzero((upper >= least) & (base[q] > -np.inf))
-        candidates = candidates[np.argsort(-upper[candidates], kind="stable")]
-        for at in range(0, len(candidates), 4 * k):
-            some = candidates[at : at + 4 * k]
-            floor = best.floor(q)
-            if floor is not None and upper[some[0]] < floor:
-                break
-            exact = vectors[some] @ queries[q]
-            read += len(some)
-            best.add(q, [(-int(s), int(i)) for s, i in zip(exact, ids[some], strict=True)])
-    return read
+    def __init__(self, low: np.ndarray, width: np.ndarray, bits: int) -> None:
+        self.low, self.width = low, width
+        self.most = np.maximum(np.abs(low), np.abs(low + width * (1 << bits)))
+        self.reach = width * (0.5 + 2.0**-20) + self.most * 2.0**-48
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, bits: int) -> Grid:
+        low, high = vectors.min(axis=0).astype(float), vectors.max(axis=0).astype(float)
+        return cls(low, (high - low) * (1 + 2.0**-30) / (1 << bits), bits)
+
+    def cells(self, vectors: np.ndarray, bits: int) -> np.ndarray:
+        at = (vectors.astype(float) - self.low) / np.where(self.width > 0, self.width, 1.0)
+        return np.clip(np.floor(at), 0, (1 << bits) - 1).astype(np.uint8)
+
+    def scores(self, cells: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a score of each query and vector, how far a query's true scores can be from it)."""
+        size = np.abs(queries) @ self.most
+        kind = np.float32 if float(size.max(initial=0.0)) < 1e30 else np.float64
+        middle = (self.low + (cells + 0.5) * self.width).astype(kind)
+        rounding = (len(self.low) + 16) * 2.0 ** (-22 if kind is np.float32 else -51)
+        return queries.astype(kind) @ middle.T, np.abs(queries) @ self.reach + size * rounding
+
+
+def magnitude(vectors: np.ndarray) -> np.ndarray:
+    """The largest component of each vector as a power of four."""
+    most = np.abs(vectors.astype(float)).max(axis=1, initial=0.0)
+    return np.where(most > 0, np.frexp(most)[1] // 2, -1)
 
 
 def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix) for each length of vector in an Arrow column of lists."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    flat = column.values.to_numpy(zero_copy_only=False)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.diff(ends)
     out = []
     for size in np.unique(sizes):
@@ -117,38 +101,171 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """The k best of ``vectors`` for each of ``queries`` (both as ``usable`` gives them):
-    query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    asked = settle(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
-    blocks = -(-asked.count() // query_block)
-    path = fresh_path(spark, "search")
-    nothing = spark.createDataFrame([], FOUND)
-    nothing.write.parquet(path)
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()  # a block: some MB at most
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {len(r["v"]) for r in rows}:
-            same = [r for r in rows if len(r["v"]) == size]
-            by_size[size] = np.array([r["id"] for r in same], np.int64), np.array([r["v"] for r in same], np.int64)
-        sent = spark.sparkContext.broadcast(by_size)
+def _approximate(bits: int):
+    """Blocks of approximations of rows (row, id, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, ids = (batch.column(i).to_numpy() for i in (0, 1))
+            for rows, matrix in _matrix(batch.column(2)):
+                kinds = magnitude(matrix)
+                for kind in np.unique(kinds):
+                    alike = np.flatnonzero(kinds == kind)
+                    for at in range(0, len(alike), VECTOR_BLOCK):
+                        own = alike[at : at + VECTOR_BLOCK]
+                        grid = Grid.of(matrix[own], bits)
+                        made = (numbers[rows[own]], ids[rows[own]], grid.low, grid.width, grid.cells(matrix[own], bits))
+                        yield pa.RecordBatch.from_arrays([pa.array([matrix.shape[1]], pa.int32()), *[pa.array([np.ascontiguousarray(m).tobytes()], pa.binary()) for m in made]], names=[c.split()[0] for c in CELLS.split(", ")])
+
+    return run
+
+
+class Bars:
+    """The k largest lower bounds of each query so far; a vector whose upper bound is under the least of them is out."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.best = np.full((queries, k), -np.inf)
+
+    def meet(self, first: int, lower: np.ndarray) -> np.ndarray:
+        """Take in a block's lower bounds for the queries from ``first`` on; returns their bars."""
+        own = self.best[first : first + len(lower)]
+        k = own.shape[1]
+        higher = np.flatnonzero((lower > own[:, :1]).any(axis=1))
+        if len(higher):
+            new = lower[higher]
+            if new.shape[1] > k:
+                new = np.partition(new, new.shape[1] - k, axis=1)[:, -k:]
+            own[higher] = np.sort(np.concatenate((own[higher], new), axis=1), axis=1)[:, -k:]
+        return own[:, 0]
+
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = {size: Best(len(ids), k) for size, (ids, _) in sent.value.items()}
-            for batch in batches:
-                every = batch.column(0).to_numpy()
-                for rows, matrix in _matrix(batch.column(1)):
-                    if (size := matrix.shape[1]) in best:
-                        ids, asked_for = sent.value[size]
-                        for at in range(0, len(rows), VECTOR_BLOCK):
-                            search_block(every[rows[at : at + VECTOR_BLOCK]], matrix[at : at + VECTOR_BLOCK], ids, asked_for, best[size], bits)
-            found = [(int(q), i, -s) for size, b in best.items() for q, rows in zip(sent.value[size][0], b.rows, strict=True) for s, i in rows]
+def bounded(cells: np.ndarray, grid: Grid, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bars: Bars, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, lower, upper) of the pairs of a block that a block of queries cannot rule out yet."""
+    score, reach = grid.scores(cells, queries)
+    lower = np.clip(score - reach[:, None], -(2.0**63), 2.0**63)  # as scores saturate, bounds do
+    upper = np.clip(score + reach[:, None], -(2.0**63), 2.0**63)
+    own = query_ids[:, None] == ids[None, :]
+    lower[own] = upper[own] = -np.inf
+    bar = bars.meet(first, lower)
+    q, v = np.nonzero((upper >= bar[:, None]) & (upper > -np.inf))
+    return q, v, lower[q, v], upper[q, v]
+
+
+def _scan(sent, k: int, bits: int):
+    """The pairs that a task's blocks leave for the queries sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        bars = {size: Bars(len(ids), k) for size, (ids, _) in asked.items()}
+        for batch in batches:
+            for size, row, id_, low, width, cells in zip(*batch.columns, strict=True):
+                size = size.as_py()
+                if size not in asked:
+                    continue
+                query_ids, queries = asked[size]
+                rows, ids = np.frombuffer(row.as_buffer(), np.int64), np.frombuffer(id_.as_buffer(), np.int64)
+                grid = Grid(np.frombuffer(low.as_buffer()), np.frombuffer(width.as_buffer()), bits)
+                block = np.frombuffer(cells.as_buffer(), np.uint8).reshape(len(rows), size)
+                for at in range(0, len(query_ids), QUERY_BLOCK):
+                    own = query_ids[at : at + QUERY_BLOCK]
+                    q, v, lower, upper = bounded(block, grid, ids, own, queries[at : at + QUERY_BLOCK], bars[size], at)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(rows[v]), pa.array(lower), pa.array(upper)], names=["query_id", "row", "lower", "upper"])
+
+    return run
+
+
+def exact_scores(query: np.ndarray, vectors: np.ndarray) -> list[int]:
+    """Inner products as whole numbers, saturating at a long's ends."""
+    limit = float(np.abs(query.astype(float)).max(initial=0.0)) * float(np.abs(vectors.astype(float)).max(initial=0.0)) * max(1, len(query))
+    if limit < 2.0**62:
+        return (vectors @ query).tolist()
+    return [max(-_LONG - 1, min(_LONG, sum(int(a) * int(b) for a, b in zip(query, v, strict=True)))) for v in vectors]
+
+
+def _read(k: int):
+    """The k best of each query from rows (query_id, q, id, v, upper) sorted by query and falling upper bound."""
+
+    def best(query: int, rows: list[dict]) -> list[tuple[int, int, int]]:
+        asked = np.array(rows[0]["q"], np.int64)
+        top: list[tuple[int, int]] = []  # (-score, id)
+        for at in range(0, len(rows), 4 * k):
+            some = rows[at : at + 4 * k]
+            if len(top) == k and some[0]["upper"] < -top[-1][0]:
+                break  # no vector that is left can reach the k-th score
+            vectors = np.array([r["v"] for r in some], np.int64).reshape(len(some), len(asked))
+            top = sorted(top + [(-s, r["id"]) for s, r in zip(exact_scores(asked, vectors), some, strict=True)])[:k]
+        return [(query, i, -s) for s, i in top]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+
+        held: list[dict] = []  # the rows of one query
+        for batch in batches:
+            found: list[tuple[int, int, int]] = []
+            for row in batch.to_pylist():
+                if held and row["query_id"] != held[0]["query_id"]:
+                    found += best(held[0]["query_id"], held)
+                    held = []
+                held.append(row)
+                if len(held) > 64 * k:  # what cannot be an answer any more goes
+                    kept = {(i, s) for _, i, s in best(row["query_id"], held)}
+                    scores = exact_scores(np.array(row["q"], np.int64), np.array([r["v"] for r in held], np.int64).reshape(len(held), len(row["q"])))
+                    held = [r for r, s in zip(held, scores, strict=True) if (r["id"], s) in kept]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+                yield told(found)
+        if held:
+            yield told(best(held[0]["query_id"], held))
 
-        vectors.select("id", "v").mapInArrow(scan, FOUND).write.mode("append").parquet(path)
+    return run
+
+
+def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
+    """(row, id, v): of equal vectors the rows that any query could be answered with."""
+    alike = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
+    same = Window.partitionBy(F.xxhash64("v"), "v", "id").orderBy(F.lit(1))
+    few = vectors.select("id", "v").withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k)
+    kept = few.withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= 2 * k)
+    return settle(kept.select(F.monotonically_increasing_id().alias("row"), "id", "v"), "vectors")
+
+
+def candidates(rows: DataFrame, asked: DataFrame, k: int, bits: int = BITS) -> DataFrame:
+    """(query_id, row, lower, upper) of the pairs that the approximations alone leave open for the k best."""
+    spark = rows.sparkSession
+    cells = settle(rows.mapInArrow(_approximate(bits), CELLS), "cells")
+    figures = asked.agg(F.count(F.lit(1)), F.sum(F.size("v") + 2)).first()
+    scans = -(-(figures[1] or 0) * 8 // QUERY_BYTES)
+    path = fresh_path(spark, "bounds")
+    spark.createDataFrame([], BOUNDS).write.parquet(path)
+    for scan in range(scans):
+        some = asked.where(F.pmod(F.xxhash64("id"), F.lit(scans)) == scan).collect()  # about QUERY_BYTES
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in {len(r["v"]) for r in some}:
+            same = [r for r in some if len(r["v"]) == size]
+            by_size[size] = np.array([r["id"] for r in same], np.int64), np.array([r["v"] for r in same], float).reshape(len(same), size)
+        sent = spark.sparkContext.broadcast(by_size)
+        cells.mapInArrow(_scan(sent, k, bits), BOUNDS).write.mode("append").parquet(path)
         sent.destroy()
+    discard(cells)
+    bounds = spark.read.schema(BOUNDS).parquet(path)
+    order = Window.partitionBy("query_id").orderBy(F.col("lower").desc())
+    least = bounds.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).groupBy("query_id").agg(F.min("lower").alias("bar"), F.count(F.lit(1)).alias("n"))
+    bars = least.select("query_id", F.when(F.col("n") == k, F.col("bar")).otherwise(F.lit(float("-inf"))).alias("bar"))
+    return bounds.join(bars, "query_id").where(F.col("upper") >= F.col("bar")).select("query_id", "row", "lower", "upper")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS) -> DataFrame:
+    """The k best of ``vectors`` for each of ``queries`` (both as ``usable`` gives them):
+    query_id, rank, vec_id, score."""
+    if not 1 <= bits <= 8:
+        raise ValueError("a cell's number is a byte")
+    asked = settle(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
+    rows = distinct_vectors(vectors, k)
+    left = settle(candidates(rows, asked, k, bits), "candidates")
+    # few rows beside the vectors: where they are few enough to be sent, the vectors stay where they are
+    read = left.join(rows, "row").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    ordered = read.select("query_id", "q", "id", "v", "upper").repartition("query_id").sortWithinPartitions("query_id", F.col("upper").desc())
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    ranked = spark.read.schema(FOUND).parquet(path).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = ordered.mapInArrow(_read(k), FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
