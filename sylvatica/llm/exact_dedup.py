@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvatica.llm.storage import join_groups, settle, text_or_empty
+from sylvatica.llm.storage import join_groups, settle, text_or_empty, unused
 
 FAN_IN = 16
 _DROP = bytes((0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D))
@@ -135,17 +135,18 @@ def drop_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of equal texts, all its columns as they were.
 
     The row that stays is found by its doc_id, its group's digest and its length; of whole repeated rows
-    that agree in all three one stays.  The join and the choice among repeats share one shuffle.
+    that agree in all three one stays.  The join and the choice among repeats share one shuffle.  Columns of the
+    input may have any names.
     """
-    names = ["__id", "__digest", "__points"]
+    identity, key, size = names = [unused(n, docs.columns) for n in ("id", "digest", "points")]
     marked = settle(mark_duplicates(docs, text), "dedup-marks")
     keep = marked.where("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.lower(F.hex("digest")).alias("__digest"), F.col("n_points").alias("__points")
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(identity), F.lower(F.hex("digest")).alias(key), F.col("n_points").alias(size)
     )
     plain = F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", "")
     keyed = docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-        "__digest": F.sha2(plain, 256),
-        "__points": F.char_length(text_or_empty(text)),
+        identity: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+        key: F.sha2(plain, 256),
+        size: F.char_length(text_or_empty(text)),
     })
     return keyed.join(keep, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -6,7 +6,8 @@ probability is the fraction of the rate.  The coin needs no state, so reruns and
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a document
 of size 0 is copied like any other; a source without words has target 0 and rate 0; an empty table gives
-an empty mix; rows repeating a doc_id toss the same coin; a null doc_id tosses one coin for all such rows.
+an empty mix; rows repeating a doc_id toss the same coin; a document without one tosses that of its text's digest;
+texts are measured whole, however long; columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvatica.llm.storage import settle
+from sylvatica.llm.storage import settle, unused
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -31,9 +32,10 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def coin(identifier: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the first 32 bits of an MD5 digest."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(identifier).cast("string"), F.lit("null")))
+def coin(identifier: str, text: str | None = None, seed: str = SEED) -> Column:
+    """A number in [0, 1) from the first 32 bits of an MD5 digest of the identifier, or of the text where it is null."""
+    unnamed = F.concat(F.lit("null-"), F.md5(F.coalesce(F.col(text), F.lit("")))) if text else F.lit("null")
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(identifier).cast("string"), unnamed))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
@@ -73,26 +75,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: floa
 def with_copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP, text: str = "text") -> DataFrame:
     """(doc_id, source, size) of every document with its source's figures and ``copies``, the number of
     times that the mix emits it.  The texts are scanned once; what is written is three columns wide."""
-    measured = settle(docs.select("doc_id", "source", word_count(text).alias("size")), "mix-sizes")
+    measured = settle(docs.select("doc_id", "source", word_count(text).alias("size"), coin("doc_id", text).alias("coin")), "mix-sizes")
     sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = settle(source_targets(sizes, weights, cap), "mix-targets")
-    return _attach(measured, targets, ["source_size", "weight", "target", "rate"]).withColumnRenamed("__copies", "copies")
+    return _attach(measured, targets, "copies", ["source_size", "weight", "target", "rate"], F.col("coin")).drop("coin")
 
 
-def _attach(rows: DataFrame, targets: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows with ``__copies`` and the columns ``keep`` of their source."""
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("__source")
+def _attach(rows: DataFrame, targets: DataFrame, copies: str, keep: Sequence[str], toss: Column) -> DataFrame:
+    """Rows with the column ``copies`` and the columns ``keep`` of their source; ``toss`` is each row's coin."""
+    name, rate, salt = (unused(n, [*rows.columns, *keep, copies]) for n in ("source_name", "source_rate", "salt"))
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias(name)
     few = targets.count() <= BROADCAST_SOURCES
-    rows, targets = rows.withColumn("__source", key), targets.select(key, F.col("rate").alias("__rate"), *keep)
+    rows, targets = rows.withColumn(name, key), targets.select(key, F.col("rate").alias(rate), *keep)
     if few:
-        joined = rows.join(F.broadcast(targets), "__source")
+        joined = rows.join(F.broadcast(targets), name)
     else:  # a hot source's rows go to SALTS tasks; the targets are a row per source, repeated SALTS times
-        salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("__salt", salt).join(salted, ["__source", "__salt"]).drop("__salt")
-    whole = F.floor("__rate")
-    copies = whole + (coin("doc_id") < F.col("__rate") - whole).cast("long")
-    return joined.withColumn("__copies", copies).drop("__source", "__rate")
+        salted = targets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn(salt, F.floor(toss * SALTS).cast("int")).join(salted, [name, salt]).drop(salt)
+    whole = F.floor(F.col(rate))
+    return joined.withColumn(copies, whole + (toss < F.col(rate) - whole).cast("long")).drop(name, rate)
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -104,6 +105,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float
     sized = docs.select("source", word_count("text").alias("size"))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = settle(source_targets(sizes, weights, cap), "mix-targets")
-    copied = _attach(docs, targets).where(F.col("__copies") > 0)
-    emitted = copied.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    copies, copy = (unused(n, docs.columns) for n in ("copies", "copy"))
+    copied = _attach(docs, targets, copies, [], coin("doc_id", "text")).where(F.col(copies) > 0)
+    emitted = copied.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return emitted.select(*docs.columns)

@@ -98,7 +98,7 @@ ORACLES = {
         FROM d JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id
     """,
     "op4_mix_sources": r"""
-        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null-' || md5(coalesce(text, ''))) AS name, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s),
         x AS (SELECT *, 1 + (n - 1) % 3 AS weight FROM w),
@@ -111,7 +111,7 @@ ORACLES = {
         t AS (SELECT source, source_size, CASE WHEN (SELECT lv FROM a) IS NULL THEN bound * weight ELSE least((SELECT lv FROM a), bound) * weight END AS target FROM l),
         r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
         c AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target,
-                     (floor(r.rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE
+                     (floor(r.rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || d.name), 1, 8))::BIGINT / 4294967296.0::DOUBLE
                         < r.rate - floor(r.rate) THEN 1 ELSE 0 END)::BIGINT AS copies
               FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
         SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM c

@@ -60,3 +60,11 @@ def test_drop_duplicates_keeps_one_row_of_each_group(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert D.mark_duplicates(docs).count() == 0 and D.drop_duplicates(docs).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b", 1, 2, 3), (2, "ab", 4, 5, 6), (3, "a  b", 7, 8, 9), (4, "other", 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, Digest long, points long")
+    kept = D.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[2], rows[3]]

@@ -78,3 +78,13 @@ def test_empty_table(spark):
 def test_coin_is_uniform(spark):
     coins = spark.range(20_000).select(M.coin("id").alias("c")).agg(F.avg("c").alias("m"), F.min("c").alias("l"), F.max("c").alias("h")).first()
     assert abs(coins.m - 0.5) < 0.01 and 0 <= coins.l < 0.01 and 0.99 < coins.h < 1
+
+
+def test_columns_of_any_name_and_null_ids(spark):
+    rows = [(None, f"word {i} of it", "a" if i % 3 else "b", i, i, i) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long, source_rate long, salt long").repartition(4)
+    mixed = M.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    taken = {r.source: r.n * 4 for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    targets = {r.source: r.target for r in M.with_copies(docs).select("source", "target").distinct().collect()}
+    assert all(abs(taken[s] - targets[s]) < 0.05 * targets[s] for s in targets)
