@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sylvatica.functions.text import strip
+from sylvatica.functions.text import once, strip
 
 INCONCLUSIVE = "INCONCLUSIVE"
 CANNOT = "Cannot determine from this image"
@@ -103,13 +103,16 @@ def parse_yes_no(answer: Column) -> Column:
 
 def parse_choice(answer: Column, values: Column) -> Column:
     """The value that an answer names: the whole answer, else the first one inside it, else by number."""
-    text = strip(answer)
-    low = F.lower(text)
-    whole = F.get(F.filter(values, lambda v: F.lower(v) == low), F.lit(0))
-    inside = F.get(F.filter(values, lambda v: F.contains(low, F.lower(v))), F.lit(0))
-    number = F.regexp_extract(text, r"^([0-9]+)", 1).try_cast("int")
-    numbered = F.when(number.between(1, F.size(values)), F.get(values, number - 1))
-    return F.coalesce(whole, inside, F.when(~F.contains(low, F.lit("cannot determine")), numbered), F.lit(INCONCLUSIVE))
+
+    def told(said: Column) -> Column:
+        text, low = said["text"], said["low"]
+        whole = F.get(F.filter(values, lambda v: F.lower(v) == low), F.lit(0))
+        inside = F.get(F.filter(values, lambda v: F.contains(low, F.lower(v))), F.lit(0))
+        number = F.regexp_extract(text, r"^([0-9]+)", 1).try_cast("int")
+        numbered = F.when(number.between(1, F.size(values)), F.get(values, number - 1))
+        return F.coalesce(whole, inside, F.when(~F.contains(low, F.lit("cannot determine")), numbered), F.lit(INCONCLUSIVE))
+
+    return once(strip(answer), lambda text: once(F.struct(text.alias("text"), F.lower(text).alias("low")), told))
 
 
 def mock_answer(parts: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that a text is stripped of: all of Unicode's white space and the ASCII separators.
-SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: The controlled organ prompts, in order.
 ORGAN_PROMPTS = ("leaf", "flower", "fruit", "stem", "bark", "bud", "branch", "whole plant")
@@ -19,7 +21,12 @@ AMBIGUOUS = "ambiguous organ"
 
 def strip(value: Column) -> Column:
     """Without white space at either end; SQL's ``trim`` removes blanks only."""
-    return F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(value, F.lit(BLANKS))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often the lambdas of ``use`` refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -40,9 +47,13 @@ def normal_label(value: Column) -> Column:
 
 def organ_label(label: Column, prompts: Sequence[str] = ORGAN_PROMPTS) -> Column:
     """The one controlled prompt that the label contains; a label with none or several is ambiguous."""
-    text = normal_label(label)
-    hits = F.filter(F.array(*[F.lit(p) for p in prompts]), lambda p: F.contains(text, normal_label(p)))
-    return F.when(label.isNull(), F.lit(None)).when(F.size(hits) == 1, F.get(hits, F.lit(0))).otherwise(F.lit(AMBIGUOUS))
+    normal = [re.sub(r"\s+", " ", p.lower().replace("_", " ")).strip() for p in prompts]
+
+    def told(text: Column) -> Column:
+        hits = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(n)), F.lit(p)) for p, n in zip(prompts, normal, strict=True)]))
+        return once(hits, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))).otherwise(F.lit(AMBIGUOUS)))
+
+    return F.when(label.isNotNull(), once(normal_label(label), told))
 
 
 def category_id(label: Column) -> Column:

@@ -130,9 +130,9 @@ def second_phase(rows: DataFrame, choices: DataFrame, values: DataFrame, ask: Ca
     """The choice among options for rows answered YES; the others are INCONCLUSIVE without a call.
 
     The two kinds of rows are parted by filters, as an expensive function inside ``when`` may run for all rows.
-    ``choices`` and ``values`` have a row per feature.
+    ``choices`` and ``values`` have a row per feature; Spark sends them to every task only if their size allows.
     """
-    joined = rows.join(F.broadcast(choices), "feature", "left").join(F.broadcast(values), "feature", "left")
+    joined = rows.join(choices, "feature", "left").join(values, "feature", "left")
     yes = joined.where(F.col("p1_parsed") == "YES")
     none = F.array().cast("array<struct<value:string,description:string,photo:string,illustration:string>>")
     asked = yes.withColumn("p2_parts", A.choice_prompt(F.col("feature"), F.coalesce("options", none), F.col("photo_url")))
@@ -169,7 +169,7 @@ def calibration_tasks(refs: DataFrame, models: Sequence[str]) -> DataFrame:
 def calibrated(rows: DataFrame, choices: DataFrame, ask: Callable[[Column, Column], Column]) -> DataFrame:
     """Calibration results.  Rows already done are to be taken out before, so that no call is paid for twice."""
     feature, truth, image, kind = F.col("feature"), F.col("feature_value"), F.col("reference_illustration_path"), F.col("prompt_type")
-    joined = rows.join(F.broadcast(choices), "feature", "left")
+    joined = rows.join(choices, "feature", "left")
     prompt = (
         F.when(kind == "existence", A.existence_prompt(feature, image, truth))
         .when(kind == "agreement", A.agreement_prompt(feature, truth, F.col("reference_description"), image))

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from sylvatica.operators.frames import broken_rules, insist, key_violations, last_by_key
 from sylvatica.schemas import EVIDENCE_STATES, NODE_KINDS, TAXON_RANKS
+from sylvatica.session import settled
+
+#: Groups that cases are dealt to when all of them meet the roots.
+SALTS = 32
 
 
 def node_violations(nodes: DataFrame) -> DataFrame:
@@ -25,20 +29,26 @@ def node_violations(nodes: DataFrame) -> DataFrame:
     return own.unionByName(keys).unionByName(orphans)
 
 
-def depths(nodes: DataFrame, view: str = "sylvatica_nodes") -> DataFrame:
-    """(node_id, depth) of the nodes that a root leads to.  A node on a cycle, or below one, is not there.
+def depths(nodes: DataFrame) -> DataFrame:
+    """(node_id, depth) of the nodes that a root leads to.  A node on a cycle, or below one or an unknown parent, is not there.
 
-    The walk goes down from the roots, so a cycle is never entered and the recursion ends by itself.
+    By pointer doubling: a round replaces every node's ancestor by that one's own, so a tree of n levels takes
+    log2(n) rounds, and a node that has not met a root after as many lies on or below a cycle.  Of rows that repeat
+    a node_id one counts, a root before others, then the smallest parent.
     """
-    spark = nodes.sparkSession
-    nodes.select("node_id", F.when(F.col("parent_id") != "", F.col("parent_id")).alias("parent_id")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node_id, depth) MAX RECURSION LEVEL 1000 AS (
-          SELECT node_id, 0 FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.node_id, w.depth + 1 FROM walk w JOIN {view} n ON n.parent_id = w.node_id)
-        SELECT node_id, depth FROM walk
-    """)
+    parent = F.when(F.col("parent_id") != "", F.col("parent_id"))
+    one = nodes.select("node_id", parent.alias("up")).groupBy("node_id").agg(F.min(F.struct(F.col("up").isNotNull().alias("below"), F.col("up").alias("up"))).alias("p"))
+    state = settled(one.select("node_id", F.col("p.up").alias("up"), F.col("p.below").cast("int").alias("depth")))
+    climbing, most = state.agg(F.count("up"), F.count(F.lit(1))).first()
+    for _ in range(max(1, most).bit_length()):
+        if not climbing:
+            break
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        there = state.where(F.col("up").isNull())
+        going = state.where(F.col("up").isNotNull()).join(above, "up").select("node_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        state = settled(there.unionByName(going))
+        climbing = state.agg(F.count("up")).first()[0]
+    return state.where(F.col("up").isNull()).select("node_id", "depth")
 
 
 def cycle_violations(nodes: DataFrame) -> DataFrame:
@@ -71,8 +81,10 @@ def next_tasks(nodes: DataFrame, evidence: DataFrame, case: str | None = None) -
     # only children of confirmed nodes and the roots can be open, so cases meet no other node
     children = confirmed.join(nodes, "parent_id").select(*columns)
     roots = nodes.where(F.col("parent_id").isNull())
-    if case:  # a tree has few roots; the cases stay spread
-        roots = evidence.select(case).distinct().crossJoin(F.broadcast(roots)).select(*columns)
+    if case:  # every root is asked of every case: both are dealt by a salt of the case, and no side is sent whole
+        salt = F.pmod(F.xxhash64(case), F.lit(SALTS))
+        cases = evidence.select(case).distinct().withColumn("__salt", salt)
+        roots = cases.join(roots.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), "__salt").select(*columns)
     return roots.unionByName(children).join(states.select(*keys, "node_id"), [*keys, "node_id"], "left_anti").select(*columns)
 
 

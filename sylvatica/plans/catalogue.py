@@ -105,23 +105,6 @@ def route_pivot_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.route_features(steps, {t: f"key_{t}" for t in _EVENT_TYPES})
 
 
-@query("""
-    WITH p AS (SELECT part.*, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
-    f AS (SELECT p_size AS route_id, """ + ", ".join(f"arg_min(p_type, p_partkey) FILTER (p_brand = '{b}') AS key_{f}" for b, f in _PART_FEATURES.items()) + """, NULL AS key_subgroup_3
-          FROM part WHERE p_brand IN (""" + ", ".join(f"'{b}'" for b in _PART_FEATURES) + """) GROUP BY p_size)
-    SELECT s_name AS guide_species_name, s_name AS species_inat, 's' || s_suppkey AS subspecies_inat, s_name AS suggested_species_id, l_linenumber AS species_page,
-           r.route_id AS key_page_range_start, r.route_id + 1 AS key_page_range_end, 'g' || (r.route_id % 5) AS key_group_number,
-           key_flower_type, key_plant_type, key_leaf_type, key_subgroup_1, key_subgroup_2, key_subgroup_3::VARCHAR AS key_subgroup_3, 'route ' || r.route_id AS key_description,
-           'link' AS species_inat_link, '' AS subspecies_inat_link, (l_returnflag = 'R')::DOUBLE AS warning_species_extraction, (l_linestatus = 'F')::DOUBLE AS warning_key_extraction
-    FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT DISTINCT p_size AS route_id FROM part) r ON r.route_id = l_partkey % 50
-    LEFT JOIN f ON f.route_id = r.route_id WHERE l_linenumber = 1
-""")
-def species_path_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each order only, as its SQL has it; ``species_path_table_whole`` joins them all."""
-    part, supplier, lines = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
-    return _paths_of_lines(part, supplier, lines.where("l_linenumber = 1"))
-
-
 @query("""
     WITH p AS (SELECT part.*, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
     f AS (SELECT p_size AS route_id, """ + ", ".join(f"arg_min(p_type, p_partkey) FILTER (p_brand = '{b}') AS key_{f}" for b, f in _PART_FEATURES.items()) + """, NULL AS key_subgroup_3
@@ -133,12 +116,8 @@ def species_path_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT DISTINCT p_size AS route_id FROM part) r ON r.route_id = l_partkey % 50
     LEFT JOIN f ON f.route_id = r.route_id
 """)
-def species_path_table_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def species_path_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, supplier, lines = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
-    return _paths_of_lines(part, supplier, lines)
-
-
-def _paths_of_lines(part: DataFrame, supplier: DataFrame, lines: DataFrame) -> DataFrame:
     taxa = supplier.select(F.col("s_suppkey").alias("taxon_id"), F.col("s_name").alias("scientific_name"), F.col("s_name").alias("canonical_name"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("subspecies_inat"), F.lit("link").alias("species_inat_link"))
     through = lines.select(
         F.col("l_suppkey").alias("taxon_id"), (F.col("l_partkey") % 50).cast("int").alias("route_id"), F.col("l_linenumber").alias("species_page"),
@@ -153,26 +132,13 @@ def _paths_of_lines(part: DataFrame, supplier: DataFrame, lines: DataFrame) -> D
     return keys.species_paths(taxa, through, routes, steps)
 
 
-@query("""
-    SELECT DISTINCT 'guide ' || coalesce(s.species::VARCHAR, 'none') AS guide_species_name, s.species::VARCHAR AS species_inat, '' AS taxon_id, o.event_id AS observation_id, '' AS photo_id, o.props AS photo_url
-    FROM (SELECT *, nullif(user_id, 3) AS species FROM events) o JOIN (SELECT DISTINCT nullif(c_custkey, 3) AS species FROM customer WHERE c_custkey <= 40) s
-      ON o.species IS NOT DISTINCT FROM s.species
-""")
-def obs_species_nullsafe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 species only, as its SQL has it; ``obs_species_nullsafe_join_whole`` joins them all."""
-    return _species_seen(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer").where("c_custkey <= 40"))
-
-
 @query("""
     SELECT DISTINCT 'guide ' || coalesce(s.species::VARCHAR, 'none') AS guide_species_name, s.species::VARCHAR AS species_inat, '' AS taxon_id, o.event_id AS observation_id, '' AS photo_id, o.props AS photo_url
     FROM (SELECT *, nullif(user_id, 3) AS species FROM events) o JOIN (SELECT DISTINCT nullif(c_custkey, 3) AS species FROM customer) s
       ON o.species IS NOT DISTINCT FROM s.species
 """)
-def obs_species_nullsafe_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _species_seen(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"))
-
-
-def _species_seen(events: DataFrame, customers: DataFrame) -> DataFrame:
+def obs_species_nullsafe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, customers = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer")
     seen = events.select(F.col("event_id").alias("id"), F.expr("nullif(user_id, 3)").cast("string").alias("scientific_name"), F.col("props").alias("image_url"))
     species = F.expr("nullif(c_custkey, 3)").cast("string")
     paths = customers.select(F.concat(F.lit("guide "), F.coalesce(species, F.lit("none"))).alias(keys.SPECIES), species.alias("species_inat"))
@@ -376,7 +342,7 @@ def _nation_tree(spark: SparkSession, sf_dir: str, loop: bool = False) -> DataFr
 
 
 @query("""
-    WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS t, (user_id % 5)::VARCHAR AS c, (value * 100)::BIGINT % 25 AS k, max(event_id) AS m FROM events GROUP BY user_id, (value * 100)::BIGINT % 25),
+    WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS t, (user_id % 500)::VARCHAR AS c, (value * 100)::BIGINT % 25 AS k, max(event_id) AS m FROM events GROUP BY user_id, (value * 100)::BIGINT % 25),
     e AS (SELECT c, k::VARCHAR AS node, arg_max(CASE WHEN t IN ('view', 'purchase', 'click') THEN 'confirmed' WHEN t = 'error' THEN 'rejected' ELSE 'unknown' END, m) AS state FROM s GROUP BY c, k),
     n AS (SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_nationkey > 0 THEN (n_nationkey // 2)::VARCHAR END AS p FROM nation),
     x AS (SELECT DISTINCT c FROM e)
@@ -387,7 +353,7 @@ def workflow_next_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("t").isin("view", "purchase", "click"), "confirmed").when(F.col("t") == "error", "rejected").otherwise("unknown")
     spread = F.expr("cast(round(value * 100) as bigint) % 25")
     seen = table(spark, sf_dir, "events").groupBy("user_id", spread.alias("k")).agg(F.max_by("event_type", "event_id").alias("t"), F.max("event_id").alias("ordinal"))
-    evidence = seen.select((F.col("user_id") % 5).cast("string").alias("case_id"), F.col("k").cast("string").alias("node_id"), state.alias("state"), "ordinal")
+    evidence = seen.select((F.col("user_id") % 500).cast("string").alias("case_id"), F.col("k").cast("string").alias("node_id"), state.alias("state"), "ordinal")
     return workflow.next_tasks(_nation_tree(spark, sf_dir), evidence, case="case_id").select("case_id", "node_id")
 
 
@@ -396,7 +362,7 @@ def workflow_next_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id::VARCHAR AS node_id, depth FROM w
 """)
 def workflow_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workflow.depths(_nation_tree(spark, sf_dir), "sylvatica_nation_tree")
+    return workflow.depths(_nation_tree(spark, sf_dir))
 
 
 @query("""

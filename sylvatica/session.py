@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,18 @@ def build_session(app: str = "sylvatica", cores: int | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables.  Read through Spark only: the folder may be in any store."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and its plan cut, in the checkpoint folder that the cluster shares.
+
+    Raises where ``spark.checkpoint.dir`` is not set and tasks run on other machines, as their disks are not shared.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='sylvatica-')}")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()

@@ -36,6 +36,7 @@ def test_against_sql(spark, sf_dir, duck, name):
     names = [d[0] for d in answer.description]
     expected = rows(answer.fetchall(), names)
     assert sorted(found.columns) == sorted(names)
+    assert expected, "a query without rows proves nothing"
     assert rows([tuple(r) for r in found.collect()], found.columns) == expected
     kinds = dict(duck.execute(f"DESCRIBE {sql}").df()[["column_name", "column_type"]].values)
     assert {c: KINDS.get(k, k) for c, k in found.dtypes} == kinds
@@ -56,13 +57,13 @@ def test_plans_push_filters_and_prune_columns(spark, sf_dir):
 
 
 def test_whole_species_join_keeps_every_event_of_a_species(spark, sf_small):
-    found = catalogue.QUERIES["obs_species_nullsafe_join_whole"](spark, sf_small)
+    found = catalogue.QUERIES["obs_species_nullsafe_join"](spark, sf_small)
     seen = duckdb.sql(f"SELECT count(*) FROM '{sf_small}/events.parquet' WHERE user_id IN (SELECT c_custkey FROM '{sf_small}/customer.parquet')").fetchall()[0][0]
-    assert found.count() == seen > catalogue.QUERIES["obs_species_nullsafe_join"](spark, sf_small).count()
+    assert found.count() == seen > 0
 
 
 def test_whole_path_table_keeps_every_line(spark, sf_dir, duck):
-    found = catalogue.QUERIES["species_path_table_whole"](spark, sf_dir)
+    found = catalogue.QUERIES["species_path_table"](spark, sf_dir)
     lines = duck.execute("SELECT count(*) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey % 50 IN (SELECT p_size FROM part)").fetchone()[0]
-    assert found.count() == lines > catalogue.QUERIES["species_path_table"](spark, sf_dir).count()
+    assert found.count() == lines > 0
     assert found.select("species_page").distinct().count() > 1
