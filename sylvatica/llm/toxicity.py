@@ -11,8 +11,9 @@ held out (crc32(doc_id) mod 5 = 0).  Every document is scored over its whole tex
 
 Defined cases: a null text counts as empty, and an empty text gets the score of its features (all 0); a null
 doc_id is not held out; null labels are passed over, and a doc_id labelled twice counts as toxic if either
-says so; without labels every score is 0; rows that repeat a doc_id are scored each; an empty table gives no
-rows; columns other than doc_id and text are not read.
+says so; without labels every score is 0; rows that repeat a doc_id are scored each; texts are scored whole, however
+long, and alike wherever a table is cut into batches; a score of exactly one half counts as toxic; an empty table gives
+no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -243,6 +244,7 @@ def features(buffer: np.ndarray, offsets: np.ndarray, learned: Lexicon, abuse: n
     mark = (buffer == 33) | (buffer == 63)
     doubled = np.zeros(len(buffer), bool)
     doubled[1:] = mark[1:] & mark[:-1]
+    doubled[offsets[:-1][offsets[:-1] < len(buffer)]] = False  # not with the mark that ends the text before
     hits = per_text(hit)
     last = np.zeros(n)
     if len(text):
@@ -311,8 +313,9 @@ def _contexts(likely: np.ndarray):
                 hit = _member(unit, likely)
                 at, unit, head = at[hit], unit[hit], head[hit]
                 if len(at):
-                    before = np.roll(p.letters, 1)[at]
                     text = p.found.text[at]
+                    follows = (at > 0) & (p.found.text[at - 1] == text)
+                    before = np.where(follows, p.letters[at - 1], np.uint64(0))  # a text's first word has none
                     columns = [unit.view(np.int64), head.view(np.int64), part[first:last][text], before.view(np.int64), y[first:last][text].astype(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["unit", "head", "part", "before", "bad"])
 

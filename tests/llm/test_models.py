@@ -65,6 +65,69 @@ def test_obfuscated_words_are_seen():
     assert x["near_second_person"] == 1.0
 
 
+LEARNED_WORD, LEARNED_STEM = "zonk", "gruml"
+
+
+def learned():
+    """A lexicon of one word and one stem."""
+    raw = np.frombuffer(b"grumlab", np.uint8)
+    p = T.Profile(raw, np.array([0, len(raw)]))
+    (stem,), (head,) = (p.stem(k, np.array([0]))[1] for k in (5, 4))
+    word = T.letters_hash(LEARNED_WORD)
+    return T.Lexicon.of(np.array([word, stem], np.uint64), np.array([1.5, 2.5]), np.array([word, head], np.uint64))
+
+
+def plain_features(text, abuse, second):
+    """The features as their names say, byte by byte."""
+    raw = text.encode()
+    parts = [w for w in raw.translate(bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))).split(b" ") if w]
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    low = lambda b: b + 32 if 65 <= b <= 90 else b
+    leet = {ord(k): ord(v) for k, v in T.LEET.items()}
+    letters = [bytes(low(b) for b in w if letter(b)) for w in parts]
+    folded = [bytes(leet.get(b, low(b)) for b in w if letter(b) or b in leet) for w in parts]
+    odds = [1.5 if w == b"zonk" else 2.5 if w.startswith(b"gruml") and len(w) > 5 else 0.0 for w in letters]
+    other = [1.5 if w == b"zonk" else 0.0 for w in folded]  # stems are of plain letters only
+    plain = [w in abuse for w in letters]
+    hidden = [f != w and (f in abuse or o > 0) and not p and not t for w, f, o, p, t in zip(letters, folded, other, plain, odds, strict=True)]
+    hit = [bool(p or t or h) for p, t, h in zip(plain, odds, hidden, strict=True)]
+    you = [w in second for w in letters]
+    near = [h and any(you[j] for j in range(max(0, i - 3), min(len(you), i + 4)) if j != i) for i, h in enumerate(hit)]
+    n, size = max(len(parts), 1), max(len(raw), 1)
+    count = lambda test: sum(map(bool, test))
+    upper = lambda w: all(65 <= b <= 90 for b in w)
+    digit = lambda w: any(48 <= b <= 57 for b in w)
+    return [
+        count(plain) / n, count(plain), sum(odds) / n, count(odds), sum(odds), max(odds, default=0), count(hidden) / n, count(near) / max(count(hit), 1), count(you) / n,
+        count(65 <= b <= 90 for b in raw) / max(count(map(letter, raw)), 1), count(upper(w) and len(w) > 2 for w in parts) / n,
+        raw.count(b"!") / size, raw.count(b"?") / size, count(a in b"!?" and b in b"!?" for a, b in zip(raw, raw[1:], strict=False)) / size, count(chr(b) in "#$%&*+/<=>@\\^_|~" for b in raw) / size,
+        count(digit(w) and sum(map(letter, w)) > 1 for w in parts) / n, count(b"*" in w and any(map(letter, w)) for w in parts) / n, np.log1p(len(parts)),
+        max((i + 1 for i, h in enumerate(hit) if h), default=0) / n,
+    ]
+
+
+def test_features_against_a_plain_reading():
+    rng = np.random.default_rng(8)
+    abuse, second = T.fixed_lexicon(["idiot", "crétin"]), T.fixed_lexicon(["you", "dein"])
+    pool = ["idiot", "Idiot!", "1d10t", "IDIOT", "crétin", "you", "DEIN", "zonk", "Z0NK", "zonks", "grumlig", "GRUMLIGER?", "gruml", "plain", "word", "a1b2", "f*ck", "***", "!!??", "100", "A", "ABC", "É", "#tag", "x@y"]
+    texts = ["", " ", "\t\n", "you", "idiot"] + [" ".join(rng.choice(pool, rng.integers(1, 40))) + rng.choice(["", "\n", " !!"]) for _ in range(200)]
+    column = pa.array(texts)
+    for limit in (1, 700, 1 << 20):
+        found = np.concatenate([T.features(buffer, offsets, learned(), abuse, second) for _, _, buffer, offsets in slices(column, limit)])
+        expected = np.array([plain_features(t, {b"idiot", "crétin".encode()}, {b"you", b"dein"}) for t in texts])
+        for name, f, e in zip(T.FEATURES, found.T, expected.T, strict=True):
+            assert np.allclose(f, e), (name, texts[int(np.abs(f - e).argmax())])
+
+
+def test_contexts_do_not_cross_texts():
+    """What stands before a text's first word does not hang on how the table is cut."""
+    texts = ["zonk of it", "you zonk", "zonk"] * 40
+    likely = np.array([T.letters_hash("zonk")], np.uint64)
+    rows = lambda size: [b for i in range(0, len(texts), size) for b in T._contexts(likely)(iter([pa.RecordBatch.from_arrays([pa.array(texts[i : i + size]), pa.array([1] * len(texts[i : i + size])), pa.array([0] * len(texts[i : i + size]))], names=["t", "y", "p"])]))]
+    seen = [sorted(map(str, (r for b in rows(size) for r in b.to_pylist()))) for size in (1, 2, 7, 120)]
+    assert seen[0] == seen[1] == seen[2] == seen[3] and len(seen[0]) == 120
+
+
 @pytest.fixture(scope="module")
 def medium():
     return "/root/testdata/sf0.1"
@@ -109,6 +172,37 @@ def test_resampling_prefers_good_documents(spark, medium):
     assert sorted(r.doc_id for r in drawn.collect()) == sorted(r.doc_id for r in Q.resample(docs.repartition(3), labels).collect())
 
 
+def test_weights_against_plain_counts(spark):
+    """Log ratios and document weights from plain dictionaries of words and pairs."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(60)] + ["É", "Upper"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 30))) for _ in range(150)] + ["", None, " \n", "w1"]
+    good = {i for i in range(len(texts)) if i % 4 == 0}
+    buckets = 64
+
+    def bag(text):
+        out = np.zeros(buckets)
+        parts = [w for w in (text or "").replace("\n", " ").split(" ") if w]
+        for i, word in enumerate(parts):
+            one = word.encode()
+            out[Q.grams(np.frombuffer(one, np.uint8), np.array([0, len(one)]), buckets)[1][0]] += 1
+            if i:
+                two = f"{parts[i - 1]} {word}".encode()
+                out[Q.grams(np.frombuffer(two, np.uint8), np.array([0, len(two)]), buckets)[1][2]] += 1
+        return out
+
+    bags = [bag(t) for t in texts]
+    raw, target = sum(bags), sum(b for i, b in enumerate(bags) if i in good)
+    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = Q.log_ratio(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"), buckets=buckets)
+    assert np.allclose(found, ratio)
+    weights = {r.doc_id: r.log_weight for r in Q.weigh(docs, found).collect()}
+    assert all(np.isclose(weights[i], b @ ratio) for i, b in enumerate(bags))
+    noise = np.array([r.g for r in spark.range(20_000).select(Q.gumbel("id").alias("g")).collect()])
+    assert abs(noise.mean() - 0.5772) < 0.03 and abs(noise.var() - np.pi**2 / 6) < 0.08
+
+
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 1500])
 def test_top_k_against_a_sort(spark, k):
     rng = np.random.default_rng(k)
