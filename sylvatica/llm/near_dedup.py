@@ -473,6 +473,32 @@ def _compare(rule: Rule, plan: list[Band]):
         first = np.flatnonzero(new)
         return [a[first], b[first], np.add.reduceat(shared, first) if len(first) else shared, required[first]]
 
+    def partners(home: np.ndarray, probe: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first, last + 1) of the rows that a row is compared with: those of other components after it, which are
+        the other components' that make candidates and the other components' that make none.  Rows are sorted by group
+        (``stop`` is its end), those that make candidates first, then by component."""
+        n = len(home)
+        new = np.ones(n, bool)
+        new[1:] = stop[1:] != stop[:-1]
+        group = np.cumsum(new) - 1
+        at = np.flatnonzero(probe)
+        middle = (np.flatnonzero(new) + np.bincount(group[at], minlength=int(new.sum())))[group]  # where a group's rows that make none begin
+        _, code = np.unique(home, return_inverse=True)
+        key = group * (int(code.max(initial=0)) + 1) + code
+
+        def run(chosen: np.ndarray, side: str) -> np.ndarray:
+            return np.searchsorted(key[chosen], key[at], side=side)
+
+        rest = np.flatnonzero(~probe)
+        own_end = np.append(at, n)[run(at, "right") - 1] + 1  # the end of its own component among those that make candidates
+        low, high = run(rest, "left"), run(rest, "right")
+        some = high > low
+        begin = np.where(some, np.append(rest, n)[np.minimum(low, len(rest))], stop[at])
+        end = np.where(some, begin + (high - low), stop[at])
+        of, first, last = np.concatenate((at, at, at)), np.concatenate((own_end, middle[at], end)), np.concatenate((middle[at], begin, stop[at]))
+        keep = last > first
+        return of[keep], first[keep], last[keep]
+
     def found(rows: pa.Table, stop: np.ndarray) -> Iterator[list[np.ndarray]]:
         """The counted pairs of whole groups; ``stop``: for each row the end of its group."""
         node, home, size, probe, part, left, right = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "probe", "part", "left", "right"))
@@ -480,19 +506,17 @@ def _compare(rule: Rule, plan: list[Band]):
         node, home, size, probe, part, across = node[order], home[order], size[order], probe[order], part[order], (left != right)[order]
         packed = rows["sketch"].to_pylist()
         bins = Sketches([packed[i] for i in order.tolist()])
-        n = len(order)
-        ends = np.flatnonzero(np.append((home[1:] != home[:-1]) | (probe[1:] != probe[:-1]) | (stop[1:] != stop[:-1]), True)) + 1
-        begin = np.repeat(ends, np.diff(ends, prepend=0))  # a row's partners lie after those of its own component
-        after = np.where(probe, stop - begin, 0)
-        sums = np.concatenate(([0], np.cumsum(after)))
+        of, first, last = partners(home, probe, stop)
+        sums = np.concatenate(([0], np.cumsum(last - first)))
         row = 0
-        while row < n:
+        while row < len(of):
             end = max(row + 1, int(np.searchsorted(sums, sums[row] + PAIRS_AT_ONCE, side="right")) - 1)
-            i = np.repeat(np.arange(row, end), after[row:end])
-            j = np.arange(len(i)) + np.repeat(begin[row:end] - (sums[row:end] - sums[row]), after[row:end])
+            size_of = last[row:end] - first[row:end]
+            i = np.repeat(of[row:end], size_of)
+            j = np.arange(len(i)) + np.repeat(first[row:end] - (sums[row:end] - sums[row]), size_of)
             row = end
             least = np.minimum(size[i], size[j])
-            fits = np.flatnonzero((home[i] != home[j]) & (~across[i] | (part[i] != part[j])) & rule.linked(size[i], size[j], least))
+            fits = np.flatnonzero((~across[i] | (part[i] != part[j])) & rule.linked(size[i], size[j], least))
             i, j, least = i[fits], j[fits], least[fits]
             both = np.minimum((size[i] + size[j] - bins.differ(i, j)) // 2, least)
             keep = np.flatnonzero(rule.linked(size[i], size[j], both))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sylvatica.llm import near_dedup as N
@@ -92,6 +95,60 @@ def test_parts_of_a_large_bucket(spark, monkeypatch):
     check(spark, corpus(23, 200) + [(1000 + i, t) for i, (_, t) in enumerate(corpus(29, 60, longest=30))], N.Rule(5, 80, 100))
 
 
+def bucket(sets, component, probe=None):
+    """The rows of one open bucket, as a task gets them."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    packed = N.sketches(np.repeat(np.arange(n), sizes), np.concatenate(sets), sizes)
+    same = pa.array(np.zeros(n, np.int64))
+    columns = [same, pa.array(np.arange(n)), pa.array(np.ones(n, bool) if probe is None else probe), pa.array(component), pa.array(sizes), pa.array(packed, pa.binary()), *[pa.array(np.zeros(n, np.int32))] * 3]
+    whole = pa.RecordBatch.from_arrays(columns, names=["signature", "node", "probe", "component", "n_shingles", "sketch", "part", "left", "right"])
+    return [whole.slice(i, 1000) for i in range(0, n, 1000)]
+
+
+def test_a_large_bucket_is_compared_in_bounded_memory():
+    """Thousands of nodes in one bucket: strangers make no rows, near copies are told some at a time."""
+    rng = np.random.default_rng(6)
+    rule = N.Rule(5, 80, 100)
+    run = N._compare(rule, N.bands(rule, 400))
+    strangers = [rng.integers(1, 2**62, 150, dtype=np.uint64) for _ in range(6000)]
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter(bucket(strangers, np.arange(6000))))) == 0
+    base = rng.integers(1, 2**62, 150, dtype=np.uint64)
+    copies = [np.concatenate((base[5:], rng.integers(1, 2**62, 5, dtype=np.uint64))) for _ in range(1500)]
+    sizes = [b.num_rows for b in run(iter(bucket(copies, np.arange(1500))))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 1500 * 1499 // 2 and max(sizes) <= N.SUMS_AT_ONCE + N.PAIRS_AT_ONCE
+    assert peak < 200 << 20
+
+
+def test_rows_of_one_component_are_not_paired():
+    """A large component with a few rows outside it: the work is that of the few."""
+    rng = np.random.default_rng(7)
+    rule = N.Rule(5, 80, 100)
+    run = N._compare(rule, N.bands(rule, 400))
+    base = rng.integers(1, 2**62, 150, dtype=np.uint64)
+    sets = [np.concatenate((base[2:], rng.integers(1, 2**62, 2, dtype=np.uint64))) for _ in range(20_000)]
+    component = np.where(np.arange(20_000) % 5000 == 0, np.arange(20_000), 1)
+    probe = np.arange(20_000) % 2 == 0
+    began = time.process_time()
+    told = sum(b.num_rows for b in run(iter(bucket(sets, component, probe))))
+    assert told == 4 * (20_000 - 4) + 6  # each of four with all others, once
+    assert time.process_time() - began < 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pairs_of_a_bucket(seed):
+    """Every pair of different components, one of which makes candidates, once."""
+    rng = np.random.default_rng(seed)
+    rule = N.Rule(5, 80, 100)
+    n = int(rng.integers(1, 60))
+    sets = [np.arange(1, 200, dtype=np.uint64)] * n
+    component, probe = rng.integers(0, 8, n), rng.random(n) < 0.4
+    told = [(r["a"], r["b"]) for b in N._compare(rule, N.bands(rule, 400))(iter(bucket(sets, component, probe))) for r in b.to_pylist()]
+    assert sorted(told) == [(i, j) for i in range(n) for j in range(i + 1, n) if component[i] != component[j] and (probe[i] or probe[j])]
+
+
 def test_null_ids_are_not_multiplied(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choices(WORDS, k=40)) for _ in range(120)]
