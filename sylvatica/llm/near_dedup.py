@@ -402,9 +402,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, rule: Rule, renamed: Renamed, tex
                 keep = pa.array(_unseen(node, (node == asked[first:last]) & (size > 0), seen))
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(first, last - first).filter(keep) for i in (0, 1)], names=["node", "text"])
 
-    keys = wanted.select("node", _number("least").alias("id"), "digest")
+    # a condition that holds always lets Spark take the wanted rows for a selection and sift the texts by a Bloom filter
+    # before it shuffles them
+    keys = wanted.where(F.col("node") >= F.lit(-(2**63))).select("node", _number("least").alias("id"), "digest")
     rows = docs.select(_number("doc_id").alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    return settle(rows.join(keys, ["id", "digest"]).select("node", "text").mapInArrow(check, "node long, text string"), "node-texts")
+    return settle(rows.join(keys, ["id", "digest"]).select("node", "text").mapInArrow(check, "node long, text string"), "node-texts", sift=True)
 
 
 def _number(column: str) -> Column:

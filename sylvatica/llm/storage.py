@@ -33,21 +33,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/sylvatica/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-#: Bytes that Spark hands to a Python worker at once while a table is settled.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: While a table is settled: bytes that Spark hands to a Python worker at once.
+SETTLING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: And where it is to sift a large table before a shuffle: a Bloom filter of the other side's keys, on whatever table and
+#: however many keys (its size is bounded: a megabyte, meant for a million keys; more only let more rows through).
+SIFTING = {
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+}
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, sift: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs survive the loss of any executor."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    wanted = SETTLING | (SIFTING if sift else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvatica.llm.storage import fresh_path, join_groups, settle
+from sylvatica.llm.storage import fresh_path, join_groups, settle, tidy
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
@@ -193,8 +193,8 @@ def parse(content: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes |
         del held[: at + 1]
 
     while True:
-        blank = len(held) - len(held.lstrip(CRLF))
-        del held[:blank]
+        while held[:2] == CRLF:
+            del held[:2]
         end = held.find(b"\r\n\r\n")
         if end < 0:
             if more():
@@ -236,23 +236,28 @@ DAMAGED = b""
 
 
 def _inflate(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The content of all gzip members; DAMAGED after what could be read of one that is wrong or cut."""
-    view, start = content, 0
+    """The content of all gzip members; DAMAGED after what could be read of one that is wrong or cut.
+
+    A member is fed in pieces that grow, as what lies after its end is copied."""
+    view, start = memoryview(content), 0
     while start < len(view):
-        member, data = zlib.decompressobj(31), view[start:]
+        member, at, piece = zlib.decompressobj(31), start, 2048
         try:
-            while data and not member.eof:
-                if part := member.decompress(data, step):
-                    yield part
-                data = member.unconsumed_tail
+            while at < len(view) and not member.eof:
+                data = view[at : at + piece]
+                at, piece = at + len(data), min(2 * piece, step)
+                while len(data) and not member.eof:
+                    if part := member.decompress(data, step):
+                        yield part
+                    data = member.unconsumed_tail
             fine = member.eof
         except zlib.error:
             fine = False
         if fine:
-            start = len(view) - len(member.unused_data)
+            start = at - len(member.unused_data)
             continue
         yield DAMAGED
-        start = view.find(MAGIC, start + 1)
+        start = content.find(MAGIC, start + 1)
         if start < 0:
             return
 
@@ -368,4 +373,5 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` into archives in the shared folder and read them back."""
     path = fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_bytes)
+    tidy(pages.sparkSession)
     return read_archives(pages.sparkSession, path)
