@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvatica.session import settled
+
 
 def ensure_columns(df: DataFrame, names: Sequence[str], default: str = "", sources: Mapping[str, str] | None = None) -> DataFrame:
     """``names`` in that order; a missing one is taken from its column in ``sources`` or filled with ``default``."""
@@ -52,3 +54,19 @@ def insist(violations: DataFrame, what: str, show: int = 5) -> None:
     found = violations.limit(show).collect()
     if found:
         raise ValueError(f"{what}: " + "; ".join(f"{row['rule']} ({row['subject']})" for row in found))
+
+
+def numbered_by(df: DataFrame, order: str | Sequence[Column], name: str) -> DataFrame:
+    """``df`` with the 0-based ordinal of each row by ``order`` (nulls last), without one sort of all rows in one task.
+
+    Ranges are sorted side by side and written, as their bounds come from a sample that no second run need repeat; the
+    counts of each shift the next.
+    """
+    by = [F.col(order).asc_nulls_last()] if isinstance(order, str) else list(order)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settled(df.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("__before", before).drop("__n")  # a row per partition
+    within = F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)
+    return parts.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__at", "__before")

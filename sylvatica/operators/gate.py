@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,50 @@ def response_status(path: Column, method: Column, authorised: Column, detail: Co
     )
 
 
+def response_body(status: Column, detail: Column, decision: Column, events: Column) -> Column:
+    """The JSON body of an answer; null where there is none.  ``decision`` is a struct, ``events`` the list that telemetry
+    holds (its length is told for an event taken in)."""
+    told = F.to_json(F.struct(F.when(status == 404, "not found").when(status == 401, "invalid or missing X-API-Key").otherwise(detail).alias("detail")))
+    accepted = F.to_json(F.struct(F.lit(True).alias("accepted"), F.size(events).alias("events")))
+    listed = F.to_json(F.struct(events.alias("events"), F.size(events).alias("count")))
+    return (
+        F.when(status == 204, F.lit(None)).when(status.isin(401, 404, 422), told).when(status == 202, accepted)
+        .when(decision.isNotNull(), F.to_json(decision)).otherwise(listed)
+    )
+
+
+#: Header fields of an answer, and those of an answer to OPTIONS.
+RESPONSE_HEADERS = {"Content-Type": "application/json", "Access-Control-Allow-Origin": "*"}
+OPTIONS_HEADERS = {"Access-Control-Allow-Origin": "*", "Access-Control-Allow-Headers": "Content-Type, X-API-Key", "Access-Control-Allow-Methods": "POST, OPTIONS"}
+
+
+def response_headers(status: Column, body: Column) -> Column:
+    """The header fields of an answer as a map; Content-Length counts the bytes of the body."""
+    fixed = lambda fields: [F.lit(x) for pair in fields.items() for x in pair]
+    length = F.octet_length(F.coalesce(body, F.lit(""))).cast("string")
+    return F.when(status == 204, F.create_map(*fixed(OPTIONS_HEADERS))).otherwise(F.create_map(*fixed(RESPONSE_HEADERS), F.lit("Content-Length"), length))
+
+
+def received_requests(raw: DataFrame) -> DataFrame:
+    """Requests as ``checked_requests`` reads them, from raw ones (request_id, method, path, key, body: JSON text).
+
+    ``prompts`` may be one text; ``authorised`` is told by ``authorise``; a body that is no JSON object has ``malformed``.
+    """
+    one = F.from_json("body", "struct<threshold: string, layer: string, prompts: string, image_base64: string>")
+    listed = F.from_json(F.col("__r.prompts"), "array<string>")
+    parsed = raw.withColumn("__r", one).withColumn("malformed", ~F.coalesce(F.json_object_keys("body").isNotNull(), F.lit(False)))
+    single = F.when(F.col("__r.prompts") != "", F.array("__r.prompts"))
+    return parsed.select(
+        *raw.columns, F.col("__r.threshold").try_cast("double").alias("threshold"), F.col("__r.layer").alias("layer"),
+        F.when(F.col("__r.prompts").startswith("["), listed).otherwise(single).alias("prompts"), F.col("__r.image_base64").alias("image_base64"), "malformed",
+    )
+
+
+def authorise(key: Column, required: str | None) -> Column:
+    """Whether a request's key opens the gate; without a required key every request does."""
+    return F.lit(True) if not required else F.coalesce(F.sha2(key, 256) == F.lit(hashlib.sha256(required.encode()).hexdigest()), F.lit(False))
+
+
 def stamped_events(events: DataFrame, received_at: Column) -> DataFrame:
     """Events with their time of arrival; an event that brings its own keeps it."""
     own = F.col("received_at") if "received_at" in events.columns else F.lit(None).cast("string")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvatica.functions.text import composite_key, joined_path
-from sylvatica.operators.frames import ensure_columns, last_by_key
+from sylvatica.operators.frames import ensure_columns, last_by_key, numbered_by
 
 #: Feature names of the key and the columns that they become.
 FEATURES = {
@@ -87,6 +87,13 @@ def path_order() -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in (SPECIES, "species_page", "key_group_number", *PATH_COLUMNS[8:15])]
 
 
+def sorted_paths(paths: DataFrame) -> DataFrame:
+    """The species table in its order, with the 0-based ``index`` of each row; rows that agree in the order are told
+    apart by their other columns."""
+    rest = [F.col(c).asc_nulls_last() for c in PATH_COLUMNS if c not in (SPECIES, "species_page", "key_group_number", *PATH_COLUMNS[8:15])]
+    return numbered_by(paths.select(*PATH_COLUMNS), [*path_order(), *rest], "index").sort("index")
+
+
 def references(pairs: DataFrame, concepts: DataFrame, pictures: DataFrame, root: str, features: dict[str, str] = FEATURES) -> DataFrame:
     """A row per pair with its picture's path and its feature's prompt, each "" where there is none.
 

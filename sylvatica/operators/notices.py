@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sylvatica.functions import geometry as G
 from sylvatica.functions.text import ORGAN_PROMPTS, category_id, file_name, gallery_category, joined_path
+from sylvatica.operators.frames import numbered_by
 from sylvatica.operators.ranking import best_within, rank_within, scope_keys
 from sylvatica.schemas import BATCH_VERSION, FRAME, GALLERY_VERSION, MANIFEST_VERSION, SEGMENT
 
@@ -57,12 +59,16 @@ def _segment(raw: dict[str, Any]) -> dict[str, Any]:
     return {"stability_score": 0.5, "prompt": None, "detector_label": None} | raw | {"polygon": points}
 
 
-@F.udf(returnType=StringType(), useArrow=True)
-def proposal_id(observation: str, url: str, label: str, ordinal: int, polygon: list) -> str:
-    """Digest of a proposal.  Python's spelling of floats is part of the key, hence a Python function."""
-    points = tuple((p["x"], p["y"]) for p in polygon)
-    text = "|".join((observation, url, label, str(ordinal), repr(points)))
-    return "notice-proposal-" + hashlib.sha256(text.encode()).hexdigest()[:16]
+@F.arrow_udf(StringType())
+def proposal_id(observation: pa.Array, url: pa.Array, label: pa.Array, ordinal: pa.Array, polygon: pa.Array) -> pa.Array:
+    """Digests of a batch of proposals.  Python's spelling of floats is part of the key, hence a Python function."""
+    points, ends = polygon.flatten(), polygon.offsets.to_pylist()
+    corners = list(zip(points.field("x").to_pylist(), points.field("y").to_pylist(), strict=True))
+    found = []
+    for first, last, *names in zip(ends, ends[1:], observation.to_pylist(), url.to_pylist(), label.to_pylist(), ordinal.to_pylist(), strict=False):
+        text = "|".join((*map(str, names), repr(tuple(corners[first - ends[0] : last - ends[0]]))))
+        found.append("notice-proposal-" + hashlib.sha256(text.encode()).hexdigest()[:16])
+    return pa.array(found, pa.string())
 
 
 def proposals(segments: DataFrame, model_name: str, model_version: str) -> DataFrame:
@@ -195,15 +201,3 @@ def manifest_frames(manifest: DataFrame, limit: int | None = None) -> DataFrame:
         "observation_id", "image_url", F.concat(F.lit("hypothesis:"), F.col("observation_id")).alias("subject_id"), "image_sha256", "local_path",
         null("species_name"), null("photo_id"), null("license"), "captured_at", F.col("frame_index").cast("int").alias("frame_index"),
     )
-
-
-def numbered_by(df: DataFrame, order: str, name: str) -> DataFrame:
-    """``df`` with the 0-based ordinal of each row by ``order``, without one sort of all rows in one task."""
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(F.col(order).asc_nulls_last()).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("__before", before).drop("__n")  # a row per partition
-    within = F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)
-    return parts.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__at", "__before")

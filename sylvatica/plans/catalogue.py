@@ -178,7 +178,7 @@ def species_tags_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders_release(spark: SparkSession, sf_dir: str) -> releases.Release:
     customer, nation, orders = (table(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
     manifest = spark.range(1).select(F.lit("sha256:orders").alias("release_id"), F.lit("orders").alias("vocabulary_name"))
-    registry = spark.range(1).select(F.lit("orders").alias("devo_name"))
+    registry = spark.range(2).select(F.when(F.col("id") == 0, "orders").otherwise("others").alias("devo_name"))
     taxa = customer.where("c_custkey % 10 <> 7").select(F.col("c_name").alias("taxon_name"), F.col("c_custkey").cast("string").alias("source_taxon_id"))
     values = nation.select(F.col("n_name").alias("vocab_id"), F.lit("nation").alias("feature_name"), F.col("n_nationkey").cast("string").alias("source_value_id"))
     claims = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select(
@@ -206,7 +206,8 @@ def experiment_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {_CLAIMS_SQL},
-    v AS (SELECT 'claim of another vocabulary' AS rule, taxon AS subject FROM c WHERE devo <> 'orders'
+    v AS (SELECT 'registry is not the manifest''s vocabulary' AS rule, 'orders,others' AS subject
+      UNION ALL SELECT 'claim of another vocabulary', taxon FROM c WHERE devo <> 'orders'
       UNION ALL SELECT CASE WHEN c_custkey % 10 = 7 THEN 'unknown taxon' ELSE 'feature is not its value''s' END, taxon FROM c WHERE c_custkey % 10 = 7 OR feature <> 'nation')
     SELECT rule, subject, count(*) AS claims FROM v GROUP BY rule, subject
 """)
@@ -515,11 +516,11 @@ def notice_batch_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("observation_id", F.size("annotations").alias("annotations"), first["confidence"].alias("confidence"), F.size(first["polygon"]).alias("ring_points"))
 
 
-@query("SELECT o_orderkey, count(l_orderkey)::INTEGER AS n_lines, min(l_linenumber) AS first_line FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+@query("SELECT o_orderkey, count(l_orderkey)::INTEGER AS n_lines, coalesce(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber), '') AS all_lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     nested = notices.nested_lists(table(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", F.col("l_linenumber"), "lines", F.col("l_linenumber"))
-    return nested.select("o_orderkey", F.size("lines").alias("n_lines"), F.get("lines", F.lit(0)).alias("first_line"))
+    return nested.select("o_orderkey", F.size("lines").alias("n_lines"), F.array_join("lines", ",").alias("all_lines"))
 
 
 @query("""

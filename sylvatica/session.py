@@ -32,16 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and its plan cut, in the checkpoint folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``; a local session without one gets a folder of its own.
 
-    Raises where ``spark.checkpoint.dir`` is not set and tasks run on other machines, as their disks are not shared.
+    Raises where it is not set and tasks run on other machines, as their disks are not shared.
     """
-    spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='sylvatica-')}")
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and its plan cut, in the folder that the cluster shares."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
