@@ -4,7 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 folder and gives it to the next.  All stages but the last return the columns of ``documents``.
 
 Defined cases are those of the operators: null and empty texts pass all stages (they are not toxic, equal
-empty texts are one group, and an empty text packs into its end id); an empty table passes as one.
+empty texts are one group, and an empty text packs into its end id); rows are told apart by their texts as well as
+their doc_ids, which may repeat or be null; texts are whole in every stage, however long; an empty table passes as one;
+columns beside those of documents, whatever their names, go through to the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sylvatica.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from sylvatica.llm.storage import settle
+from sylvatica.llm.storage import discard, settle, tidy
 from sylvatica.session import table
 
 
@@ -54,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:  # what the stage read, which nothing else does
+            discard(before)
+        before = docs
+        tidy(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
