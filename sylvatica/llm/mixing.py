@@ -39,37 +39,45 @@ def coin(identifier: str, text: str | None = None, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
+def running(rows: DataFrame, by: Sequence[Column], columns: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``place`` (from 1, by ``by``) and, for each of ``columns``, the sum over all rows before as
+    ``before_<column>``.  Ranges are sorted side by side and written; what lies before a range is a row per range."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = settle(rows.repartitionByRange(ranges, *by).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = {"place": F.count(F.lit(1)), **{c: F.sum(c) for c in columns}}
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
+    whole = held.groupBy("range").agg(*[f.alias(f"of_{c}") for c, f in sums.items()])
+    offsets = whole.select("range", *[F.coalesce(F.sum(f"of_{c}").over(earlier), F.lit(0)).alias(f"of_{c}") for c in sums])
+    inside = Window.partitionBy("range").orderBy(*by)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    within = held.withColumns({"place": F.row_number().over(inside), **{f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns}})
+    joined = within.join(F.broadcast(offsets), "range")
+    moved = {"place": (F.col("place") + F.col("of_place")).cast("long"), **{f"before_{c}": F.col(f"before_{c}") + F.col(f"of_{c}") for c in columns}}
+    return joined.withColumns(moved).select(*rows.columns, *moved)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """(source, source_size) -> the same with ``weight``, ``target`` and ``rate``.
 
     Sources share the total by weight, none above ``cap`` times its size; what a capped source cannot take
     is shared again among the rest.  The fixed point has one level per unit of weight: with sources in order
     of cap * size / weight, those before the first whose bound lies above the level are capped.
-    One row per source only, so the windows over all of them stay small.
+    Sources are numbered and summed up in ranges, so there may be any number of them.
     """
-    everything = Window.partitionBy()
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    rows = sizes.withColumn("__n", F.row_number().over(place)).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("__n") - 1) % len(weights) + 1).cast("int"))
-    )
-    rows = rows.withColumn("__bound", F.col("source_size") * F.lit(float(cap)) / F.col("weight"))
-    before = Window.orderBy("__bound", "__n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({
-        "__total": F.sum("source_size").over(everything).cast("double"),
-        "__weights": F.sum("weight").over(everything),
-        "__spent": F.coalesce(F.sum(F.col("source_size") * float(cap)).over(before), F.lit(0.0)),
-        "__gone": F.coalesce(F.sum("weight").over(before), F.lit(0)),
-    })
-    rows = rows.withColumn("__level", (F.col("__total") - F.col("__spent")) / (F.col("__weights") - F.col("__gone")))
+    numbered = running(sizes.select("source", F.col("source_size").cast("long").alias("source_size")), [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    rows = numbered.select("source", "source_size", weight.cast("long").alias("weight"), F.col("place").alias("n"))
+    rows = rows.withColumn("bound", F.col("source_size") * F.lit(float(cap)) / F.col("weight"))
+    summed = settle(running(rows, [F.col("bound"), F.col("n")], ["source_size", "weight"]), "mix-levels")
+    all_ = summed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double").alias("total"), F.sum("weight").alias("weights"))
+    level = (F.col("total") - F.col("before_source_size") * F.lit(float(cap))) / (F.col("weights") - F.col("before_weight"))
+    told = summed.crossJoin(F.broadcast(all_)).withColumn("level", level)  # one row
     # the level is right at the first source that it does not push over its bound
-    first = F.min(F.when(F.col("__level") <= F.col("__bound"), F.struct("__bound", "__n", "__level"))).over(everything)
-    rows = rows.withColumn("__at", first["__level"])
-    target = F.when(F.col("__at").isNull(), F.col("__bound") * F.col("weight")).otherwise(
-        F.least(F.col("__at"), F.col("__bound")) * F.col("weight")
-    )
-    rows = rows.withColumn("target", target.cast("double"))
+    first = told.where(F.col("level") <= F.col("bound")).agg(F.min(F.struct("bound", "n", "level")).alias("first")).select(F.col("first.level").alias("at"))
+    met = summed.crossJoin(F.broadcast(first))  # one row
+    target = F.when(F.col("at").isNull(), F.col("bound") * F.col("weight")).otherwise(F.least(F.col("at"), F.col("bound")) * F.col("weight")).cast("double")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    return rows.withColumn("rate", rate).select("source", "source_size", "weight", "target", "rate")
+    return met.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", F.col("weight").cast("int").alias("weight"), "target", "rate")
 
 
 def with_copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP, text: str = "text") -> DataFrame:

@@ -88,3 +88,26 @@ def test_columns_of_any_name_and_null_ids(spark):
     taken = {r.source: r.n * 4 for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
     targets = {r.source: r.target for r in M.with_copies(docs).select("source", "target").distinct().collect()}
     assert all(abs(taken[s] - targets[s]) < 0.05 * targets[s] for s in targets)
+
+
+def test_many_sources(spark):
+    """Thousands of sources, numbered and summed in ranges."""
+    rng = random.Random(3)
+    sizes = {f"s{i:05}": rng.choice((1, 5, 50, 500, 5000)) for i in range(4000)} | {None: 70}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(6)
+    found = {r.source: (r.target, r.weight) for r in M.source_targets(df).collect()}
+    assert {s: t for s, (t, _) in found.items()} == pytest.approx(shares(sizes))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert [found[s][1] for s in order] == [1 + i % 3 for i in range(len(order))]
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(50), rng.randrange(9)) for i in range(3000)]
+    found = M.running(spark.createDataFrame(rows, "i long, k long, v long").repartition(5), [F.col("k"), F.col("i")], ["v"]).collect()
+    total = 0
+    for place, (i, k, v) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1):
+        row = next(r for r in found if r.i == i) if place % 500 == 1 else None
+        assert row is None or (row.place, row.before_v) == (place, total)
+        total += v
+    assert sorted(r.place for r in found) == list(range(1, 3001))
