@@ -29,32 +29,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvatica.llm.storage import join_groups, settle, text_or_empty, unused
+from sylvatica.llm.storage import join_groups, keep_marked, settle, text_or_empty
 
 FAN_IN = 16
 _DROP = bytes((0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D))
 
-DIGESTS = "doc_id long, n_points int, digest binary, n_bytes long, check binary"
+DIGESTS = "doc_id long, n_points int, raw long, digest binary, n_bytes long, check binary"
 RUN = "digest binary, n_bytes long, check binary, n_points int, doc_id long, row long, members long, run int"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digest, check, size = [], [], []
-        for value in batch.column(2):
+        for value in batch.column(3):
             plain = value.as_py().translate(None, _DROP)
             digest.append(hashlib.sha256(plain).digest())
             check.append(hashlib.blake2b(plain, digest_size=8).digest())
             size.append(len(plain))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(check, pa.binary())],
-            names=["doc_id", "n_points", "digest", "n_bytes", "check"],
+            [*(batch.column(i) for i in range(3)), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(check, pa.binary())],
+            names=["doc_id", "n_points", "raw", "digest", "n_bytes", "check"],
         )
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, code points, digest, normalised bytes, second digest, row) of every document, written once."""
-    source = docs.select(F.col("doc_id").cast("long"), F.char_length(text_or_empty(text)), text_or_empty(text).cast("binary"))
+    """(doc_id, code points, hash of the text as it is, digest, normalised bytes, second digest, row) of every document,
+    written once."""
+    source = docs.select(F.col("doc_id").cast("long"), F.char_length(text_or_empty(text)), F.xxhash64(text_or_empty(text)), text_or_empty(text).cast("binary"))
     return settle(source.mapInArrow(_digest, DIGESTS).withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
@@ -118,7 +119,8 @@ def merge_tree(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def mark_duplicates(docs: DataFrame, text: str = "text", partitions: int | None = None) -> DataFrame:
-    """A row per document: doc_id, keep_id, group_size, kept, digest (SHA-256 of the normalised text), n_points."""
+    """A row per document: doc_id, keep_id, group_size, kept, digest (SHA-256 of the normalised text), raw (a
+    hash of the text as it is)."""
     spark = docs.sparkSession
     rows = digests(docs, text)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -128,25 +130,16 @@ def mark_duplicates(docs: DataFrame, text: str = "text", partitions: int | None
     )
     total = rows.count()
     marked = join_groups(rows, best, ["digest", "n_bytes", "check"], "group_size", total)
-    return marked.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest", "n_points")
+    return marked.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest", "raw")
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of equal texts, all its columns as they were.
 
-    The row that stays is found by its doc_id, its group's digest and its length; of whole repeated rows
-    that agree in all three one stays.  The join and the choice among repeats share one shuffle.  Columns of the
-    input may have any names.
+    The row that stays is known by its doc_id and its text as it is; of whole repeated rows that agree in both one
+    stays.  Texts of rows that have no copy are not moved.  Columns of the input may have any names.
     """
-    identity, key, size = names = [unused(n, docs.columns) for n in ("id", "digest", "points")]
-    marked = settle(mark_duplicates(docs, text), "dedup-marks")
-    keep = marked.where("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(identity), F.lower(F.hex("digest")).alias(key), F.col("n_points").alias(size)
-    )
-    plain = F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", "")
-    keyed = docs.withColumns({
-        identity: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-        key: F.sha2(plain, 256),
-        size: F.char_length(text_or_empty(text)),
-    })
-    return keyed.join(keep, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    marked = mark_duplicates(docs, text)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id")
+    identities = marked.groupBy(name, "raw").agg(F.max("kept").alias("keep"), F.count(F.lit(1)).alias("n"))
+    return keep_marked(docs, identities, text)

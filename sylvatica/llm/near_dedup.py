@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvatica.llm.graph import components
-from sylvatica.llm.storage import discard, join_groups, settle, text_or_empty, tidy, unused
+from sylvatica.llm.storage import discard, join_groups, keep_marked, settle, text_or_empty, tidy
 from sylvatica.llm.words import distinct, mix, shingles, slices, words
 
 #: Sizes in a band differ by this factor at most.
@@ -698,15 +698,14 @@ def keep_one(docs: DataFrame, rule: Rule | None = None, text: str = "text") -> D
     """``docs`` with one row of each component, one of those with its smallest doc_id, and all rows without words.
 
     A row is known by its doc_id and its text's digest; of rows that share both, and so are copies, one stays.
-    Columns of the input may have any names.
+    Texts of rows that surely stay are not moved.  Columns of the input may have any names.
     """
-    identity, digest = (unused(name, docs.columns) for name in ("id", "digest"))
-    worded = text_or_empty(text).rlike(r"[^\x20\x09-\x0D]")
-    empty = docs.where(~worded)
     _, linked = _grouped(docs, rule or Rule(), text)
     if linked is None:
-        return empty
-    least = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"))
-    keep = settle(least.select(_number("doc_id").alias(identity), F.col("digest").alias(digest)), "kept")
-    keyed = docs.where(worded).select("*", _number("doc_id").alias(identity), F.xxhash64(text_or_empty(text)).alias(digest))
-    return keyed.join(keep, [identity, digest], "left_semi").dropDuplicates([identity, digest]).select(*docs.columns).unionByName(empty)
+        return docs
+    named = settle(linked.select(_number("doc_id").alias("id"), F.col("digest").alias("raw"), "component", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"), "doc_id"), "named")
+    least = named.where("first").groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("raw").alias("raw"))
+    keep = least.select(_number("doc_id").alias("id"), "raw", F.lit(True).alias("keep"))
+    counts = named.groupBy("id", "raw").agg(F.count(F.lit(1)).alias("n"))
+    identities = counts.join(keep, ["id", "raw"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+    return keep_marked(docs, identities, text)

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1 / 5_000
 #: A key with fewer rows than this is never heavy, however small the table.
 HEAVY_LEAST = 200
+#: Bits that Spark keeps in one bitmap, and bits that a sieve has for each identity, and as a power of two at most (16 MB).
+BITMAP = 32_768
+BITS_EACH = 16
+MOST_BITS = 27
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -102,6 +106,34 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def identity(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """(the id as text, a hash of the text): what tells rows apart.  Rows that agree in both are copies."""
+    return F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")), F.xxhash64(text_or_empty(text))
+
+
+def keep_marked(docs: DataFrame, identities: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that go: of each row of ``identities`` (id, raw, keep, n) none stays, or, if ``keep``,
+    one of its n.  Other rows all stay.  Columns of ``docs`` may have any names.
+
+    A bitmap of the hashes of those identities (of a bounded size, so it is sent to all tasks) parts the rows that
+    surely stay from the others; only those are shuffled with their texts.
+    """
+    name, raw, bucket, bits, place = (unused(n, [*docs.columns, "keep"]) for n in ("id", "raw", "bucket", "bits", "place"))
+    touched = settle(identities.where(~F.col("keep") | (F.col("n") > 1)).select(F.col("id").alias(name), F.col("raw").alias(raw), "keep"), "touched")
+    size = 1 << min(MOST_BITS, max(16, (BITS_EACH * touched.count()).bit_length()))
+    hashed = F.pmod(F.xxhash64(name, raw), F.lit(size))
+    put = {bucket: (hashed / F.lit(BITMAP)).cast("int"), place: (hashed % F.lit(BITMAP)).cast("int")}
+    bitmaps = touched.withColumns(put).groupBy(bucket).agg(F.bitmap_construct_agg(F.col(place).cast("long")).alias(bits))
+    own_id, own_raw = identity(text=text)
+    keyed = docs.select("*", own_id.alias(name), own_raw.alias(raw)).withColumns(put).join(F.broadcast(bitmaps), bucket, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, F.col(place) % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    maybe = settle(keyed.where(hit).select(*docs.columns, name, raw), "maybe")
+    stays = maybe.join(touched, [name, raw], "left_anti").select(*docs.columns)
+    one = maybe.join(touched.where("keep").select(name, raw), [name, raw], "left_semi").dropDuplicates([name, raw]).select(*docs.columns)
+    return keyed.where(~hit).select(*docs.columns).unionByName(stays).unionByName(one)
+
+
 def unused(name: str, taken: Sequence[str]) -> str:
     """A column name like ``name`` that none of ``taken`` equals, in any case."""
     lower = {t.lower() for t in taken}
