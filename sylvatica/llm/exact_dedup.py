@@ -15,7 +15,9 @@ the most code points in the original text stays, then the smallest doc_id.
 
 Defined cases: a null text counts as empty, and all texts without visible characters are one group; rows
 that repeat a doc_id with the same text are separate members and the first in the order of the written run
-stays alone (``kept`` is true on one row of a group); a null doc_id sorts last; an empty table gives no rows.
+stays alone (``kept`` is true on one row of a group); a null doc_id sorts last; texts are read whole, however long;
+an empty table gives no rows; other columns, whatever their names, are carried through by ``drop_duplicates`` and not
+read by the rest.
 """
 
 from __future__ import annotations

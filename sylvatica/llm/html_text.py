@@ -9,9 +9,10 @@ tells content from the rest.  Content blocks are joined in page order by one spa
 Defined cases: a null or empty html, and a page without content, give an empty text; scripts, styles,
 templates, comments and the head are never text, also when not closed, drawings and embedded objects only when closed;
 custom elements are plain ones whatever their names begin with; classes of a body, main or html element never mark
-furniture, and those of an article only if a class is such a word alone or begins with ``comment-``; unclosed and stray tags are taken as
-browsers take them, in time that grows with the page and not with its depth; a cut page is read as far as it goes; repeated rows are read each; an empty table gives
-no rows; columns other than page_id, url and html are not read.  White space is what ``str.split`` parts.
+furniture, and those of an article only if a class is such a word alone or begins with ``comment-``; unclosed and
+stray tags are taken as browsers take them; a page is read whole, however long, in time that grows with its length and
+not with its depth; a cut page is read as far as it goes; repeated rows are read each, whatever their ids; an empty
+table gives no rows; columns other than page_id, url and html are not read.  White space is what ``str.split`` parts.
 """
 
 from __future__ import annotations

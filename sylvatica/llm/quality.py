@@ -13,7 +13,7 @@ task or driver holds more than 65,536 counts.
 Defined cases: a null text counts as empty and has weight 0; without target rows all weights are 0 and the
 draw is uniform; rows that repeat a doc_id have the same noise; keys equal at the k-th place are kept by
 smallest doc_id (null last), and rows that agree in both stay together, so a few more than k may be kept; an
-empty table gives no rows; columns other than doc_id and text are not read.
+empty table gives no rows; texts are weighed whole, however long; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

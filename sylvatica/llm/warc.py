@@ -18,7 +18,7 @@ null page_id counts as the smallest and is read back as null; a null or odd url
 origin with a missing or repeated segment, or whose length, framing or digest is wrong, and a revisit whose response
 is not there, are returned with ``complete`` false and null figures; so is a record that is cut or has a number that
 is none, and reading goes on at the next record, or the next gzip member after a damaged one; a record without an
-identifier is an origin of its own; records that share one are read each; other columns of the input, whatever their
+identifier is an origin of its own; records that share one are read each; a page of any length is written in segments; other columns of the input, whatever their
 names, are not read; an empty table gives an empty archive and no rows.
 """
 
