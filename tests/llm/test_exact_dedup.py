@@ -6,8 +6,10 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sylvatica.llm import exact_dedup as D
+from sylvatica.llm import storage
 
 DROP = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -68,3 +70,19 @@ def test_columns_of_any_name(spark):
     kept = D.drop_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == [rows[2], rows[3]]
+
+
+@pytest.mark.parametrize("most_bits", [4, 27])
+def test_rows_that_stay_and_go(spark, monkeypatch, most_bits):
+    """Kept once, gone, and untouched rows, with a sieve that tells them apart and one that is full."""
+    monkeypatch.setattr(storage, "MOST_BITS", most_bits)
+    rng = random.Random(5)
+    rows = [(rng.choice((None, *range(200))), f"text {rng.randrange(300)}", i, 1.5) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep long, n double").repartition(4)
+    name, raw = storage.identity()
+    grouped = docs.groupBy(name.alias("id"), raw.alias("raw"), F.col("doc_id").alias("d"), F.col("text").alias("t")).agg(F.count("*").alias("n"))
+    marked = grouped.withColumn("keep", F.coalesce(F.col("d") % 3 != 0, F.lit(True)))
+    found = storage.keep_marked(docs, marked.select("id", "raw", "keep", "n"))
+    assert found.columns == docs.columns
+    kept = [tuple(r)[:2] for r in found.collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, {(d, t) for d, t, *_ in rows if d is None or d % 3}))
