@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvatica.llm.storage import settle
+from sylvatica.llm.storage import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
         least = settle(live.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("to")), "least")
         far = least.select(F.col("node").alias("to"), F.col("to").alias("image"))
         image = settle(least.join(far, "to").select("node", "image"), "images")
+        of = lambda end: image.select(F.col("node").alias(end), F.col("image").alias(f"{end}_to"))
+        mapped = live.join(of("a"), "a").join(of("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        done = [least, live]
+        live = settle(mapped.where("a <> b").distinct(), "edges")
         if found is None:
             found = image.withColumnRenamed("image", "component")
         else:  # a node whose image has no edge left is at its end
             step = image.select(F.col("node").alias("component"), "image")
+            done += [found, image]
             found = settle(found.join(step, "component", "left").select("node", F.coalesce("image", "component").alias("component")), "nodes")
-        of = lambda end: image.select(F.col("node").alias(end), F.col("image").alias(f"{end}_to"))
-        mapped = live.join(of("a"), "a").join(of("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
-        live = settle(mapped.where("a <> b").distinct(), "edges")
+        for table in done:
+            discard(table)
+    discard(live)
     return edges.sparkSession.createDataFrame([], "node long, component long") if found is None else found
