@@ -28,7 +28,8 @@ def media_type(name: Column) -> Column:
 
 
 def data_url(name: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), media_type(name), F.lit(";base64,"), F.base64(content))
+    # base64 of more than 57 bytes has line ends, which a URL must not
+    return F.concat(F.lit("data:"), media_type(name), F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def is_remote(reference: Column) -> Column:

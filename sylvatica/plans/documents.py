@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvatica.functions import answers as A
+from sylvatica.functions import payloads as P
 from sylvatica.functions import text as X
 from sylvatica.operators import gate, keys, notices, releases, trials, workflow
 from sylvatica.plans.catalogue import _LABELS_SQL, _POLYGON_SQL, ORACLES, _batch, _nation_tree, _orders_release, query, species_path_table
@@ -288,3 +289,44 @@ def gate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = gate.response_body(F.col("status"), F.col("told"), decision, F.array(F.lit("a"), F.lit("b")))
     answered = checked.withColumn("told", detail).withColumn("status", status).withColumn("answer", body)
     return answered.select("request_id", "status", F.col("answer").alias("body"), F.size(gate.response_headers(F.col("status"), F.col("answer"))).alias("headers"))
+
+
+# --- results and documents that are written ------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS trial_id, o_orderstatus AS parsed, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS left_before FROM orders")
+def results_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the tasks is done and written; the rest is found, done and added, a folder per trial."""
+    path, schema = _scratch(spark, "results"), "task long, parsed string, trial_id string"
+    every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.col("o_orderstatus").alias("parsed"), F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("trial_id"))
+    left = trials.remaining(every, readers.read_results(spark, path, schema), ["task"])
+    sinks.append_results(left.where("task % 3 = 0"), path)
+    rest = trials.remaining(every, readers.read_results(spark, path, schema), ["task"])
+    counted = spark.range(1).select(F.lit(rest.count()).alias("left_before"))
+    sinks.append_results(rest, path)
+    return readers.read_results(spark, path, schema).crossJoin(F.broadcast(counted)).select("task", "trial_id", "parsed", "left_before")  # one row
+
+
+@query("SELECT 'nations' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lines of no order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def input_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    lost = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"], "left_anti")
+    return keys.summary(**{"nations": table(spark, sf_dir, "nation"), "orders": orders, "lines of no order": lost})
+
+
+@query("""
+    SELECT page_id, 'data:' || CASE page_id % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/webp' ELSE 'image/png' END || ';base64,' || to_base64(encode(coalesce(html, ''))) AS picture FROM pages
+""")
+def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(n) for n in ("a.JPG", "b.webp", "c.unknown", "d.png")]), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", P.data_url(name, F.coalesce("html", F.lit("")).cast("binary")).alias("picture"))
+
+
+@query("SELECT 'v1' AS schema_version, 'nations' AS source, n_nationkey AS key, n_name AS name, (SELECT count(*) FROM nation) AS listed FROM nation")
+def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows gathered in one JSON document, written once, read back and taken apart."""
+    path = _scratch(spark, "document")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    sinks.write_once(sinks.single_document(rows, "entries", {"schema_version": "v1", "source": "nations"}, "key"), path)
+    read = readers.read_document(spark, path, "entries array<struct<key: long, name: string>>, schema_version string, source string")
+    return read.select("schema_version", "source", F.size("entries").cast("long").alias("listed"), F.inline("entries"))
