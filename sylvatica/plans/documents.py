@@ -302,7 +302,7 @@ def results_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = trials.remaining(every, readers.read_results(spark, path, schema), ["task"])
     sinks.append_results(left.where("task % 3 = 0"), path)
     rest = trials.remaining(every, readers.read_results(spark, path, schema), ["task"])
-    counted = spark.range(1).select(F.lit(rest.count()).alias("left_before"))
+    counted = spark.range(1).select(F.lit(rest.count()).cast("long").alias("left_before"))
     sinks.append_results(rest, path)
     return readers.read_results(spark, path, schema).crossJoin(F.broadcast(counted)).select("task", "trial_id", "parsed", "left_before")  # one row
 
@@ -322,7 +322,7 @@ def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", P.data_url(name, F.coalesce("html", F.lit("")).cast("binary")).alias("picture"))
 
 
-@query("SELECT 'v1' AS schema_version, 'nations' AS source, n_nationkey AS key, n_name AS name, (SELECT count(*) FROM nation) AS listed FROM nation")
+@query("SELECT 'v1' AS schema_version, 'nations' AS source, n_nationkey::BIGINT AS key, n_name AS name, (SELECT count(*) FROM nation) AS listed FROM nation")
 def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows gathered in one JSON document, written once, read back and taken apart."""
     path = _scratch(spark, "document")
