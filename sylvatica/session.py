@@ -18,6 +18,7 @@ def build_session(app: str = "sylvatica", cores: int | None = None, **conf: str)
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='sylvatica-')}",  # one machine, so its own disk is shared
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in settings.items():
