@@ -134,7 +134,7 @@ def test_rows_of_one_component_are_not_paired():
     began = time.process_time()
     told = sum(b.num_rows for b in run(iter(bucket(sets, component, probe))))
     assert told == 4 * (20_000 - 4) + 6  # each of four with all others, once
-    assert time.process_time() - began < 4
+    assert time.process_time() - began < 20  # all pairs are 200 million
 
 
 @pytest.mark.parametrize("seed", range(4))
