@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvatica.llm.boosting import Tree, classification_tree
+from sylvatica.llm.storage import small_batches
 
 #: Elements by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -270,4 +271,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                     texts, held, first = [], 0, i + 1
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")

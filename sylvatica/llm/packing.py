@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvatica.llm.storage import text_or_empty
+from sylvatica.llm.storage import small_batches, text_or_empty
 
 CONTEXT = 2048
 END_ID = 1
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, text: str = "text", context: int = CONTEXT, end_id: in
             if rows[0]:
                 yield _rows(rows)
 
-    pieces = docs.select(F.col("doc_id").cast("long"), text_or_empty(text).alias("text")).mapInArrow(cut, PIECES)
+    pieces = small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty(text).alias("text")).mapInArrow(cut, PIECES)
     pieces = pieces if keep_ids else pieces.drop("ids")
     return pieces.withColumns({"bucket": F.col("length"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 

@@ -63,6 +63,15 @@ def settle(df: DataFrame, label: str, sift: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, of whose session Arrow batches are bounded in bytes from now on, unless they are already: a result with
+    whole texts is written by a caller, and by default a worker gets 10,000 texts or 64 MB at once."""
+    key, value = next(iter(SETTLING.items()))
+    if rows.sparkSession.conf.get(key, None) is None:
+        rows.sparkSession.conf.set(key, value)
+    return rows
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the files of shuffles that no plan refers to any more go now rather than at some later collection.
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvatica.llm.boosting import Boosted, boost
-from sylvatica.llm.storage import settle, text_or_empty
+from sylvatica.llm.storage import settle, small_batches, text_or_empty
 from sylvatica.llm.words import LOWER, distinct, inverse_power, mix, power, slices, words
 
 SAMPLE = 12_000
@@ -415,7 +415,7 @@ def score_column(model: Model):
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty(text).alias("text"))
-    scored = rows.mapInArrow(score_column(model), "doc_id long, held_out boolean, score double")
+    scored = small_batches(rows).mapInArrow(score_column(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -429,4 +429,4 @@ def reject(docs: DataFrame, model: Model, text: str = "text", bar: float = 0.5)
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts) < bar))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)
