@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvatica.llm import chat, exact_dedup, html_text, mixing, near_dedup, packing, quality, topk_search, toxicity, warc
+from sylvatica.llm import chat, exact_dedup, html_text, learned_partitions, mixing, near_dedup, packing, quality, topk_search, toxicity, vector_codes, warc, whitening
 from sylvatica.session import table
 
 
@@ -59,6 +59,42 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
 
 
+def op11_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.quantise(table(spark, sf_dir, "embeddings"))
+
+
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = learned_partitions.usable(table(spark, sf_dir, "embeddings"))
+    return learned_partitions.search(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
+
+
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Product quantisation by plain comparison with every entry: a common table for each round."""
+    square = "coalesce(list_sum(list_transform(range(1, len(p.v) + 1), lambda j: (p.v[j] - b.v[j]) * (p.v[j] - b.v[j]))), 0)::HUGEINT"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT p.r, p.p, min({square} * 16 + b.i) AS best FROM p JOIN b{i} AS b ON b.p = p.p GROUP BY p.r, p.p)")
+        if i < rounds:
+            steps.append(f"""s{i} AS MATERIALIZED (SELECT p, i, list(CASE WHEN total < 0 THEN -((n - 1 - total) // n) ELSE total // n END ORDER BY j)::BIGINT[] AS v FROM (
+                SELECT p, i, j, sum(x) AS total, count(*)::HUGEINT AS n FROM (
+                  SELECT p.p, (a.best % 16)::BIGINT AS i, unnest(p.v) AS x, unnest(range(len(p.v))) AS j FROM p JOIN a{i} AS a ON a.r = p.r AND a.p = p.p) GROUP BY p, i, j) GROUP BY p, i)""")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.i, coalesce(s.v, b.v) AS v FROM b{i} AS b LEFT JOIN s{i} AS s ON s.p = b.p AND s.i = b.i)")
+    return f"""
+        WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+               FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT r, p, v[len(v) * p // 8 + 1 : len(v) * (p + 1) // 8] AS v FROM k, range(8) AS t(p)),
+        b0 AS MATERIALIZED (SELECT p, r - 1 AS i, v FROM p WHERE r <= 16),
+        {", ".join(steps)},
+        h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, i, j)) AS codebooks_sha256 FROM (SELECT p, i, unnest(v) AS x, unnest(range(len(v))) AS j FROM b{rounds})),
+        c AS (SELECT r, string_agg(printf('%02x', (best % 16)::INTEGER), '' ORDER BY p) AS code, sum(best // 16)::BIGINT AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c ON c.r = k.r CROSS JOIN h
+    """
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_main_text": op2_main_text,
@@ -70,6 +106,9 @@ QUERIES = {
     "op8_pack_binary": op8_pack_binary,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_topk_search": op10_topk_search,
+    "op11_annular_codes": op11_annular_codes,
+    "op12_learned_partitions": op12_learned_partitions,
+    "op13_lanczos_whitening": op13_lanczos_whitening,
 }
 
 ORACLES = {
@@ -154,4 +193,5 @@ ORACLES = {
         r(x, y) AS (SELECT row, row FROM s UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(t.doc_id) FROM r JOIN s AS t ON t.row = r.y WHERE r.x = s.row) AS component_id FROM s
     """,
+    "op11_annular_codes": _codes_sql(),
 }
