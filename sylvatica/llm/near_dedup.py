@@ -173,7 +173,8 @@ def bins_for(size: np.ndarray) -> np.ndarray:
 
 
 def sketches(text: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """A histogram of each set's hashes, counts up to 15 and two to a byte; capped counts differ no more than the counts."""
+    """A histogram of each set's hashes, counts up to 15 and two to a byte; capped counts of the same bins differ no more
+    than the counts, and those of a sketch folded to fewer bins are capped again."""
     bins = bins_for(size)
     base = np.concatenate(([0], np.cumsum(bins)))
     place = (mix(value ^ np.uint64(0x77)) >> np.uint64(40)).astype(np.int64) & (bins[text] - 1)
@@ -197,7 +198,8 @@ class Sketches:
                 half = np.frombuffer(b"".join(packed[i] for i in chosen[mine].tolist()), np.uint8).reshape(-1, full // 2)
                 whole = np.empty((len(half), full), np.int8)
                 whole[:, 0::2], whole[:, 1::2] = half & 15, half >> 4
-                out[mine] = whole.reshape(len(half), full // bins, bins).sum(axis=1, dtype=np.int8)
+                # capped again: so a folded sketch is what the set's sketch of fewer bins would be
+                out[mine] = np.minimum(whole.reshape(len(half), full // bins, bins).sum(axis=1, dtype=np.int8), 15)
             self.at[bins] = out
             self.row[bins] = np.full(len(packed), -1)
             self.row[bins][chosen] = np.arange(len(chosen))

@@ -257,6 +257,42 @@ def test_sketches_bound_the_difference_from_below():
         assert least[3] == 0 and (size > 10_000 or least[0] > 0)
 
 
+@pytest.mark.parametrize("limit", [2048, 4096])
+@pytest.mark.parametrize("size, num", [(3, 90), (5, 80)])
+def test_links_are_kept_where_sketches_grow(spark, limit, size, num):
+    """Pairs just at the threshold whose sets lie on both sides of a size at which sketches get more bins."""
+    rng = np.random.default_rng(limit + num)
+    rule = N.Rule(size=size, num=num, den=100)
+    rows, sketched = [], []
+    for pair in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 2**40, limit + 480 + pair * 40)]
+        whole = len(words) - size + 1
+        shorter = words[: -(-whole * num // 100) + size - 1]  # the least that still links
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(shorter))]
+        values = rng.integers(1, 2**62, whole, dtype=np.uint64)
+        sketched += [np.unique(values), np.unique(values[: len(shorter) - size + 1])]
+        words = [f"w{x}" for x in rng.integers(0, 2**40, limit - pair - 4)]  # and the larger one just below the limit
+        rows += [(100 + 2 * pair, " ".join(words)), (101 + 2 * pair, " ".join(words[: -(-(len(words) - size + 1) * num // 100) + size - 1]))]
+    sizes = np.array([len(s) for s in sketched])
+    told = N.Sketches(N.sketches(np.repeat(np.arange(len(sketched)), sizes), np.concatenate(sketched), sizes))
+    left = np.arange(0, len(sketched), 2)
+    assert (told.differ(left, left + 1) <= sizes[left] - sizes[left + 1]).all()
+    found = {r["doc_id"]: r["component_id"] for r in N.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+
+
+def test_folded_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(9)
+    for smaller, larger in ((2040, 2300), (1900, 2110), (2048, 2049), (4090, 4560), (3800, 4200), (1000, 9000)):
+        base = np.unique(rng.integers(1, 2**62, larger, dtype=np.uint64))
+        sets = [np.unique(np.concatenate((base[:smaller - k], rng.integers(1, 2**62, k, dtype=np.uint64)))) for k in range(0, 200, 10)] + [base]
+        sizes = np.array([len(s) for s in sets])
+        told = N.Sketches(N.sketches(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), sizes))
+        i = np.arange(len(sets) - 1)
+        least = told.differ(i, np.full(len(i), len(sets) - 1))
+        assert all(n <= len(np.setxor1d(sets[x], base)) for x, n in zip(i, least, strict=True))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_against_union_find(spark, seed):
     rng = random.Random(seed)
