@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sylvatica.functions.floats import half_even
+
 #: Weights of the representative score and bounds of its parts.
 WEIGHTS = {"detection": 0.30, "mask": 0.30, "stability": 0.15, "area": 0.15, "border": 0.10}
 AREA_PREFERRED = (0.02, 0.65)
@@ -53,24 +55,20 @@ def quality_flags(size: Column, border: Column, detection: Column, mask: Column)
 
 
 def quality(polygon: Column, detection: Column, mask: Column, stability: Column) -> Column:
-    """The region's figures and its representative score.
-
-    Sums are rounded half up on their decimal text; a value halfway in binary may differ in the sixth digit
-    from one rounded half to even.
-    """
+    """The region's figures and its representative score, rounded by their exact binary values, halves to even."""
     size, border = area(polygon), border_distance(bbox(polygon))
     border_part, area_part = clamp(border / BORDER_FULL), area_score(size)
     w = WEIGHTS
     score = w["detection"] * clamp(detection) + w["mask"] * clamp(mask) + w["stability"] * clamp(stability) + w["area"] * area_part + w["border"] * border_part
     return F.struct(
-        F.round(score, DIGITS).alias("representative_score"), clamp(detection).alias("detection_confidence"), clamp(mask).alias("mask_quality"),
-        clamp(stability).alias("stability_score"), F.round(area_part, DIGITS).alias("area_score"), F.round(border_part, DIGITS).alias("border_score"),
-        F.round(size, DIGITS).alias("area_fraction"), quality_flags(size, border, detection, mask).alias("flags"),
+        half_even(score, DIGITS).alias("representative_score"), clamp(detection).alias("detection_confidence"), clamp(mask).alias("mask_quality"),
+        clamp(stability).alias("stability_score"), half_even(area_part, DIGITS).alias("area_score"), half_even(border_part, DIGITS).alias("border_score"),
+        half_even(size, DIGITS).alias("area_fraction"), quality_flags(size, border, detection, mask).alias("flags"),
     )
 
 
 def gate_confidence(detection: Column, mask: Column) -> Column:
-    return F.round(0.5 * detection + 0.5 * mask, DIGITS)
+    return half_even(0.5 * detection + 0.5 * mask, DIGITS)
 
 
 def ring(polygon: Column) -> Column:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from sylvatica.functions import geometry as G
+from sylvatica.functions.floats import python_points
 from sylvatica.functions.text import ORGAN_PROMPTS, category_id, file_name, gallery_category, joined_path
 from sylvatica.operators.frames import numbered_by
 from sylvatica.operators.ranking import best_within, rank_within, scope_keys
@@ -59,16 +57,10 @@ def _segment(raw: dict[str, Any]) -> dict[str, Any]:
     return {"stability_score": 0.5, "prompt": None, "detector_label": None} | raw | {"polygon": points}
 
 
-@F.arrow_udf(StringType())
-def proposal_id(observation: pa.Array, url: pa.Array, label: pa.Array, ordinal: pa.Array, polygon: pa.Array) -> pa.Array:
-    """Digests of a batch of proposals.  Python's spelling of floats is part of the key, hence a Python function."""
-    points, ends = polygon.flatten(), polygon.offsets.to_pylist()
-    corners = list(zip(points.field("x").to_pylist(), points.field("y").to_pylist(), strict=True))
-    found = []
-    for first, last, *names in zip(ends, ends[1:], observation.to_pylist(), url.to_pylist(), label.to_pylist(), ordinal.to_pylist(), strict=False):
-        text = "|".join((*map(str, names), repr(tuple(corners[first - ends[0] : last - ends[0]]))))
-        found.append("notice-proposal-" + hashlib.sha256(text.encode()).hexdigest()[:16])
-    return pa.array(found, pa.string())
+def proposal_id(observation: Column, url: Column, label: Column, ordinal: Column, polygon: Column) -> Column:
+    """The digest of a proposal.  Python's spelling of missing values and of floats is part of the key."""
+    named = [F.coalesce(c.cast("string"), F.lit("None")) for c in (observation, url, label, ordinal)]
+    return F.concat(F.lit("notice-proposal-"), F.substring(F.sha2(F.concat_ws("|", *named, python_points(polygon)), 256), 1, 16))
 
 
 def proposals(segments: DataFrame, model_name: str, model_version: str) -> DataFrame:
@@ -77,7 +69,7 @@ def proposals(segments: DataFrame, model_name: str, model_version: str) -> DataF
     kept = each.where(G.valid(F.col("s.polygon")))
     return kept.select(
         "observation_id", "subject_id", "image_url", "photo_id", "species_name", "license", "frame_index",
-        proposal_id("observation_id", "image_url", F.col("s.label"), "ordinal", F.col("s.polygon")).alias("proposal_id"),
+        proposal_id(F.col("observation_id"), F.col("image_url"), F.col("s.label"), F.col("ordinal"), F.col("s.polygon")).alias("proposal_id"),
         category_id(F.col("s.label")).alias("category_id"), F.col("s.label").alias("category_label"), F.col("s.polygon").alias("polygon"),
         G.bbox(F.col("s.polygon")).alias("bbox"),
         G.quality(F.col("s.polygon"), F.col("s.detection_confidence"), F.col("s.mask_quality"), F.col("s.stability_score")).alias("quality"),

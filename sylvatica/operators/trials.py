@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sylvatica.functions import answers as A
 from sylvatica.functions.payloads import parts_json
+from sylvatica.operators.calls import told_apart
 from sylvatica.operators.frames import first_by_key, last_by_key
 from sylvatica.operators.keys import SPECIES, unpivoted_truth
 
@@ -77,7 +78,8 @@ def feature_values(pairs: DataFrame) -> DataFrame:
 
 
 def model_call(call: Call) -> Callable[[Column, Column], Column]:
-    """A Column function (model, parts) -> answer around a Python callable.
+    """A Column function (model, parts) -> answer around a Python callable whose failures end the job; with
+    ``calls.isolated_call`` they are rows.
 
     Marked as non-deterministic, so that no rule of the optimizer evaluates a call twice.
     """
@@ -122,8 +124,15 @@ def first_phase(rows: DataFrame, ask: Callable[[Column, Column], Column]) -> Dat
     Write the result before ``second_phase`` reads it: the answers are then asked for once.
     """
     asked = rows.withColumn("p1_parts", A.existence_prompt(F.col("feature"), F.col("photo_url"), F.col("true_value")))
-    answered = asked.withColumn("p1_raw", ask(F.col("model"), F.col("p1_parts")))
-    return answered.withColumn("p1_parsed", A.parse_yes_no(F.col("p1_raw"))).withColumn("p1_parse_rule", F.lit(P1_RULE))
+    answered = _answered(asked, "p1_raw", ask(F.col("model"), F.col("p1_parts")))
+    parsed = F.when(F.col("p1_raw").isNotNull(), A.parse_yes_no(F.col("p1_raw"))) if "error" in answered.columns else A.parse_yes_no(F.col("p1_raw"))
+    return answered.withColumn("p1_parsed", parsed).withColumn("p1_parse_rule", F.lit(P1_RULE))
+
+
+def _answered(rows: DataFrame, name: str, answer: Column) -> DataFrame:
+    """``rows`` with the answer, and with ``error`` where ``calls.isolated_call`` gives it beside the answer."""
+    kind = rows.select(answer.alias(name)).schema[name].dataType.typeName()
+    return told_apart(rows, name, answer) if kind == "struct" else rows.withColumn(name, answer)
 
 
 def second_phase(rows: DataFrame, choices: DataFrame, values: DataFrame, ask: Callable[[Column, Column], Column]) -> DataFrame:
@@ -136,27 +145,35 @@ def second_phase(rows: DataFrame, choices: DataFrame, values: DataFrame, ask: Ca
     yes = joined.where(F.col("p1_parsed") == "YES")
     none = F.array().cast("array<struct<value:string,description:string,photo:string,illustration:string>>")
     asked = yes.withColumn("p2_parts", A.choice_prompt(F.col("feature"), F.coalesce("options", none), F.col("photo_url")))
-    answered = asked.withColumn("p2_raw", ask(F.col("model"), F.col("p2_parts")))
+    answered = _answered(asked, "p2_raw", ask(F.col("model"), F.col("p2_parts")))
     read = answered.withColumn("p2_parsed", A.parse_choice(F.col("p2_raw"), F.coalesce("values", F.array().cast("array<string>")))).withColumn("p2_parse_rule", F.lit(P2_RULE))
     skipped = joined.where(~F.coalesce(F.col("p1_parsed") == "YES", F.lit(False))).withColumns({
         "p2_parts": F.array().cast("array<struct<kind:string,value:string>>"), "p2_raw": F.lit(""), "p2_parsed": F.lit(A.INCONCLUSIVE), "p2_parse_rule": F.lit(P2_SKIPPED),
     })
-    return read.unionByName(skipped).drop("options", "values")
+    both = read.unionByName(skipped, allowMissingColumns=True).drop("options", "values")
+    if "error" not in both.columns:
+        return both
+    failed = F.col("error").isNotNull()  # a failed task has no reading
+    return both.withColumns({c: F.when(~failed, F.col(c)) for c in ("p2_raw", "p2_parsed", "p2_parse_rule")})
 
 
 def scored(rows: DataFrame) -> DataFrame:
+    """A failed task, which has no reading, has no score."""
     score = A.step_score(F.col("p2_parsed"), F.col("true_value"))
+    if "error" in rows.columns:
+        score = F.when(F.col("error").isNull(), score)
     return rows.withColumns({"feature_correct": score["feature_correct"], "committed": score["committed"]})
 
 
 def step_results(rows: DataFrame, trial_id: str, started_at: str, mode: str, sample_limit: str, features_requested: str) -> DataFrame:
-    """Scored tasks in the 24 columns of a result file."""
+    """Scored tasks in the 24 columns of a result file, and ``error`` where calls can fail alone."""
     given = {"trial_id": trial_id, "run_started_at": started_at, "model_mode": mode, "sample_limit": sample_limit, "features_requested": features_requested}
     out = rows.withColumns({k: F.lit(v) for k, v in given.items()})
     out = out.withColumns({"p1_prompt_parts_json": parts_json(F.col("p1_parts")), "p2_prompt_parts_json": parts_json(F.col("p2_parts"))})
     return out.select(
         "trial_id", "run_started_at", "model_mode", "model", "sample_limit", "features_requested", "observation_id", "photo_id", "photo_url", "taxon_id", "species_inat", SPECIES,
         "feature", "true_value", "p1_prompt_parts_json", "p1_raw", "p1_parsed", "p1_parse_rule", "p2_prompt_parts_json", "p2_raw", "p2_parsed", "p2_parse_rule", "feature_correct", "committed",
+        *(["error"] if "error" in out.columns else []),
     )
 
 

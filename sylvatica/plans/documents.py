@@ -17,7 +17,7 @@ from sylvatica.session import shared_folder, table
 from sylvatica.sources import readers, sinks
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
+def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/sylvatica/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
@@ -97,7 +97,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     name = F.when(key % 3 == 0, "").when(key % 7 == 0, None).otherwise(F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"\nx')))
     kind = F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.lit("NA"))
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     sinks.write_csv(table(spark, sf_dir, "part").select(key.alias("id"), name.alias("name"), kind.alias("kind"), F.col("p_retailprice").alias("price")), path)
     return readers.read_csv(spark, path, "id long, name string, kind string, price double")
 
@@ -162,7 +162,7 @@ def _release_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def release_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A release written as one file, read, checked and turned into cases."""
-    path = _scratch(spark, "release")
+    path = scratch(spark, "release")
     _release_text(spark, sf_dir).write.text(path)
     release = readers.read_release(spark, path)
     cases = releases.experiment_cases(releases.validate_release(release))
@@ -237,14 +237,14 @@ def proposal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH e AS (SELECT event_id, 'o' || (event_id % 50) AS o, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE event_id % 50 < 40),
+    WITH e AS (SELECT event_id, 'o' || (event_id % 50) AS o, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events),
     f AS (SELECT 'o' || (c_custkey % 45) AS o, arg_max('/p/' || c_custkey || '.jpg', c_custkey) AS p FROM customer GROUP BY c_custkey % 45)
     SELECT event_id AS annotation_id, e.o AS observation_id, p AS local_path, (n % 3)::INTEGER AS place_column, (n // 3)::INTEGER AS place_row FROM e JOIN f ON e.o = f.o
 """)
 def gallery_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a gallery with the picture that each is drawn on and its place."""
+    """Entries of a gallery with the picture that each is drawn on and its place; a tenth of them have none and go."""
     name = lambda key: F.concat(F.lit("o"), key)
-    entries = table(spark, sf_dir, "events").where("event_id % 50 < 40").select("event_id", name(F.col("event_id") % 50).alias("observation_id"))
+    entries = table(spark, sf_dir, "events").select("event_id", name(F.col("event_id") % 50).alias("observation_id"))
     numbered = notices.numbered_by(entries, "event_id", "ordinal")
     frames = table(spark, sf_dir, "customer").select(name(F.col("c_custkey") % 45).alias("observation_id"), F.concat(F.lit("/p/"), "c_custkey", F.lit(".jpg")).alias("local_path"), F.col("c_custkey").alias("frame_index"))
     placed = notices.sheet_entries(numbered, frames, "ordinal")
@@ -297,7 +297,7 @@ def gate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS trial_id, o_orderstatus AS parsed, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS left_before FROM orders")
 def results_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the tasks is done and written; the rest is found, done and added, a folder per trial."""
-    path, schema = _scratch(spark, "results"), "task long, parsed string, trial_id string"
+    path, schema = scratch(spark, "results"), "task long, parsed string, trial_id string"
     every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.col("o_orderstatus").alias("parsed"), F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("trial_id"))
     left = trials.remaining(every, readers.read_results(spark, path, schema), ["task"])
     sinks.append_results(left.where("task % 3 = 0"), path)
@@ -325,7 +325,7 @@ def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'v1' AS schema_version, 'nations' AS source, n_nationkey::BIGINT AS key, n_name AS name, (SELECT count(*) FROM nation) AS listed FROM nation")
 def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows gathered in one JSON document, written once, read back and taken apart."""
-    path = _scratch(spark, "document")
+    path = scratch(spark, "document")
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
     sinks.write_once(sinks.single_document(rows, "entries", {"schema_version": "v1", "source": "nations"}, "key"), path)
     read = readers.read_document(spark, path, "entries array<struct<key: long, name: string>>, schema_version string, source string")
