@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvatica.functions import floats
-from sylvatica.operators import calls, trials
+from sylvatica.operators import calls, regions, trials
 from sylvatica.plans.catalogue import query
+from sylvatica.plans.documents import scratch
 from sylvatica.session import settled, table
+from sylvatica.sources import readers, sinks
+from sylvatica.streaming import telemetry
 
 # --- calls that fail alone -----------------------------------------------------------------------------------
 
@@ -107,3 +110,56 @@ def float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, line = F.col("l_extendedprice").cast("double"), F.col("l_linenumber")
     small, large = price / F.pow(F.lit(10.0), 3 * line - 2), price * F.col("l_quantity").cast("double") * F.pow(F.lit(10.0), 2 * line)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", floats.python_text(small).alias("small"), floats.python_text(large).alias("large"))
+
+
+# --- masks as rows -------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH RECURSIVE c AS (SELECT vec_id AS m, unnest(range(64)) AS i, unnest(embedding[1:64]) AS v FROM embeddings),
+    p AS MATERIALIZED (SELECT m, i::INTEGER AS i, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y FROM c WHERE v > 0.02),
+    r(m, o, i, x, y) AS (SELECT m, i, i, x, y FROM p UNION SELECT r.m, r.o, q.i, q.x, q.y FROM r JOIN p AS q ON q.m = r.m AND abs(q.x - r.x) <= 1 AND abs(q.y - r.y) <= 1),
+    l AS (SELECT m, i, x, y, min(o) AS region FROM r GROUP BY m, i, x, y),
+    g AS (SELECT m, region, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM l GROUP BY m, region)
+    SELECT m AS vec_id, area, x0, y0, x1, y1, count(*) OVER (PARTITION BY m) AS regions FROM g QUALIFY row_number() OVER (PARTITION BY m ORDER BY area DESC, region) = 1
+""")
+def mask_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as masks of 8 x 8 pixels: how many regions, and the largest one's size and box."""
+    masks = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v > F.lit(0.02)).alias("cells"), F.lit(8).alias("width"))
+    found = regions.largest(regions.region_figures(regions.labelled(regions.runs(masks, "vec_id"))))
+    return found.select(F.col("mask").alias("vec_id"), "area", "x0", "y0", "x1", "y1", "regions")
+
+
+# --- streams and results -------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT user_id % 20 AS session, event_id, epoch_us(ts) AS stamp, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id DESC) <= 200
+""")
+def telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed from files, some a micro-batch: the last 200 of each session, each with its own stamp."""
+    source, out, schema = scratch(spark, "events"), scratch(spark, "telemetry"), "session long, event_id long, stamp long, event_type string, value double"
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("session"), "event_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', CAST(ts AS TIMESTAMP_NTZ))").alias("stamp"), "event_type", "value")
+    events.repartitionByRange(6, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    last = telemetry.last_events(stream, payload=["stamp", "event_type", "value"])
+
+    def write(batch: DataFrame, number: int) -> None:
+        sinks.append_results(batch.withColumn("kind", F.lit("last")), out, str(number), "kind")
+
+    start = last.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start
+    telemetry.started(spark, start).awaitTermination()
+    return telemetry.newest_states(readers.read_results(spark, out, f"{schema}, kind string")).drop("kind")
+
+
+@query("""
+    SELECT o_orderkey AS task, CASE WHEN o_orderkey % 3 = 0 THEN 'late' ELSE 'old' END AS batch, o_orderstatus AS parsed, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus <> 'O' END AS committed FROM orders
+""")
+def results_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a run that did not have the column ``committed`` yet and of one that has, read as one; both wrote twice."""
+    path, schema = scratch(spark, "schemas"), "task long, parsed string, committed boolean, trial_id string"
+    every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.col("o_orderstatus").alias("parsed"), (F.col("o_orderstatus") != "O").alias("committed"), F.concat(F.lit("t"), F.col("o_orderkey") % 4).alias("trial_id"))
+    for _ in range(2):
+        sinks.append_results(every.where("task % 3 <> 0").drop("committed"), path, "old")
+        sinks.append_results(every.where("task % 3 = 0"), path, "late")
+    return readers.read_results(spark, path, schema).select("task", "batch", "parsed", "committed")

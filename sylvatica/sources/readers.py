@@ -68,12 +68,23 @@ def read_document(spark: SparkSession, path: str, schema: str | StructType) -> D
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Earlier results in Parquet; none where the folder does not exist yet.  Columns added since are null."""
+    """Earlier results in Parquet, with the ``batch`` that wrote them; none where the folder does not exist yet.
+
+    ``schema`` is the newest one: files of older runs lack the columns added since, which are null for them.
+    """
+    whole = f"{schema}, batch string"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where) or not files.listStatus(where):
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).parquet(path)
+
+
+def results_of(results: DataFrame, rows: DataFrame, partition: str = "trial_id", most: int = 1000) -> DataFrame:
+    """The results of the trials that ``rows`` belong to: other trials' folders are not read (all are, beyond ``most`` trials)."""
+    told = [r[0] for r in rows.select(partition).distinct().limit(most + 1).collect()]
+    return results if len(told) > most else results.where(F.col(partition).isin(told))
 
 
 def read_media(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

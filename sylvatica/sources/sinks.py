@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def append_results(df: DataFrame, path: str, partition: str = "trial_id") -> None:
-    """Add rows to a results table, a folder per trial.  A job that fails adds nothing."""
-    df.write.mode("append").partitionBy(partition).parquet(path)
+def append_results(df: DataFrame, path: str, batch: str, partition: str = "trial_id") -> None:
+    """Put the rows of one batch into a results table: a folder per batch, and in it one per trial.
+
+    A batch that is written again, after a failure or by mistake, takes the place of what it wrote before, so results are there
+    once however often a job runs.  A job that fails on the way leaves a batch without its rows, not with some of them twice.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
+        raise ValueError(f"no name for a folder: {batch!r}")
+    df.write.mode("overwrite").partitionBy(partition).parquet(f"{path}/batch={batch}")
 
 
 def write_once(df: DataFrame, path: str) -> None:

@@ -212,7 +212,7 @@ def test_step_results_append_and_resume(spark, tmp_path):
         left = trials.remaining(todo, readers.read_results(spark, where, schema), trials.TASK_KEY)
         first = trials.first_phase(trials.with_truth(left, paths, ("key_flower_type",)), trials.model_call(lambda model, parts: "YES"))
         done = trials.second_phase(first, trials.options(refs), values, trials.mock_call)
-        sinks.append_results(trials.step_results(trials.scored(done), "t", "now", "mock", "7", "key_flower_type"), where)
+        sinks.append_results(trials.step_results(trials.scored(done), "t", "now", "mock", "7", "key_flower_type"), where, f"run-{len(left.collect())}")
     rows = readers.read_results(spark, where, schema).collect()
     assert len(rows) == 7 and {r.p2_parsed for r in rows} == {"INCONCLUSIVE"} and all(r.feature_correct and not r.committed for r in rows)
     with pytest.raises(ValueError):
