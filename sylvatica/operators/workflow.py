@@ -51,6 +51,52 @@ def depths(nodes: DataFrame) -> DataFrame:
     return state.where(F.col("up").isNull()).select("node_id", "depth")
 
 
+#: Spark's own bound of the rows that a recursive query makes.
+_RECURSION_ROWS = "spark.sql.cteRecursionRowLimit"
+
+
+def node_paths(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
+    """node_id, depth, path (from the root, joined by "/") of the nodes that a root leads to, by a recursive query.
+
+    A level is a join, so this is for trees that are wide rather than deep; ``depths`` takes rounds by the logarithm.
+    The levels are bounded by the number of nodes, or by ``deepest``, beyond which the query fails; a cycle is never entered.
+    """
+    spark = nodes.sparkSession
+    parent = F.when(F.col("parent_id") != "", F.col("parent_id"))
+    one = nodes.select("node_id", parent.alias("up")).groupBy("node_id").agg(F.min(F.struct(F.col("up").isNotNull().alias("below"), F.col("up").alias("up"))).alias("p"))
+    edges = settled(one.select("node_id", "p.up"))
+    count = edges.count()
+    levels = min(count, deepest) if deepest is not None else count
+    before = spark.conf.get(_RECURSION_ROWS, None)
+    spark.conf.set(_RECURSION_ROWS, str(count + 1))  # a node is reached once
+    try:
+        return settled(spark.sql(f"""
+            WITH RECURSIVE walk(node_id, depth, path) MAX RECURSION LEVEL {levels + 1} AS (
+                SELECT node_id, 0, node_id FROM {{edges}} WHERE up IS NULL
+                UNION ALL SELECT e.node_id, w.depth + 1, concat(w.path, '/', e.node_id) FROM walk AS w JOIN {{edges}} AS e ON e.up = w.node_id)
+            SELECT node_id, depth, path FROM walk
+        """, edges=edges))
+    finally:
+        spark.conf.unset(_RECURSION_ROWS) if before is None else spark.conf.set(_RECURSION_ROWS, before)
+
+
+def cycle_nodes(nodes: DataFrame, loose: DataFrame | None = None) -> DataFrame:
+    """(node_id) of the nodes on a cycle, without those below one.  ``loose``: the nodes that no root leads to, if known.
+
+    From such nodes, if their parents are known, as many steps to the parent as there are nodes lead onto a cycle, and to each of
+    its nodes; the steps are doubled, so that takes rounds by the logarithm.
+    """
+    parent = F.when(F.col("parent_id") != "", F.col("parent_id"))
+    one = nodes.select("node_id", parent.alias("up")).groupBy("node_id").agg(F.min(F.struct(F.col("up").isNotNull().alias("below"), F.col("up").alias("up"))).alias("p"))
+    if loose is None:
+        loose = nodes.select("node_id").join(depths(nodes).select("node_id"), "node_id", "left_anti")
+    state = settled(one.select("node_id", "p.up").join(loose.select("node_id"), "node_id", "left_semi"))
+    for _ in range(max(1, state.count()).bit_length()):
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"))
+        state = settled(state.join(above, "up").select("node_id", F.col("next").alias("up")))  # what hangs on an unknown parent goes
+    return state.select(F.col("up").alias("node_id")).distinct()
+
+
 def cycle_violations(nodes: DataFrame) -> DataFrame:
     loose = nodes.select("node_id").join(depths(nodes).select("node_id"), "node_id", "left_anti")
     return loose.select(F.lit("on a cycle or below one").alias("rule"), F.col("node_id").alias("subject"))

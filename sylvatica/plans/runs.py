@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvatica.functions import floats
-from sylvatica.operators import calls, regions, trials
+from sylvatica.functions.documents import canonical
+from sylvatica.operators import calls, regions, trials, workflow
 from sylvatica.plans.catalogue import query
 from sylvatica.plans.documents import scratch
+from sylvatica.schemas import RELEASE_NAME, RELEASE_TABLES
 from sylvatica.session import settled, table
-from sylvatica.sources import readers, sinks
+from sylvatica.sources import ranged, readers, sinks
+from sylvatica.sources.releases import read_releases
 from sylvatica.streaming import telemetry
 
 # --- calls that fail alone -----------------------------------------------------------------------------------
@@ -163,3 +166,120 @@ def results_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.append_results(every.where("task % 3 <> 0").drop("committed"), path, "old")
         sinks.append_results(every.where("task % 3 = 0"), path, "late")
     return readers.read_results(spark, path, schema).select("task", "batch", "parsed", "committed")
+
+
+# --- releases, trees and documents ---------------------------------------------------------------------------
+
+_TABLES = [t for t in RELEASE_TABLES.values() if t not in ("devo_taxa", "devo_taxon_feature_value")]
+
+
+def _release_files(spark: SparkSession, sf_dir: str) -> str:
+    """A release of each group of customers, a file each: taxa and claims; some break a rule."""
+    group, name = F.col("c_custkey") % 60, F.lit("plants").alias(RELEASE_NAME)
+    taxon = F.struct(name, F.col("c_name").alias("taxon_name"), F.col("c_custkey").cast("string").alias("source_taxon_id"))
+    claim = F.struct(name, F.col("c_name").alias("taxon_name"), F.lit("nation").alias("feature_name"), F.col("c_nationkey").cast("string").alias("vocab_id"), F.col("c_mktsegment").alias("assertion_source"), F.lit("c").alias("source_context_id"))
+    listed = table(spark, sf_dir, "customer").groupBy(group.alias("g")).agg(F.to_json(F.collect_list(taxon)).alias("taxa"), F.to_json(F.collect_list(claim)).alias("claims"))
+    g = F.col("g")
+    source = F.concat(F.lit(f'{{"{RELEASE_NAME}": "plants", "version": "7"'), F.when(g % 11 == 3, F.lit("")).otherwise(F.lit(', "content_hash": "x"')), F.lit("}"))
+    text = F.concat(
+        F.lit('{"manifest": {"contract_version": "1.0", "release_id": "r'), g.cast("string"), F.lit('", "source": '), source, F.lit("}, "), F.lit(", ".join(f'"{t}": []' for t in _TABLES)),
+        F.when(g % 10 == 4, F.lit("")).otherwise(F.concat(F.lit(', "devo_taxa": '), F.col("taxa"))),
+        F.lit(', "devo_taxon_feature_value": '), F.when(g % 12 == 5, F.lit('{"no": "list"}')).otherwise(F.col("claims")), F.when(g % 13 == 6, F.lit("")).otherwise(F.lit("}")),
+    )
+    path = scratch(spark, "releases")
+    listed.select(g.alias("part"), text.alias("value")).write.partitionBy("part").text(path)  # one row, so one file, a folder
+    return path
+
+
+_RELEASES_SQL = """g AS (SELECT DISTINCT c_custkey % 60 AS g FROM customer),
+    v AS (SELECT g, unnest(CASE WHEN g % 13 = 6 THEN [{'rule': 'the document is no JSON', 'subject': 'document'}] ELSE list_filter([
+        CASE WHEN g % 11 = 3 THEN {'rule': 'the manifest lacks a field', 'subject': 'source_content_hash'} END, CASE WHEN g % 10 = 4 THEN {'rule': 'a table is missing', 'subject': 'devo_taxa'} END,
+        CASE WHEN g % 12 = 5 THEN {'rule': 'a table is no list', 'subject': 'devo_taxon_feature_value'} END], lambda x: x IS NOT NULL) END) AS p FROM g)"""
+
+
+@query(f"WITH {_RELEASES_SQL} SELECT g, p.rule AS rule, p.subject AS subject FROM v")
+def release_files_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with which of many release documents."""
+    found = read_releases(spark, _release_files(spark, sf_dir)).violations
+    return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("g"), "rule", "subject")
+
+
+@query(f"""
+    WITH {_RELEASES_SQL} SELECT 'r' || (c_custkey % 60) AS release_id, c_name AS taxon_name, c_nationkey::VARCHAR AS vocab_id, c_custkey::VARCHAR AS source_taxon_id, c_mktsegment AS assertion_source
+    FROM customer WHERE c_custkey % 60 NOT IN (SELECT g FROM v)
+""")
+def release_files_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of all good release documents with their taxa."""
+    found = read_releases(spark, _release_files(spark, sf_dir))
+    claims, taxa = found.table("claims"), found.table("taxa")
+    return claims.join(taxa, ["release_id", RELEASE_NAME, "taxon_name"]).select("release_id", "taxon_name", "vocab_id", "source_taxon_id", "assertion_source")
+
+
+def _customer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a tree in which the parent of i is i div 3, but for some: 20 and 60, and 33 alone, are cycles, and 41 hangs on nothing."""
+    key = F.col("c_custkey")
+    parent = F.when(key == 20, 60).when(key == 33, 33).when(key == 41, -1).when(key > 2, F.floor(key / 3))
+    return table(spark, sf_dir, "customer").select(key.cast("string").alias("node_id"), parent.cast("string").alias("parent_id"))
+
+
+_TREE_SQL = "t AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 20 THEN 60 WHEN c_custkey = 33 THEN 33 WHEN c_custkey = 41 THEN -1 WHEN c_custkey > 2 THEN c_custkey // 3 END AS p FROM customer)"
+
+
+@query(f"""
+    WITH RECURSIVE {_TREE_SQL}, w(id, depth, path) AS (SELECT id, 0, id::VARCHAR FROM t WHERE p IS NULL UNION ALL SELECT t.id, depth + 1, path || '/' || t.id FROM t JOIN w ON t.p = w.id)
+    SELECT id::VARCHAR AS node_id, depth, path FROM w
+""")
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way from a root to each node, by a recursive query."""
+    return workflow.node_paths(_customer_tree(spark, sf_dir))
+
+
+@query(f"""
+    WITH RECURSIVE {_TREE_SQL}, up(id, a) AS (SELECT id, p FROM t UNION SELECT up.id, t.p FROM up JOIN t ON t.id = up.a),
+    r AS (SELECT id FROM up GROUP BY id HAVING bool_or(a IS NULL))
+    SELECT id::VARCHAR AS node_id, CASE WHEN id IN (SELECT id FROM up WHERE a = id) THEN 'on a cycle' ELSE 'below a cycle or nothing' END AS place FROM t WHERE id NOT IN (SELECT id FROM r)
+""")
+def tree_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that no root leads to: those on a cycle apart from what hangs below."""
+    nodes = _customer_tree(spark, sf_dir)
+    loose = settled(workflow.cycle_violations(nodes).select(F.col("subject").alias("node_id")))
+    on = workflow.cycle_nodes(nodes, loose).withColumn("on", F.lit(True))
+    return loose.join(on, "node_id", "left").select("node_id", F.when(F.col("on"), "on a cycle").otherwise("below a cycle or nothing").alias("place"))
+
+
+@query(r"""
+    WITH l AS (SELECT l_orderkey AS k, string_agg('    {' || chr(10) || '      "number": ' || l_linenumber || ',' || chr(10) || '      "price": ' || l_extendedprice::DOUBLE::VARCHAR || chr(10) || '    }', ',' || chr(10) ORDER BY l_linenumber, l_extendedprice) AS t FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey, sha256('{' || chr(10) || '  "key": ' || o_orderkey || ',' || chr(10) || '  "lines": ' || CASE WHEN t IS NULL THEN '[]' ELSE '[' || chr(10) || t || chr(10) || '  ]' END || ',' || chr(10)
+           || '  "note": "' || replace(o_orderstatus, '"', '\"') || '\n\u00e9\ud83c\udf3f\\",' || chr(10) || '  "total": ' || o_totalprice::DOUBLE::VARCHAR || chr(10) || '}' || chr(10)) AS document_sha256
+    FROM orders LEFT JOIN l ON k = o_orderkey
+""")
+def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with its lines as a printed document; the digest of its bytes."""
+    line = F.struct(F.col("l_linenumber").alias("number"), F.col("l_extendedprice").cast("double").alias("price"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    listed = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    none = F.array().cast("array<struct<number: int, price: double>>")
+    whole = listed.select("o_orderkey", F.struct(
+        F.concat("o_orderstatus", F.lit("\né\U0001f33f\\")).alias("note"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").cast("double").alias("total"), F.coalesce("lines", none).alias("lines"),
+    ).alias("d"))
+    return whole.select("o_orderkey", F.sha2(canonical(F.col("d"), whole.schema["d"].dataType), 256).alias("document_sha256"))
+
+
+# --- a source and a table function ---------------------------------------------------------------------------
+
+
+@query("""
+    SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN NULL ELSE length(coalesce(html, '')) END AS n_chars, CASE WHEN page_id % 9 = 0 THEN 'JSONDecodeError' END AS error FROM pages
+""")
+def ranged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as lines of JSON, a ninth of them cut short, and read back by ranges of bytes."""
+    path, key = scratch(spark, "lines"), F.col("page_id")
+    told = F.to_json(F.struct("page_id", "url", F.coalesce("html", F.lit("")).alias("html")))
+    cut = F.concat(F.lit('{"page_id": '), key.cast("string"), F.lit(', "url": '), F.to_json(F.struct("url")))
+    table(spark, sf_dir, "pages").select(F.when(key % 9 == 0, cut).otherwise(told).alias("value")).write.text(path)
+    lines = ranged.read_lines(spark, path, range_bytes=1 << 18)
+    page = F.from_json("value", "page_id long, url string, html string")
+    whole = lines.where(F.col("error").isNull()).select(page.alias("p")).select("p.page_id", "p.url", F.length("p.html").cast("long").alias("n_chars"), F.lit(None).cast("string").alias("error"))
+    bad = lines.where(F.col("error").isNotNull())
+    kept = F.regexp_extract("value", r'"page_id": (\d+)', 1).cast("long"), F.from_json(F.regexp_extract("value", r'"url": (.*)$', 1), "url string")["url"]
+    return whole.unionByName(bad.select(kept[0].alias("page_id"), kept[1].alias("url"), F.lit(None).cast("long").alias("n_chars"), F.regexp_extract("error", r"^\w+", 0).alias("error")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,41 @@ def append_results(df: DataFrame, path: str, batch: str, partition: str = "trial
 
 
 def write_once(df: DataFrame, path: str) -> None:
-    """Write JSON; a target that exists is an error and stays as it is."""
-    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    """Write JSON; a target that exists is an error and stays as it is.
+
+    Of several writers at once one wins: each must first create the same claim beside the target, which the file system
+    lets only one do, and holds it while it writes.  A writer that dies leaves its claim, which the next ones name.
+    """
+    claim = f"{path.rstrip('/')}.claim"
+    where, files = _file(df.sparkSession, claim)
+    if not _created(df.sparkSession, where, files):
+        raise FileExistsError(f"{path} is being written, or its writer died: {claim} exists")
+    try:
+        df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    finally:
+        files.delete(where, False)
+
+
+def _file(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _created(spark: SparkSession, where: Any, files: Any) -> bool:
+    """Create an empty file unless there is one, in one step of the file system."""
+    jvm = spark.sparkContext._jvm
+    whole = files.makeQualified(where)
+    files.mkdirs(whole.getParent())
+    try:
+        if whole.toUri().getScheme() == "file":  # its Hadoop file system looks first and creates later
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(whole.toUri().getPath()).toPath(), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            files.create(whole, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
 
 
 def map_document(pairs: DataFrame, key: str = "key", value: str = "path") -> DataFrame:
