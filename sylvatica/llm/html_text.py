@@ -1,15 +1,16 @@
 """Main text of web pages: flat text blocks, shallow features and a decision tree.
 
 A page is read as a stream of tags and text.  Block-level tags part the text into flat blocks.  A block is
-described by its word count and link density, those of the blocks before and after it, and by where it
+described by its word count and link density, those of its nearest neighbours outside page furniture, and by where it
 stands: inside an article, inside page furniture (menus, footers, forms and the like, told by tag or by
 class, id and role), and whether it is a heading.  A decision tree trained on the small labelled table below
 tells content from the rest.  Content blocks are joined in page order by one space.
 
 Defined cases: a null or empty html, and a page without content, give an empty text; scripts, styles,
 templates, comments and the head are never text, also when not closed, drawings and embedded objects only when closed;
-custom elements are plain ones whatever their names begin with; classes of a body, main or html element never mark
-furniture, and those of an article only if a class is such a word alone or begins with ``comment-``; unclosed and
+custom elements are plain ones whatever their names begin with; a class, id or role marks furniture only as a whole name (``ad-slot``,
+not ``ad-free`` or ``social-science``), on a body, main or html element never,
+and on an article only if it is such a word alone or begins with ``comment-``; unclosed and
 stray tags are taken as browsers take them; a page is read whole, however long, in time that grows with its length and
 not with its depth; a cut page is read as far as it goes; repeated rows are read each, whatever their ids; an empty
 table gives no rows; columns other than page_id, url and html are not read.  White space is what ``str.split`` parts.
@@ -42,17 +43,20 @@ BLOCK = frozenset(
 FURNITURE = frozenset("nav footer aside form menu button select dialog fieldset label option textarea".split())
 CLOSES_P = BLOCK - {"br", "button"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that name page furniture.
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|login|masthead|menus?|modal|nav|navbar|"
-    r"navigation|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|search|share|sharing|sidebars?|signup|"
-    r"skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|topbar|widgets?|contentinfo|complementary|alert|respond|discussion)(?:$|[\s_-])",
-    re.I,
+#: Words in class, id or role that name page furniture, and those that may stand beside them in one name.
+HINTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer "
+    "gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promoted promotion recommended "
+    "recommendations related reply replies search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar "
+    "widget widgets contentinfo complementary alert respond".split()
+)
+BESIDE = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cell center col column container content danger div el element error feed form global group head "
+    "header holder icon icons info inline inner item items label left link links list main message middle outer page panel policy post posts primary reader right row "
+    "secondary section site slot small stories story success text title to top unit user warning wrap wrapper zone".split()
 )
 
-#: Beginnings and ends of class words that tell of a page or of something else's presence, and the
-#: elements that hold the content itself.
-ABOUT = re.compile(r"^(?:has|no|not|with|without|can|show|hide|single|page|template)-|-(?:page|template|enabled|disabled|open|closed|active|layout)$", re.I)
+#: The elements that hold the content itself, whose classes tell of the page.
 HOLDERS = frozenset("html body main".split())
 #: Class words that make an article element furniture.
 LONE = frozenset("comment comments ad ads advert advertisement promo promoted sponsored related reply teaser".split())
@@ -66,6 +70,8 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: The end of a tag that closes itself; in ``<a href=/>`` the stroke is a value.
+CLOSED = re.compile(r"(?:^|[\s\"'])/>\Z|^[^=]*/>\Z")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -83,6 +89,13 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _hint(name: str) -> bool:
+    """Whether a class names furniture: one of its words does, and the others do not make it another thing."""
+    words = re.split(r"[-_:.\d]+|(?<=[a-z])(?=[A-Z])", name)
+    words = [w.lower() for w in words if w]
+    return any(w in HINTS for w in words) and all(w in HINTS or w in BESIDE for w in words)
+
+
 @lru_cache(4096)
 def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     """(furniture, article) of an element by its tag and attributes."""
@@ -97,8 +110,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
             if tag == "article":
                 furniture |= name == "class" and any(word in LONE or word.startswith("comment-") for word in value.lower().split())
                 continue
-            spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
-            furniture |= any(HINTS.search(word) and not ABOUT.search(word) for word in spaced.split())
+            furniture |= any(_hint(name) for name in value.split())
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             furniture = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -182,7 +194,7 @@ def blocks(page: str) -> list[Block]:
             implied(frozenset(("tr",)), frozenset(("table",)))
         elif tag == "a":
             implied(frozenset(("a",)), BLOCK)
-        if token["attributes"].endswith("/>") and tag not in BLOCK:
+        if CLOSED.search(token["attributes"]) and tag not in BLOCK:
             continue
         furniture, article = _marks(tag, token["attributes"])
         outer = stack[-1] if stack else ("", False, False)
@@ -198,51 +210,58 @@ def blocks(page: str) -> list[Block]:
 
 NAMES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "furniture", "heading")
 
-#: The labelled blocks.  Columns as in NAMES, then 1 for content.
+#: The labelled blocks.  Columns as in NAMES, then 1 for content.  Blocks without the article mark come first: there
+#: the words and the links of a block and of both its neighbours tell.
 LABELLED = np.array([
-    # paragraphs and headings of an article, with and without links, beside anything
-    [85, 0.00, 60, 0.00, 40, 0.00, 1, 0, 0, 1], [12, 0.00, 9, 0.00, 80, 0.00, 1, 0, 1, 1], [2, 0.00, 40, 0.00, 35, 0.00, 1, 0, 0, 1],
-    [1, 0.00, 1, 0.00, 1, 0.00, 1, 0, 0, 1], [6, 0.00, 6, 1.00, 70, 0.00, 1, 0, 1, 1], [30, 0.20, 25, 0.00, 12, 0.10, 1, 0, 0, 1],
-    [3, 0.00, 50, 0.00, 4, 0.00, 1, 0, 0, 1], [45, 0.55, 30, 0.00, 20, 0.00, 1, 0, 0, 1], [4, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 1],
-    [8, 0.00, 2, 1.00, 5, 0.00, 1, 0, 0, 1], [200, 0.02, 1, 1.00, 3, 1.00, 1, 0, 0, 1], [2, 1.00, 60, 0.00, 55, 0.00, 1, 0, 0, 1],
-    [5, 0.00, 30, 0.00, 6, 0.70, 1, 0, 0, 1], [1, 1.00, 20, 0.00, 25, 0.00, 1, 0, 0, 1], [15, 0.00, 3, 0.00, 0, 0.00, 1, 0, 0, 1],
-    [9, 1.00, 22, 0.10, 31, 0.00, 1, 0, 1, 1], [6, 0.80, 15, 0.00, 14, 0.00, 1, 0, 0, 1], [3, 0.00, 1, 0.00, 2, 1.00, 1, 0, 0, 1],
-    [40, 0.00, 5, 1.00, 6, 1.00, 1, 0, 0, 1], [3, 0.00, 2, 1.00, 2, 1.00, 1, 0, 0, 1], [1, 0.00, 1, 1.00, 1, 1.00, 1, 0, 0, 1],
-    [12, 0.30, 4, 1.00, 3, 1.00, 1, 0, 0, 1], [2, 0.00, 3, 1.00, 1, 1.00, 1, 0, 1, 1], [7, 0.50, 2, 1.00, 9, 1.00, 1, 0, 0, 1],
-    [1, 0.00, 1, 1.00, 30, 0.00, 1, 0, 1, 1], [2, 0.00, 12, 0.00, 2, 1.00, 1, 0, 0, 1],
-    [3, 1.00, 8, 0.00, 6, 0.00, 1, 0, 0, 1], [6, 1.00, 10, 0.00, 9, 0.00, 1, 0, 0, 1], [4, 1.00, 5, 0.00, 12, 0.00, 1, 0, 0, 1],
-    # lists of links inside an article
-    [2, 1.00, 3, 1.00, 2, 1.00, 1, 0, 0, 0], [5, 1.00, 4, 1.00, 6, 1.00, 1, 0, 0, 0], [1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 0, 0],
-    [8, 0.95, 9, 1.00, 7, 1.00, 1, 0, 0, 0], [3, 1.00, 2, 1.00, 4, 0.90, 1, 0, 0, 0],
+    # running text, whatever stands beside it
+    [40, 0.00, 30, 0.00, 35, 0.00, 0, 0, 0, 1], [90, 0.05, 5, 0.00, 60, 0.02, 0, 0, 0, 1], [22, 0.00, 60, 0.00, 3, 1.00, 0, 0, 0, 1], [18, 0.00, 2, 1.00, 1, 1.00, 0, 0, 0, 1],
+    [60, 0.30, 20, 0.00, 4, 0.00, 0, 0, 0, 1], [25, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1], [14, 0.10, 0, 0.00, 25, 0.00, 0, 0, 1, 1], [120, 0.10, 2, 1.00, 2, 1.00, 0, 0, 0, 1],
+    [12, 0.25, 3, 1.00, 4, 1.00, 0, 0, 0, 1], [35, 0.40, 1, 1.00, 8, 0.00, 0, 0, 0, 1], [16, 0.00, 0, 0.00, 5, 1.00, 0, 0, 0, 1], [10, 0.00, 45, 0.00, 50, 0.00, 0, 0, 0, 1],
+    # short plain blocks beside plain ones: headings, captions, short paragraphs, list items, short pages
+    [7, 0.00, 1, 1.00, 55, 0.00, 0, 0, 1, 1], [4, 0.00, 30, 0.00, 28, 0.00, 0, 0, 0, 1], [9, 0.00, 12, 0.00, 0, 0.00, 0, 0, 0, 1], [5, 0.00, 8, 0.00, 9, 0.00, 0, 0, 1, 1],
+    [2, 0.00, 3, 0.00, 4, 0.00, 0, 0, 0, 1], [1, 0.00, 1, 0.00, 2, 0.00, 0, 0, 0, 1], [3, 0.00, 0, 0.00, 3, 0.00, 0, 0, 1, 1], [2, 0.00, 3, 0.00, 0, 0.00, 0, 0, 0, 1],
+    [3, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1], [1, 0.00, 40, 0.00, 3, 1.00, 0, 0, 0, 1], [2, 0.00, 3, 1.00, 25, 0.00, 0, 0, 0, 1], [4, 0.00, 2, 1.00, 5, 0.00, 0, 0, 1, 1],
+    [6, 0.00, 9, 0.00, 2, 1.00, 0, 0, 0, 1], [1, 0.00, 2, 0.00, 1, 1.00, 0, 0, 0, 1], [3, 0.00, 1, 1.00, 2, 0.00, 0, 0, 0, 1], [1, 0.00, 0, 0.00, 30, 0.00, 0, 0, 1, 1],
+    # short plain blocks among links: names of menus and of lists of links
+    [2, 0.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0], [1, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0], [3, 0.00, 4, 1.00, 2, 1.00, 0, 0, 1, 0], [2, 0.00, 6, 1.00, 5, 0.90, 0, 0, 1, 0],
+    [4, 0.00, 3, 0.90, 1, 1.00, 0, 0, 0, 0], [3, 0.20, 2, 1.00, 2, 1.00, 0, 0, 0, 0], [5, 0.00, 1, 1.00, 2, 1.00, 0, 0, 0, 0],
+    # links between plain text
+    [3, 1.00, 20, 0.00, 25, 0.00, 0, 0, 0, 1], [6, 1.00, 12, 0.00, 40, 0.10, 0, 0, 0, 1], [2, 1.00, 60, 0.00, 9, 0.00, 0, 0, 0, 1], [9, 0.80, 14, 0.10, 16, 0.00, 0, 0, 0, 1],
+    [5, 0.60, 11, 0.00, 8, 0.00, 0, 0, 0, 1], [4, 1.00, 8, 0.00, 30, 0.00, 0, 0, 1, 1], [1, 1.00, 9, 0.00, 10, 0.00, 0, 0, 0, 1],
+    # links among links, and at the edges of text
+    [2, 1.00, 2, 1.00, 2, 1.00, 0, 0, 0, 0], [1, 1.00, 0, 0.00, 3, 1.00, 0, 0, 0, 0], [5, 0.80, 3, 1.00, 2, 1.00, 0, 0, 0, 0], [12, 0.75, 4, 1.00, 20, 0.00, 0, 0, 0, 0],
+    [2, 1.00, 1, 1.00, 7, 0.00, 0, 0, 0, 0], [2, 1.00, 60, 0.00, 1, 1.00, 0, 0, 0, 0], [9, 1.00, 2, 1.00, 40, 0.00, 0, 0, 0, 0], [4, 1.00, 40, 0.00, 2, 1.00, 0, 0, 0, 0],
+    [1, 1.00, 3, 1.00, 12, 0.00, 0, 0, 0, 0], [3, 1.00, 25, 0.00, 4, 1.00, 0, 0, 0, 0], [5, 1.00, 8, 1.00, 90, 0.00, 0, 0, 0, 0], [30, 0.90, 25, 0.90, 28, 0.95, 0, 0, 0, 0],
+    [2, 1.00, 50, 0.00, 0, 0.00, 0, 0, 0, 0], [3, 1.00, 0, 0.00, 60, 0.00, 0, 0, 0, 0], [2, 1.00, 1, 0.00, 1, 0.00, 0, 0, 0, 0], [3, 1.00, 30, 0.00, 6, 1.00, 0, 0, 0, 0], [4, 1.00, 20, 0.00, 9, 1.00, 0, 0, 0, 0], [2, 1.00, 12, 0.00, 14, 0.90, 0, 0, 0, 0], [3, 1.00, 2, 0.00, 40, 0.00, 0, 0, 0, 0],
+    [2, 1.00, 30, 0.00, 2, 0.00, 0, 0, 0, 0], [1, 1.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0], [8, 0.60, 0, 0.00, 3, 1.00, 0, 0, 0, 0],
+    # an article's own blocks, with its lists of sources
+    [85, 0.00, 60, 0.00, 40, 0.00, 1, 0, 0, 1], [12, 0.00, 9, 0.00, 80, 0.00, 1, 0, 1, 1], [2, 0.00, 40, 0.00, 35, 0.00, 1, 0, 0, 1], [1, 0.00, 1, 1.00, 1, 1.00, 1, 0, 0, 1],
+    [45, 0.55, 30, 0.00, 20, 0.00, 1, 0, 0, 1], [4, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 1], [2, 1.00, 60, 0.00, 55, 0.00, 1, 0, 0, 1], [2, 1.00, 3, 1.00, 2, 1.00, 1, 0, 0, 1],
+    [5, 1.00, 4, 1.00, 6, 1.00, 1, 0, 0, 1], [1, 1.00, 1, 1.00, 0, 0.00, 1, 0, 0, 1], [8, 0.95, 9, 1.00, 7, 1.00, 1, 0, 0, 1], [3, 1.00, 0, 0.00, 4, 0.90, 1, 0, 0, 1],
+    [2, 0.00, 3, 1.00, 1, 1.00, 1, 0, 1, 1], [1, 1.00, 2, 0.00, 0, 0.00, 1, 0, 0, 1], [7, 0.50, 2, 1.00, 9, 1.00, 1, 0, 0, 1], [4, 1.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1],
     # page furniture, long or short, wherever it stands
-    [1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 0], [2, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0], [9, 0.00, 1, 1.00, 12, 0.00, 0, 1, 0, 0],
-    [60, 0.00, 3, 0.00, 45, 0.00, 0, 1, 0, 0], [25, 0.10, 40, 0.00, 80, 0.00, 0, 1, 0, 0], [4, 0.00, 70, 0.00, 0, 0.00, 0, 1, 0, 0],
-    [3, 0.00, 90, 0.00, 8, 0.00, 0, 1, 1, 0], [120, 0.00, 80, 0.00, 90, 0.00, 0, 1, 0, 0], [15, 0.50, 20, 0.00, 6, 1.00, 0, 1, 0, 0],
-    [6, 0.00, 5, 0.00, 7, 0.00, 0, 1, 0, 0], [2, 0.00, 1, 0.00, 1, 0.00, 0, 1, 0, 0], [40, 0.00, 0, 0.00, 0, 0.00, 0, 1, 0, 0],
-    # pages without an article element: running text and its headings
-    [40, 0.00, 30, 0.00, 35, 0.00, 0, 0, 0, 1], [90, 0.05, 5, 0.00, 60, 0.02, 0, 0, 0, 1], [22, 0.00, 60, 0.00, 3, 1.00, 0, 0, 0, 1],
-    [7, 0.00, 1, 1.00, 55, 0.00, 0, 0, 1, 1], [10, 0.00, 45, 0.00, 50, 0.00, 0, 0, 0, 1], [18, 0.00, 2, 1.00, 1, 1.00, 0, 0, 0, 1],
-    [4, 0.00, 30, 0.00, 28, 0.00, 0, 0, 0, 1], [60, 0.30, 20, 0.00, 4, 0.00, 0, 0, 0, 1], [14, 0.10, 0, 0.00, 25, 0.00, 0, 0, 1, 1],
-    [9, 0.00, 12, 0.00, 0, 0.00, 0, 0, 0, 1], [5, 0.00, 8, 0.00, 9, 0.00, 0, 0, 1, 1], [25, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1],
-    # pages without an article element: links, labels and notices
-    [2, 1.00, 2, 1.00, 2, 1.00, 0, 0, 0, 0], [1, 1.00, 0, 0.00, 3, 1.00, 0, 0, 0, 0], [5, 0.80, 3, 1.00, 2, 1.00, 0, 0, 0, 0],
-    [12, 0.75, 4, 1.00, 20, 0.00, 0, 0, 0, 0], [2, 0.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0], [3, 0.00, 2, 1.00, 0, 0.00, 0, 0, 0, 0],
-    [2, 1.00, 1, 1.00, 7, 0.00, 0, 0, 0, 0], [2, 1.00, 60, 0.00, 1, 1.00, 0, 0, 0, 0], [9, 1.00, 2, 1.00, 40, 0.00, 0, 0, 0, 0],
-    [1, 1.00, 3, 1.00, 12, 0.00, 0, 0, 0, 0], [3, 1.00, 25, 0.00, 4, 1.00, 0, 0, 0, 0], [5, 1.00, 8, 1.00, 90, 0.00, 0, 0, 0, 0],
-    [30, 0.90, 25, 0.90, 28, 0.95, 0, 0, 0, 0], [1, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0], [4, 1.00, 40, 0.00, 2, 1.00, 0, 0, 0, 0],
+    [1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 0], [2, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0], [9, 0.00, 1, 1.00, 12, 0.00, 0, 1, 0, 0], [60, 0.00, 3, 0.00, 45, 0.00, 0, 1, 0, 0],
+    [25, 0.10, 40, 0.00, 80, 0.00, 0, 1, 0, 0], [4, 0.00, 70, 0.00, 0, 0.00, 0, 1, 0, 0], [3, 0.00, 90, 0.00, 8, 0.00, 0, 1, 1, 0], [120, 0.00, 80, 0.00, 90, 0.00, 0, 1, 0, 0],
+    [15, 0.50, 20, 0.00, 6, 1.00, 0, 1, 0, 0], [6, 0.00, 5, 0.00, 7, 0.00, 0, 1, 0, 0], [2, 0.00, 1, 0.00, 1, 0.00, 0, 1, 0, 0], [40, 0.00, 0, 0.00, 0, 0.00, 0, 1, 0, 0],
+    [3, 1.00, 20, 0.00, 25, 0.00, 0, 1, 0, 0], [30, 0.00, 25, 0.00, 35, 0.00, 0, 1, 0, 0], [4, 0.00, 30, 0.00, 28, 0.00, 0, 1, 0, 0], [1, 0.00, 40, 0.00, 3, 1.00, 0, 1, 0, 0],
 ])
 
 
 def train() -> Tree:
-    return classification_tree(LABELLED[:, :-1], LABELLED[:, -1])
+    return classification_tree(LABELLED[:, :-1], LABELLED[:, -1], depth=8)
 
 
 def describe(found: list[Block]) -> np.ndarray:
-    """The features of each block, in the order of NAMES."""
+    """The features of each block, in the order of NAMES.  Its neighbours are the nearest blocks that are no furniture."""
     x = np.zeros((len(found), len(NAMES)))
     for i, b in enumerate(found):
         x[i, 0], x[i, 1], x[i, 6], x[i, 7], x[i, 8] = b.words, b.density, b.article, b.furniture, b.heading
-    x[1:, 2:4], x[:-1, 4:6] = x[:-1, 0:2], x[1:, 0:2]
+    for order, at in ((range(len(found)), 2), (range(len(found) - 1, -1, -1), 4)):
+        near = np.zeros(2)
+        for i in order:
+            x[i, at : at + 2] = near
+            if not x[i, 7]:
+                near = x[i, 0:2]
     return x
 
 
