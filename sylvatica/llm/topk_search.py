@@ -14,7 +14,8 @@ often, is searched as its 2 * k smallest rows (of which at most k can be a query
 most).  That is a window with a limit on both sides of its shuffle, and no task meets all copies.
 
 Queries are sent to the tasks some MB at a time (QUERY_BYTES, whatever the query set), so the approximations are
-scanned once per so many queries.  A task holds one block, the queries sent, and k bounds per query.
+scanned once per so many queries.  A first scan of one block in FIRST gives each query a bar that
+all tasks begin with, so that what they write does not grow with their number.  A task holds one block, the queries sent, and k bounds per query.
 
 Defined cases: a vector that is null, or that holds a null or non-finite component, and a row without an id take no
 part; an empty vector does, and its score with another is 0; a query is compared with vectors of its own length
@@ -40,6 +41,8 @@ BITS = 8
 #: Vectors of a block of approximations, and queries that are bounded against it at once.
 VECTOR_BLOCK = 2048
 QUERY_BLOCK = 1024
+#: One block in so many is scanned first, for bars that all tasks begin with.
+FIRST = 64
 #: Bytes of queries that a scan answers.
 QUERY_BYTES = 8 << 20
 _LONG = 2**63 - 1
@@ -121,10 +124,12 @@ def _approximate(bits: int):
 
 
 class Bars:
-    """The k largest lower bounds of each query so far; a vector whose upper bound is under the least of them is out."""
+    """The k largest lower bounds of each query so far; a vector whose upper bound is under the least of them is out, or under
+    ``floor``, which k vectors of the first scan are known to reach."""
 
-    def __init__(self, queries: int, k: int) -> None:
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None) -> None:
         self.best = np.full((queries, k), -np.inf)
+        self.floor = np.full(queries, -np.inf) if floor is None else floor
 
     def meet(self, first: int, lower: np.ndarray) -> np.ndarray:
         """Take in a block's lower bounds for the queries from ``first`` on; returns their bars."""
@@ -136,7 +141,7 @@ class Bars:
             if new.shape[1] > k:
                 new = np.partition(new, new.shape[1] - k, axis=1)[:, -k:]
             own[higher] = np.sort(np.concatenate((own[higher], new), axis=1), axis=1)[:, -k:]
-        return own[:, 0]
+        return np.maximum(own[:, 0], self.floor[first : first + len(lower)])
 
 
 def bounded(cells: np.ndarray, grid: Grid, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bars: Bars, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,12 +156,12 @@ def bounded(cells: np.ndarray, grid: Grid, ids: np.ndarray, query_ids: np.ndarra
     return q, v, lower[q, v], upper[q, v]
 
 
-def _scan(sent, k: int, bits: int):
+def _scan(sent, k: int, bits: int, floors=None):
     """The pairs that a task's blocks leave for the queries sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
-        bars = {size: Bars(len(ids), k) for size, (ids, _) in asked.items()}
+        bars = {size: Bars(len(ids), k, None if floors is None else floors.value[size]) for size, (ids, _) in asked.items()}
         for batch in batches:
             for size, row, id_, low, width, cells in zip(*batch.columns, strict=True):
                 size = size.as_py()
@@ -230,6 +235,20 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return settle(kept.select(F.monotonically_increasing_id().alias("row"), "id", "v"), "vectors")
 
 
+def _kth(bounds: DataFrame, k: int) -> DataFrame:
+    """(query_id, bar: the k-th largest lower bound, n: how many there are up to k)."""
+    order = Window.partitionBy("query_id").orderBy(F.col("lower").desc())
+    return bounds.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).groupBy("query_id").agg(F.min("lower").alias("bar"), F.count(F.lit(1)).alias("n"))
+
+
+def _floors(cells: DataFrame, sent, k: int, bits: int) -> dict[int, np.ndarray]:
+    """For the queries sent, what the k best of one block in FIRST reach.  So the bounds that all tasks write for a query
+    are about FIRST times k, however many tasks there are."""
+    first = cells.where(F.pmod(F.xxhash64("row"), F.lit(FIRST)) == 0).mapInArrow(_scan(sent, k, bits), BOUNDS)
+    known = {r["query_id"]: r["bar"] for r in _kth(first, k).where(F.col("n") == k).collect()}  # a number for each query sent
+    return {size: np.array([known.get(i, -np.inf) for i in ids.tolist()]) for size, (ids, _) in sent.value.items()}
+
+
 def candidates(rows: DataFrame, asked: DataFrame, k: int, bits: int = BITS) -> DataFrame:
     """(query_id, row, lower, upper) of the pairs that the approximations alone leave open for the k best."""
     spark = rows.sparkSession
@@ -245,13 +264,13 @@ def candidates(rows: DataFrame, asked: DataFrame, k: int, bits: int = BITS) -> D
             same = [r for r in some if len(r["v"]) == size]
             by_size[size] = np.array([r["id"] for r in same], np.int64), np.array([r["v"] for r in same], float).reshape(len(same), size)
         sent = spark.sparkContext.broadcast(by_size)
-        cells.mapInArrow(_scan(sent, k, bits), BOUNDS).write.mode("append").parquet(path)
+        floors = spark.sparkContext.broadcast(_floors(cells, sent, k, bits))
+        cells.mapInArrow(_scan(sent, k, bits, floors), BOUNDS).write.mode("append").parquet(path)
         sent.destroy()
+        floors.destroy()
     discard(cells)
     bounds = spark.read.schema(BOUNDS).parquet(path)
-    order = Window.partitionBy("query_id").orderBy(F.col("lower").desc())
-    least = bounds.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).groupBy("query_id").agg(F.min("lower").alias("bar"), F.count(F.lit(1)).alias("n"))
-    bars = least.select("query_id", F.when(F.col("n") == k, F.col("bar")).otherwise(F.lit(float("-inf"))).alias("bar"))
+    bars = _kth(bounds, k).select("query_id", F.when(F.col("n") == k, F.col("bar")).otherwise(F.lit(float("-inf"))).alias("bar"))
     return bounds.join(bars, "query_id").where(F.col("upper") >= F.col("bar")).select("query_id", "row", "lower", "upper")
 
 

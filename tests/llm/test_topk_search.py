@@ -75,6 +75,24 @@ def test_few_vectors_are_read_exactly(spark):
     assert search(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("first", [1, 3])
+def test_a_first_scan_bounds_what_tasks_write(spark, first, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(3000)]
+    vectors = T.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(40))
+    asked = vectors.where("id % 100 = 0")
+    distinct = T.distinct_vectors(vectors, 10).repartition(40)
+    cells = T.settle(distinct.mapInArrow(T._approximate(8), T.CELLS), "cells")
+    known = asked.collect()
+    sent = spark.sparkContext.broadcast({8: (np.array([r["id"] for r in known]), np.array([r["v"] for r in known], float))})
+    without = cells.mapInArrow(T._scan(sent, 10, 8), T.BOUNDS).count()
+    monkeypatch.setattr(T, "FIRST", first)
+    floors = spark.sparkContext.broadcast(T._floors(cells, sent, 10, 8))
+    assert np.isfinite(floors.value[8]).all()
+    assert cells.mapInArrow(T._scan(sent, 10, 8, floors), T.BOUNDS).count() < without / 2
+    assert search(spark, rows) == brute(rows)
+
+
 def test_repeated_vectors_are_searched_once(spark):
     rng = np.random.default_rng(2)
     hot = [0.5] * 8
