@@ -11,7 +11,8 @@ k-th largest key is found by counting keys by their leading bits, 16 at a time,
 task or driver holds more than 65,536 counts.
 
 Defined cases: a null text counts as empty and has weight 0; without target rows all weights are 0 and the
-draw is uniform; rows that repeat a doc_id have the same noise; keys equal at the k-th place are kept by
+draw is uniform; rows that repeat a doc_id have the same noise, and rows without one draw theirs by their texts;
+keys equal at the k-th place are kept by
 smallest doc_id (null last), and rows that agree in both stay together, so a few more than k may be kept; an
 empty table gives no rows; texts are weighed whole, however long; columns other than doc_id and text are not read.
 """
@@ -93,11 +94,12 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", seed: int = SE
                 at, bucket = grams(buffer, offsets, buckets)
                 parts.append(np.bincount(at, ratio[bucket], minlength=last - first))
             weight = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight, pa.float64())], names=["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight, pa.float64()), batch.column(2)], names=["doc_id", "log_weight", "draw"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    weighed = rows.mapInArrow(run, "doc_id long, log_weight double")
-    return weighed.withColumn("key", F.col("log_weight") + gumbel("doc_id", seed))
+    drawn = rows.withColumn("draw", F.coalesce("doc_id", F.xxhash64("text")))  # documents without an id draw by their texts
+    weighed = drawn.mapInArrow(run, "doc_id long, log_weight double, draw long")
+    return weighed.withColumn("key", F.col("log_weight") + gumbel("draw", seed)).drop("draw")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[int, int] | None:
@@ -118,7 +120,7 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[int, int] | None:
 
 
 def _ordered(value: Column) -> Column:
-    """A long in the order of a double, through its hexadecimal bits."""
+    """A long in the order of a double: the double in millionths, within a long's range."""
     scaled = F.round(value * F.lit(2.0**20))  # keys differ by noise; a millionth tells them apart
     return F.greatest(F.least(scaled, F.lit(2.0**62)), F.lit(-(2.0**62))).cast("long")
 

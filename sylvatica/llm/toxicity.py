@@ -369,9 +369,14 @@ def learn_lexicons(rows: DataFrame, n: int, bad: int, size: int = LEARNED) -> li
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, learned_words: int = LEARNED) -> Model:
-    """Fit on a bounded sample: the texts stay on the executors, only counts and features (some MB) reach the driver."""
+    """Fit on a bounded sample: the texts stay on the executors, only counts and features (some MB) reach the driver.
+
+    Of rows that repeat an id one text counts, so the sample has at most ``sample`` texts however often ids repeat.
+    """
     chosen = training_labels(labels, sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = known.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = one.select("doc_id", "y", "t.text")
     # copies mostly begin alike, and belong into one part
     part = F.pmod(F.xxhash64(F.substring("text", 1, 24)), F.lit(PARTS)).cast("int")
     rows = settle(rows.withColumn("part", part), "toxicity-sample")

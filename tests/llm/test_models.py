@@ -217,3 +217,31 @@ def test_resampling_of_odd_rows(spark):
     assert Q.resample(docs, labels).count() == 6
     assert 0 < Q.resample(docs, labels.limit(0)).count() <= 4
     assert Q.resample(docs.limit(0), labels).count() == 0
+
+
+def test_the_sample_is_bounded_however_often_ids_repeat(spark):
+    rows = [(i % 40, f"word{i % 7} you {'fool ' * (i % 2)} and text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+
+    def boosted(x, y, **options):
+        seen.append(len(y))
+        return real(x, y, **options)
+
+    real = T.boost
+    T.boost = boosted
+    try:
+        T.fit(docs, labels, sample=25)
+    finally:
+        T.boost = real
+    assert len(seen) == 1 and 0 < seen[0] <= 25
+
+
+def test_documents_without_an_id_draw_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(400)] + [(5, "a"), (5, "b")], "doc_id long, text string")
+    weighed = Q.weigh(docs, np.zeros(Q.BUCKETS)).collect()
+    assert len({r.key for r in weighed if r.doc_id is None}) == 400
+    assert len({r.key for r in weighed if r.doc_id == 5}) == 1
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert 195 <= Q.resample(docs, labels).count() <= 203
