@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sylvatica.functions import geometry as G
@@ -57,6 +57,37 @@ def _segment(raw: dict[str, Any]) -> dict[str, Any]:
     return {"stability_score": 0.5, "prompt": None, "detector_label": None} | raw | {"polygon": points}
 
 
+def register_segmenter(spark: SparkSession, name: str, make: Callable[[], Segmenter], prompts: Sequence[str] = ORGAN_PROMPTS) -> None:
+    """A table function for SQL: ``name(TABLE(frames) PARTITION BY observation_id ORDER BY frame_index)``.
+
+    It gives the frame's columns, the ordinal of each region and the region ``s``, or ``error_type`` and ``message`` of a frame
+    that fails.  Frames of one observation meet one object, in order; ``make`` runs once in a Python worker.
+    """
+    columns = [f.split()[0] for f in FRAME.split(", ")]
+    fields = [f.split(":")[0].strip() for f in SEGMENT.removeprefix("struct<").split(", ") if ":" in f]
+    fields = [f for f in fields if f in ("label", "polygon", "detection_confidence", "mask_quality", "stability_score", "prompt", "detector_label")]
+    made: list[Segmenter] = []
+
+    @F.udtf(returnType=f"{FRAME}, ordinal int, s {SEGMENT}, error_type string, message string")
+    class Segments:
+        def __init__(self) -> None:
+            if not made:
+                made.append(make())
+
+        def eval(self, frame: Row) -> Iterator[tuple]:
+            own = tuple(frame[c] for c in columns)
+            try:
+                found = [_segment(s) for s in made[0].segment(dict(zip(columns, own, strict=True)), prompts)]
+            except Exception as error:  # noqa: BLE001  any failure is a failed frame
+                yield (*own, None, None, type(error).__name__, str(error))
+                return
+            for ordinal, region in enumerate(found):
+                points = [(p["x"], p["y"]) for p in region["polygon"]]
+                yield (*own, ordinal, tuple(points if f == "polygon" else region[f] for f in fields), None, None)
+
+    spark.udtf.register(name, Segments)
+
+
 def proposal_id(observation: Column, url: Column, label: Column, ordinal: Column, polygon: Column) -> Column:
     """The digest of a proposal.  Python's spelling of missing values and of floats is part of the key."""
     named = [F.coalesce(c.cast("string"), F.lit("None")) for c in (observation, url, label, ordinal)]
@@ -66,7 +97,12 @@ def proposal_id(observation: Column, url: Column, label: Column, ordinal: Column
 def proposals(segments: DataFrame, model_name: str, model_version: str) -> DataFrame:
     """A row per valid region with its category, box and quality.  Ordinals count invalid regions too."""
     each = segments.where(F.col("error_type").isNull()).select("*", F.posexplode("segments").alias("ordinal", "s")).drop("segments")
-    kept = each.where(G.valid(F.col("s.polygon")))
+    return proposals_of(each, model_name, model_version)
+
+
+def proposals_of(regions: DataFrame, model_name: str, model_version: str) -> DataFrame:
+    """The same from a row per region (``ordinal``, ``s``), as the table function gives them."""
+    kept = regions.where(F.col("error_type").isNull() & G.valid(F.col("s.polygon")))
     return kept.select(
         "observation_id", "subject_id", "image_url", "photo_id", "species_name", "license", "frame_index",
         proposal_id(F.col("observation_id"), F.col("image_url"), F.col("s.label"), F.col("ordinal"), F.col("s.polygon")).alias("proposal_id"),

@@ -455,7 +455,7 @@ def polygon_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.select("vec_id", F.size("ring").alias("ring_points"), F.round(first["x"], 6).alias("first_x"), F.round(first["y"], 6).alias("first_y"), *[F.round(f"box.{c}", 9).alias(f"bbox_{c}") for c in ("x0", "y0", "x1", "y1")])
 
 
-class _TableSegmenter:
+class TableSegmenter:
     """Stands in for a model: a frame's regions are told in its license field as JSON."""
 
     model_name, model_version = "table", "1"
@@ -469,18 +469,23 @@ class _TableSegmenter:
         return [{"label": prompts[told["label"] % len(prompts)], "polygon": told["polygon"], "detection_confidence": told["det"], "mask_quality": told["mask"], "stability_score": told["stab"]}]
 
 
-def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(frames, segments): a frame per polygon; every 17th fails."""
+def told_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame per polygon; every 17th fails."""
     told = F.to_json(F.struct(
         (F.col("vec_id") % 17 == 0).alias("fail"), F.col("label"), F.transform("polygon", lambda p: F.array(p["x"], p["y"])).alias("polygon"),
         F.col("detection").alias("det"), F.col("mask"), F.col("stability").alias("stab"),
     ))
     null = lambda name: F.lit(None).cast("string").alias(name)
-    frame = _polygon(spark, sf_dir).select(
+    return _polygon(spark, sf_dir).select(
         F.col("vec_id").cast("string").alias("observation_id"), F.concat(F.lit("https://pictures.example/"), F.col("vec_id")).alias("image_url"), F.concat(F.lit("s"), F.col("vec_id") % 20).alias("subject_id"),
         null("image_sha256"), null("local_path"), null("species_name"), null("photo_id"), told.alias("license"), null("captured_at"), F.lit(0).alias("frame_index"),
     )
-    return frame, notices.segmented(frame, _TableSegmenter)
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(frames, segments)."""
+    frame = told_frames(spark, sf_dir)
+    return frame, notices.segmented(frame, TableSegmenter)
 
 
 _LABELS_SQL = "(['leaf','flower','fruit','stem','bark','bud','stem','plant'])[1 + label % 8]"
@@ -683,17 +688,39 @@ def stepwise_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("observation_id", "feature", "true_value", "p1_parsed", "p2_raw", "p2_parsed", "feature_correct", "committed")
 
 
-@query("""
-    SELECT m AS model, f AS feature, v AS feature_value, t AS prompt_type, CASE WHEN t = 'blind_mc' THEN v ELSE 'YES' END AS expected, CASE WHEN t = 'blind_mc' THEN 'Cannot determine from this image' ELSE 'INCONCLUSIVE' END AS raw_response,
-           'INCONCLUSIVE' AS parsed, false AS correct FROM (VALUES ('one'), ('two')) AS m(m), (VALUES ('existence'), ('agreement'), ('blind_mc')) AS t(t),
-      (VALUES ('key_flower_type', 'type 0'), ('key_flower_type', 'type 2'), ('key_leaf_type', 'no apparent leaves')) AS r(f, v)
-    WHERE NOT (m = 'one' AND v = 'type 0' AND t = 'agreement')
+def calibrating_call(model: Column, parts: Column) -> Column:
+    """A stand-in that goes by the number of the picture: yes or no, one word or none, the second option or nothing."""
+    text = F.array_join(F.transform(F.filter(parts, lambda p: p["kind"] == "text"), lambda p: p["value"]), "")
+    number = F.regexp_extract(F.get(F.filter(parts, lambda p: p["kind"] == "image"), F.lit(0))["value"], r"(\d+)$", 1).try_cast("int")
+    one_word = F.contains(text, F.lit("Reply with exactly one word"))
+    return (
+        F.when(F.contains(text, F.lit("Answer only")), F.when(number % 3 == 0, "No, sorry").otherwise("yes"))
+        .when(one_word, F.when(number % 5 == 0, "inc.").otherwise("Yes!"))
+        .otherwise(F.when(number % 4 == 0, A.CANNOT).otherwise("2"))
+    )
+
+
+@query(f"""
+    WITH r AS (SELECT ['{"','".join(A.PRIMARY_FEATURES)}'][1 + p_partkey % 3] AS f, p_type AS v, min(p_partkey) AS n, max(p_size) AS s FROM part GROUP BY p_partkey % 3, p_type),
+    o AS (SELECT f, v AS second FROM r QUALIFY row_number() OVER (PARTITION BY f ORDER BY n) = 2),
+    d AS (SELECT DISTINCT v FROM r WHERE n % 7 = 0),
+    t AS (SELECT m, r.*, t, CASE t WHEN 'existence' THEN CASE WHEN n % 3 = 0 THEN 'No, sorry' ELSE 'yes' END WHEN 'agreement' THEN CASE WHEN n % 5 = 0 THEN 'inc.' ELSE 'Yes!' END
+            ELSE CASE WHEN n % 4 = 0 THEN '{A.CANNOT}' ELSE '2' END END AS raw
+          FROM r, (VALUES ('one'), ('two')) AS m(m), (VALUES ('existence'), ('agreement'), ('blind_mc')) AS t(t) WHERE s > 25 AND NOT (m = 'one' AND t = 'agreement' AND v IN (SELECT v FROM d))),
+    p AS (SELECT t.*, CASE WHEN t = 'blind_mc' THEN CASE WHEN raw = '2' THEN second ELSE 'INCONCLUSIVE' END ELSE CASE raw WHEN 'No, sorry' THEN 'NO' WHEN 'inc.' THEN 'INCONCLUSIVE' ELSE 'YES' END END AS parsed,
+                 CASE WHEN t = 'blind_mc' THEN v ELSE 'YES' END AS expected FROM t JOIN o ON o.f = t.f)
+    SELECT m AS model, f AS feature, v AS feature_value, t AS prompt_type, raw AS raw_response, parsed, expected, parsed = expected AS correct FROM p
 """)
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, refs = _trial_tables(spark, sf_dir)
-    done = spark.sql("SELECT 'one' AS model, 'type 0' AS feature_value, 'agreement' AS prompt_type")
+    """References from parts (a type of a feature; those with a large part have a picture) asked about in three ways; one model has
+    agreed or not on some values before."""
+    key = F.col("p_partkey")
+    feature = F.element_at(F.array(*map(F.lit, A.PRIMARY_FEATURES)), (key % 3 + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").groupBy(feature.alias("feature"), F.col("p_type").alias("feature_value")).agg(F.min("p_partkey").alias("ordinal"), F.max("p_size").alias("s"), F.min("p_brand").alias("reference_description"))
+    refs = parts.select("feature", "feature_value", "ordinal", "reference_description", F.when(F.col("s") > 25, F.concat(F.lit("/p/"), "ordinal")).otherwise("").alias("reference_illustration_path"))
+    done = refs.where("ordinal % 7 = 0").select(F.lit("one").alias("model"), "feature_value", F.lit("agreement").alias("prompt_type"))
     todo = trials.remaining(trials.calibration_tasks(refs, ["one", "two"]), done, trials.CALIBRATION_KEY)
-    return trials.calibrated(todo, trials.options(refs), trials.mock_call)
+    return trials.calibrated(todo, trials.options(refs), calibrating_call)
 
 
 @query("""

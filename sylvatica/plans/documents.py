@@ -110,17 +110,27 @@ def illustration_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PICTURES = sorted(keys.ILLUSTRATIONS.items())
-_THERE = sorted({p for _, p in _PICTURES})[::2]
+_FILES = sorted({p for _, p in _PICTURES})
+_VALUES_SQL = "[" + ", ".join(_quoted(v) for v, _ in _PICTURES) + "]"
+_PATHS_SQL = "[" + ", ".join(_quoted("/pictures/" + p) for _, p in _PICTURES) + "]"
+_FILES_SQL = "[" + ", ".join(_quoted("/pictures/" + p) for p in _FILES) + "]"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_quoted(v)}, {_quoted('/pictures/' + p if p in _THERE else '')})" for v, p in _PICTURES) + ") AS t(feature_value, path)")
+@query(f"""
+    WITH p AS (SELECT page_id, url, CASE WHEN page_id % {len(_PICTURES) + 3} < {len(_PICTURES)} THEN {_VALUES_SQL}[1 + page_id % {len(_PICTURES) + 3}] ELSE url END AS v,
+        CASE WHEN page_id % {len(_PICTURES) + 3} < {len(_PICTURES)} THEN {_PATHS_SQL}[1 + page_id % {len(_PICTURES) + 3}] END AS path FROM pages),
+    f AS (SELECT DISTINCT {_FILES_SQL}[1 + page_id % {len(_FILES)}] AS path FROM pages WHERE page_id % {len(_FILES)} % 2 = 0)
+    SELECT v AS feature_value, CASE WHEN path IN (SELECT path FROM f) THEN path ELSE '' END AS path, count(*) AS pages FROM p GROUP BY ALL
+""")
 def illustration_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every illustrated value, of whose pictures every second is there."""
-    pairs = spark.createDataFrame([("key_flower_type", v) for v, _ in _PICTURES], "feature string, value string")
-    there = spark.createDataFrame([(f"/pictures/{p}",) for p in _THERE], "path string")
+    """Values told by pages: illustrated ones, of whose pictures some pages hold, and others."""
+    pages, key, turn = table(spark, sf_dir, "pages"), F.col("page_id"), F.col("page_id") % (len(_PICTURES) + 3)
+    listed = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    pairs = pages.select(F.lit("key_flower_type").alias("feature"), F.coalesce(listed([v for v, _ in _PICTURES], turn), F.col("url")).alias("value"))
+    there = pages.where(key % len(_FILES) % 2 == 0).select(listed([f"/pictures/{p}" for p in _FILES], key % len(_FILES)).alias("path"))
     prompts = spark.createDataFrame([("flower_type", "what it is", 0)], "feature_name string, feature_prompt string, ordinal long")
-    found = keys.references(pairs, prompts, there.unionByName(there), "/pictures/")
-    return found.select("feature_value", F.col("reference_illustration_path").alias("path"))
+    found = keys.references(pairs, prompts, there, "/pictures/")
+    return found.groupBy("feature_value", F.col("reference_illustration_path").alias("path")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 _ORDER = ("guide_species_name", "species_page", "key_group_number", *keys.PATH_COLUMNS[8:15])

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sylvatica.functions import floats
 from sylvatica.functions.documents import canonical
-from sylvatica.operators import calls, regions, trials, workflow
-from sylvatica.plans.catalogue import query
+from sylvatica.operators import calls, notices, regions, trials, workflow
+from sylvatica.plans.catalogue import _LABELS_SQL, _POLYGON_SQL, TableSegmenter, query, told_frames
 from sylvatica.plans.documents import scratch
 from sylvatica.schemas import RELEASE_NAME, RELEASE_TABLES
 from sylvatica.session import settled, table
@@ -283,3 +283,20 @@ def ranged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = lines.where(F.col("error").isNotNull())
     kept = F.regexp_extract("value", r'"page_id": (\d+)', 1).cast("long"), F.from_json(F.regexp_extract("value", r'"url": (.*)$', 1), "url string")["url"]
     return whole.unionByName(bad.select(kept[0].alias("page_id"), kept[1].alias("url"), F.lit(None).cast("long").alias("n_chars"), F.regexp_extract("error", r"^\w+", 0).alias("error")))
+
+
+@query(f"""
+    WITH {_POLYGON_SQL}, k AS (SELECT *, 'category:' || {_LABELS_SQL} AS cat FROM r WHERE valid AND vec_id % 17 <> 0)
+    SELECT vec_id::VARCHAR AS observation_id, 0 AS ordinal, cat AS category_id, score, rank() OVER (PARTITION BY cat ORDER BY score DESC) AS score_rank FROM k
+""")
+def table_function_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From frames to ranked proposals by a table function in SQL, which partitions by observation."""
+    notices.register_segmenter(spark, "segments_of_frames", TableSegmenter)
+    regions_ = spark.sql("SELECT * FROM segments_of_frames(TABLE({frames}) PARTITION BY observation_id ORDER BY frame_index)", frames=told_frames(spark, sf_dir))
+    ordinals = regions_.where(F.col("error_type").isNull()).select("observation_id", "ordinal")
+    found = notices.proposals_of(regions_, "table", "1")
+    return spark.sql("""
+        SELECT p.observation_id, o.ordinal, p.category_id, p.quality.representative_score AS score,
+               CAST(rank() OVER (PARTITION BY p.category_id ORDER BY p.quality.representative_score DESC) AS BIGINT) AS score_rank
+        FROM {found} AS p JOIN {ordinals} AS o ON o.observation_id = p.observation_id
+    """, found=found, ordinals=ordinals)
