@@ -7,11 +7,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvatica.functions import floats
+from sylvatica.functions import floats, payloads, text
 from sylvatica.functions.documents import canonical
 from sylvatica.operators import calls, notices, regions, trials, workflow
 from sylvatica.plans.catalogue import _LABELS_SQL, _POLYGON_SQL, TableSegmenter, query, told_frames
-from sylvatica.plans.documents import scratch
+from sylvatica.plans.documents import _PROMPT_LABELS, scratch
 from sylvatica.schemas import RELEASE_NAME, RELEASE_TABLES
 from sylvatica.session import settled, table
 from sylvatica.sources import ranged, readers, sinks
@@ -300,3 +300,79 @@ def table_function_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
                CAST(rank() OVER (PARTITION BY p.category_id ORDER BY p.quality.representative_score DESC) AS BIGINT) AS score_rank
         FROM {found} AS p JOIN {ordinals} AS o ON o.observation_id = p.observation_id
     """, found=found, ordinals=ordinals)
+
+
+# --- whole values --------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH n AS (SELECT DISTINCT (o_orderdate::DATE)::VARCHAR || substr(o_orderpriority, 1, 1) || o_orderstatus AS c, o_custkey::VARCHAR AS t FROM orders)
+    SELECT c AS case_id, string_agg(t, ',' ORDER BY t) AS candidate_taxa FROM n GROUP BY c
+""")
+def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of each case, all of them and in order."""
+    case = F.concat(F.to_date("o_orderdate").cast("string"), F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus"))
+    found = table(spark, sf_dir, "orders").select(case.alias("case_id"), F.col("o_custkey").cast("string").alias("taxon_name")).distinct()
+    lineage = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("taxon_name"), F.col("c_mktsegment").alias("genus"))
+    return workflow.shared_taxon(found, lineage).select("case_id", F.array_join("candidate_taxa", ",").alias("candidate_taxa"))
+
+
+@query(f"""
+    WITH {_POLYGON_SQL}, k AS (SELECT *, {_PROMPT_LABELS} AS category_label, 'category:' || {_LABELS_SQL} AS cat,
+        '(' || array_to_string(list_transform(range(1, 33), lambda i: '(' || x[i] || ', ' || y[i] || ')'), ', ') || ')' AS points FROM r WHERE valid AND vec_id % 17 <> 0),
+    d AS (SELECT *, 'notice-proposal-' || substr(sha256(vec_id || '|https://pictures.example/' || vec_id || '|' || category_label || '|0|' || points), 1, 16) AS id FROM k),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY score DESC, id) AS rk FROM d)
+    SELECT id AS annotation_id, vec_id::VARCHAR AS observation_id, 'https://pictures.example/' || vec_id AS image_url, x0 AS bbox_x0, y0 AS bbox_y0, x1 AS bbox_x1, y1 AS bbox_y1,
+           sha256(array_to_string(list_transform(range(0, 33), lambda i: x[i % 32 + 1] || ' ' || y[i % 32 + 1]), ',')) AS ring_sha256, 'Polygon' AS geometry_type, 33 AS geometry_points, cat AS notice_category_id,
+           category_label AS notice_category_label, score AS confidence, 'table' AS model_name, '1' AS model_version, category_label AS prompt, NULL::VARCHAR AS detector_label, det AS detection_confidence,
+           mask AS mask_quality, stab AS stability_score, round(ars, 6) AS area_score, round(bs, 6) AS border_score, round(area, 6) AS area_fraction,
+           array_to_string(list_filter([CASE WHEN area < 0.01 THEN 'small_region' END, CASE WHEN area > 0.75 THEN 'dominates_frame' END, CASE WHEN border <= 0.005 THEN 'touches_frame_edge' END,
+             CASE WHEN det < 0.3 THEN 'low_detection_confidence' END, CASE WHEN mask < 0.5 THEN 'low_mask_quality' END], lambda f: f IS NOT NULL), ',') AS flags,
+           'proposed' AS review_state, rk::INTEGER AS representative_rank, rk <= 5 AS selected_for_review, 0 AS frame_index, 's' || (vec_id % 20) AS subject_id FROM ranked
+""")
+def notice_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every annotation with all of its fields."""
+    frames = told_frames(spark, sf_dir)
+    found = notices.ranked(notices.proposals(notices.segmented(frames, TableSegmenter), "table", "1"))
+    each = found.select(notices.annotation().alias("a")).select("a.*")
+    ring = F.array_join(F.transform("polygon", lambda p: F.array_join(F.transform(p, floats.python_text), " ")), ",")
+    quality = ("detection_confidence", "mask_quality", "stability_score", "area_score", "border_score", "area_fraction")
+    return each.select(
+        "annotation_id", "observation_id", "image_url", "bbox_x0", "bbox_y0", "bbox_x1", "bbox_y1", F.sha2(ring, 256).alias("ring_sha256"), F.col("geometry.type").alias("geometry_type"),
+        F.size(F.get("geometry.coordinates", F.lit(0))).alias("geometry_points"), "notice_category_id", "notice_category_label", "confidence", F.col("model.name").alias("model_name"),
+        F.col("model.version").alias("model_version"), "model.prompt", "model.detector_label", *[f"quality.{c}" for c in quality], F.array_join("quality.flags", ",").alias("flags"), "review_state",
+        "representative_rank", "selected_for_review", "frame_index", "subject_id",
+    )
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN sha256(coalesce(text, '')) END AS sha256, CASE WHEN doc_id % 7 <> 0 THEN octet_length(encode(coalesce(text, '')))::BIGINT END AS n_bytes FROM documents")
+def decoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base64 with and without the head of a data URL, and what is no base64: the bytes themselves."""
+    key, content = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
+    told = F.when(key % 7 == 0, "data:image/png;base64,no*base64").when(key % 2 == 0, payloads.data_url(F.lit("a.jpg"), content)).otherwise(F.base64(content))
+    decoded = table(spark, sf_dir, "documents").select("doc_id", payloads.decode_image(told).alias("b"))
+    return decoded.select("doc_id", F.sha2("b", 256).alias("sha256"), F.length("b").cast("long").alias("n_bytes"))
+
+
+@query("""
+    SELECT g, 'sha256:' || sha256(t || chr(10)) AS image_sha256, octet_length(encode(t || chr(10)))::BIGINT AS byte_size FROM (SELECT page_id % 40 AS g, string_agg(coalesce(html, ''), '|' ORDER BY page_id) AS t FROM pages GROUP BY page_id % 40)
+""")
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files of some each, and read as files whose bytes are hashed."""
+    path = scratch(spark, "media")
+    listed = F.array_sort(F.collect_list(F.struct("page_id", F.coalesce("html", F.lit("")).alias("html"))))
+    files = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 40).alias("g")).agg(F.array_join(F.transform(listed, lambda x: x["html"]), "|").alias("value"))
+    files.write.partitionBy("g").option("lineSep", "\n").text(path)
+    return readers.read_media(spark, path, "*.txt").select(F.regexp_extract("path", r"g=(\d+)/", 1).cast("long").alias("g"), "image_sha256", "byte_size")
+
+
+@query("""
+    WITH v AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN ' ' || p_partkey || '  ' WHEN 2 THEN '-' || p_partkey WHEN 3 THEN '+' || p_partkey WHEN 4 THEN p_name ELSE p_partkey || 'x' END AS v FROM part)
+    SELECT p_partkey, CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN trim(v)::BIGINT END AS number, CASE WHEN NOT regexp_full_match(trim(v), '[+-]?[0-9]+') THEN v END AS words FROM v
+""")
+def whole_or_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that spell a whole number, with signs and blanks, apart from those that do not."""
+    key = F.col("p_partkey")
+    told = F.when(key % 6 == 0, key.cast("string")).when(key % 6 == 1, F.concat(F.lit(" "), key, F.lit("  "))).when(key % 6 == 2, F.concat(F.lit("-"), key)).when(key % 6 == 3, F.concat(F.lit("+"), key)).when(key % 6 == 4, F.col("p_name")).otherwise(F.concat(key, F.lit("x")))
+    number, words = text.whole_or_text(told)
+    return table(spark, sf_dir, "part").select("p_partkey", number.alias("number"), words.alias("words"))
