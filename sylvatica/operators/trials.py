@@ -58,15 +58,19 @@ def remaining(rows: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame
 
 
 def options(refs: DataFrame) -> DataFrame:
-    """(feature, options): each feature's values in order, described by the last reference of the same value."""
-    ordered = refs if "ordinal" in refs.columns else refs.withColumn("ordinal", F.monotonically_increasing_id())
-    last = last_by_key(ordered.select("feature", "feature_value", "reference_description", "reference_illustration_path", "ordinal"), ["feature", "feature_value"], "ordinal")
+    """(feature, options): each feature's values in order, described by the last reference of the same value.
+
+    The order is that of ``ordinal``, which ``refs`` must have (``frames.numbered_by`` gives one): rows have no order of their own.
+    """
+    if "ordinal" not in refs.columns:
+        raise ValueError("references need an ordinal, by which options are numbered")
+    last = last_by_key(refs.select("feature", "feature_value", "reference_description", "reference_illustration_path", "ordinal"), ["feature", "feature_value"], "ordinal")
     material = last.select("feature", "feature_value", "reference_description", "reference_illustration_path")
     option = F.struct(
         F.col("feature_value").alias("value"), F.coalesce("reference_description", F.lit("")).alias("description"), F.lit(None).cast("string").alias("photo"),
         F.when(F.col("reference_illustration_path") != "", F.col("reference_illustration_path")).alias("illustration"),
     )
-    joined = ordered.select("feature", "feature_value", "ordinal").where(F.col("feature").isNotNull()).join(material, ["feature", "feature_value"])
+    joined = refs.select("feature", "feature_value", "ordinal").where(F.col("feature").isNotNull()).join(material, ["feature", "feature_value"])
     listed = joined.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("ordinal", option.alias("option")))).alias("o"))
     return listed.select("feature", F.transform("o", lambda x: x["option"]).alias("options"))
 
