@@ -67,6 +67,10 @@ SKETCHES_AT_ONCE = 1 << 13
 SUMS_AT_ONCE = 1 << 18
 #: Nodes of a bucket that are compared with as many others in one group.
 PART = 4096
+#: A signature that this share of a task's texts at a time, and so many of them, have is hot: its rows are dealt to so many salts.
+HOT_SHARE = 0.02
+HOT_LEAST = 16
+SALTS = 1024
 #: Nodes that a task remembers to have seen.
 SEEN = 1 << 18
 
@@ -276,7 +280,7 @@ def signatures(text: np.ndarray, value: np.ndarray, size: np.ndarray, plan: list
 
 
 SETS = "doc_id long, digest long, node long, low long, n_shingles long, sketch binary"
-INDEX = "signature long, node long, probe boolean"
+INDEX = "signature long, salt int, node long, probe boolean"
 
 
 def _sets_of(column: pa.Array, rule: Rule) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -335,19 +339,36 @@ def _index(rule: Rule, plan: list[Band], renamed: Renamed):
                 mine = new[text]
                 who, signature, probe = signatures(text[mine], value[mine], np.where(new, size, 0), plan)
                 if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(node[who]), pa.array(probe)], names=["signature", "node", "probe"])
+                    rows = salted(signature.view(np.int64), node[who], probe, int(new.sum()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=[c.split()[0] for c in INDEX.split(", ")])
 
     return run
 
 
+def salted(signature: np.ndarray, node: np.ndarray, probe: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, salt, node, probe): the rows of hot signatures with salts of their nodes, and of each hot signature a row
+    that stands for them without a salt, one that makes candidates if any does."""
+    order = np.lexsort((~probe, signature))
+    ordered = signature[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    count = np.diff(np.append(first, len(ordered)))
+    hot = count >= max(HOT_LEAST, HOT_SHARE * texts)
+    salt = np.zeros(len(signature), np.int32)
+    salt[order] = np.where(np.repeat(hot, count), 1 + (mix(node[order].view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0)
+    standing = order[first[hot]]
+    return tuple(np.concatenate((column, column[standing])) if column is not salt else np.concatenate((salt, np.zeros(len(standing), np.int32))) for column in (signature, salt, node, probe))
+
+
 def _buckets(docs: DataFrame, rule: Rule, plan: list[Band], renamed: Renamed, text: str) -> DataFrame:
-    """(signature, node, probe, n: the bucket's rows) of the buckets that hold two nodes or more and make candidates.
+    """(signature, node, probe, n: the bucket's rows, or those of its salt) of the buckets that hold two nodes or more and make
+    candidates; rows with a salt all go on.
 
-    The window streams over a sorted partition and spills what it holds of a bucket."""
+    The window streams over a sorted partition and spills what it holds of a bucket.  A hot bucket is spread by salts before,
+    so no task meets it whole; what stands for its rows lets the rows without a salt find that they are not alone."""
     rows = docs.select(text_or_empty(text).alias("text")).mapInArrow(_index(rule, plan, renamed), INDEX)
-    same = Window.partitionBy("signature")
+    same = Window.partitionBy("signature", "salt")
     marked = rows.select("*", F.min("node").over(same).alias("first"), F.max("node").over(same).alias("last"), F.max("probe").over(same).alias("live"), F.count(F.lit(1)).over(same).alias("n"))
-    return settle(marked.where((F.col("first") != F.col("last")) & F.col("live")).select("signature", "node", "probe", "n"), "buckets")
+    return settle(marked.where(((F.col("first") != F.col("last")) & F.col("live")) | (F.col("salt") > 0)).select("signature", "node", "probe", "n"), "buckets")
 
 
 def _close(rule: Rule):

@@ -281,6 +281,40 @@ def test_links_are_kept_where_sketches_grow(spark, limit, size, num):
     assert found == {i: i - i % 2 for i, _ in rows}
 
 
+def test_hot_signatures_are_dealt_to_salts():
+    rng = np.random.default_rng(3)
+    signature = np.concatenate((np.full(400, 7), rng.integers(100, 10_000, 3000), np.full(100, 9)))
+    node = rng.integers(-(2**62), 2**62, len(signature))
+    probe = rng.random(len(signature)) < 0.01
+    probe[-100:] = False
+    probe[5] = True
+    mixed = rng.permutation(len(signature))
+    out = N.salted(signature[mixed], node[mixed], probe[mixed], 1000)
+    rows = list(zip(*[c.tolist() for c in out], strict=True))
+    assert len(rows) == len(signature) + 2
+    assert sorted((s, n, p) for s, salt, n, p in rows if salt or s not in (7, 9)) == sorted(zip(signature.tolist(), node.tolist(), probe.tolist(), strict=True))
+    assert [(s, p) for s, salt, _, p in rows if s in (7, 9) and not salt] == [(7, True), (9, False)]
+    assert len({salt for s, salt, *_ in rows if s == 7}) > 250 and all(salt == 0 for s, salt, *_ in rows if s not in (7, 9))
+
+
+def test_a_hot_bucket_and_single_members_elsewhere(spark):
+    """Near copies that fill some tasks, of which other tasks have one each; links must be those of a plain run."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+
+    def near():
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    other = lambda: " ".join(f"y{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(i, near()) for i in range(300)] + [(1000 + i, near() if i % 40 == 0 else other()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(5, "doc_id")
+    found = {r["doc_id"]: r["component_id"] for r in N.similar_groups(docs, N.Rule(size=3, num=90, den=100)).collect()}
+    assert found == {i: c for i, _, c in brute(rows, N.Rule(size=3, num=90, den=100))}
+
+
 def test_folded_sketches_bound_the_difference_from_below():
     rng = np.random.default_rng(9)
     for smaller, larger in ((2040, 2300), (1900, 2110), (2048, 2049), (4090, 4560), (3800, 4200), (1000, 9000)):
