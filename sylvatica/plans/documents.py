@@ -11,7 +11,7 @@ from sylvatica.functions import answers as A
 from sylvatica.functions import payloads as P
 from sylvatica.functions import text as X
 from sylvatica.operators import gate, keys, notices, releases, trials, workflow
-from sylvatica.plans.catalogue import _LABELS_SQL, _POLYGON_SQL, ORACLES, _batch, _nation_tree, _orders_release, query, species_path_table
+from sylvatica.plans.catalogue import _POLYGON_SQL, ORACLES, _batch, _nation_tree, _orders_release, query, species_path_table
 from sylvatica.schemas import RELEASE_NAME
 from sylvatica.session import shared_folder, table
 from sylvatica.sources import readers, sinks
