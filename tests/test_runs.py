@@ -28,7 +28,7 @@ def test_outcomes_keep_order_bound_and_limit():
             most[0] = max(most[0], running[0])
         try:
             n = int(parts[0]["value"])
-            time.sleep(5 if n == 3 else 0.001 * (n % 5))
+            time.sleep(60 if n == 3 else 0.001 * (n % 5))
             if n % 4 == 1:
                 raise KeyError(n)
             return None if n == 2 else f"{model}{n}"
@@ -37,11 +37,11 @@ def test_outcomes_keep_order_bound_and_limit():
                 running[0] -= 1
 
     began = time.monotonic()
-    told = list(calls.outcomes(call, [("m", [{"kind": "text", "value": str(n)}]) for n in range(60)], in_flight=3, timeout=0.4))
-    assert time.monotonic() - began < 4 and most[0] <= 4  # the late one has lost its slot, but still runs
+    told = list(calls.outcomes(call, [("m", [{"kind": "text", "value": str(n)}]) for n in range(60)], in_flight=3, timeout=2))
+    assert time.monotonic() - began < 30 and most[0] <= 4  # the late one has lost its slot, but still runs
     for n, outcome in enumerate(told):
         if n == 3:
-            assert outcome == {"answer": None, "error": "TimeoutError: no answer within 0.4 s"}
+            assert outcome == {"answer": None, "error": "TimeoutError: no answer within 2 s"}
         elif n % 4 == 1:
             assert outcome == {"answer": None, "error": f"KeyError: {n}"}
         else:
