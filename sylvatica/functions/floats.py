@@ -11,8 +11,10 @@ from decimal import Decimal
 from fractions import Fraction
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SPLIT = float(2**27 + 1)
 
@@ -153,6 +155,15 @@ def _shortest(size: Column) -> Column:
     return let(_exponent(size), told)
 
 
+@F.arrow_udf(StringType())
+def told_by_python(values: pa.Array) -> pa.Array:
+    """Doubles as Python itself spells them, in Arrow batches: for whole columns, where digits are many and rows too.  Within a
+    lambda no such function may stand; ``python_text`` may."""
+    if values.null_count:
+        return pa.array([None if v is None else repr(v) for v in values.to_pylist()], pa.string())
+    return pa.array(map(repr, values.to_numpy(zero_copy_only=False).tolist()), pa.string())
+
+
 def python_text(value: Column) -> Column:
     """``value``, a double, as Python's ``repr`` spells it: the shortest digits that read back, with an exponent below
     1e-04 and from 1e+16 on."""

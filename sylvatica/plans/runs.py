@@ -112,7 +112,7 @@ def float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices over and times powers of ten as Python spells doubles."""
     price, line = F.col("l_extendedprice").cast("double"), F.col("l_linenumber")
     small, large = price / F.pow(F.lit(10.0), 3 * line - 2), price * F.col("l_quantity").cast("double") * F.pow(F.lit(10.0), 2 * line)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", floats.python_text(small).alias("small"), floats.python_text(large).alias("large"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", floats.told_by_python(small).alias("small"), floats.told_by_python(large).alias("large"))
 
 
 # --- masks as rows -------------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sylvatica.functions import documents, floats
 from sylvatica.operators import calls, regions, trials, workflow
+from sylvatica.plans import runs
 from sylvatica.sources import ranged, releases, sinks
 
 # --- calls ---------------------------------------------------------------------------------------------------
@@ -102,6 +103,16 @@ def test_spelling_equals_python(spark):
         assert text == (None if x is None else repr(x))
 
 
+def test_whole_columns_are_spelled_in_batches(spark, sf_dir):
+    values = [*doubles(500, 4), math.nan]
+    for rows in (values, [*values, None]):
+        df = spark.createDataFrame([(v,) for v in rows], "x double").repartition(2)
+        for x, text in df.select("x", floats.told_by_python(F.col("x")).alias("t")).collect():
+            assert text == (None if x is None else repr(x))
+    plan = runs.float_text(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
 def test_rounding_equals_python(spark):
     rng = random.Random(2)
     values = [v for v in doubles(100_000, 3)]
