@@ -14,7 +14,7 @@ INDENT = "  "
 
 
 def _unit(code: Column) -> Column:
-    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code.cast("long")), 4, "0")))
+    return F.concat(F.lit("\\u"), F.translate(F.lpad(F.hex(code.cast("long")), 4, "0"), "ABCDEF", "abcdef"))
 
 
 def _escaped(character: Column) -> Column:

@@ -70,6 +70,8 @@ _FAR, _SHIFT = 100, 300
 #: The least double of full precision.
 _NORMAL = 2.0**-1022
 _DIGITS = 17
+#: No two decimals of so many digits are one double, so a text of no more that reads back is the only one.
+_FEW = 15
 
 
 def _table(values: list[float]) -> Column:
@@ -183,7 +185,15 @@ def python_text(value: Column) -> Column:
 
     sign = F.when(value > 0, F.lit("")).when((value < 0) | value.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
     size = F.abs(value)
-    number = F.when(size == 0, F.lit("0.0")).when(size == float("inf"), F.lit("inf")).otherwise(let(_shortest(size), spelled))
+    told = size.cast("string")  # by the JVM: it reads back, but older ones spend a digit too many
+    digits = F.replace(F.substring_index(told, "E", 1), F.lit("."), F.lit(""))
+    few = (F.length(F.ltrim(digits, F.lit("0"))) <= _FEW) & (size >= _NORMAL)
+    parts = F.struct(F.rtrim(digits, F.lit("0")).alias("digits"), (F.substring_index(told, "E", -1).cast("int") + 1).alias("point"))
+    number = (
+        F.when(size == 0, F.lit("0.0")).when(size == float("inf"), F.lit("inf"))
+        .when(few & (size >= 1e-3) & (size < 1e7), told).when(few, let(parts, spelled))
+        .otherwise(let(_shortest(size), spelled))
+    )
     return F.when(F.isnan(value), F.lit("nan")).when(value.isNotNull(), F.concat(sign, number))
 
 

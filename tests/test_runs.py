@@ -113,6 +113,15 @@ def test_whole_columns_are_spelled_in_batches(spark, sf_dir):
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
 
 
+def test_short_doubles_are_spelled_without_trials(spark, monkeypatch):
+    monkeypatch.setattr(floats, "_shortest", lambda size: F.when(size.isNotNull(), F.raise_error(F.lit("tried"))).cast("struct<digits: string, point: int>"))
+    values = [float(f"{sign}{digits}e{power}") for sign in ("", "-") for digits in ("1", "12.5", "999999999999999", "1.00000000000001") for power in (-5, -4, -3, 0, 1, 6, 7, 15, 16)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(2)
+    told = df.select("x", F.transform(F.array("x"), floats.python_text)[0].alias("t")).collect()
+    few = [(x, t) for x, t in told if len(repr(abs(x)).split("e")[0].replace(".", "").strip("0")) <= 15]
+    assert len(few) == len(values) and all(t == repr(x) for x, t in few)
+
+
 def test_rounding_equals_python(spark):
     rng = random.Random(2)
     values = [v for v in doubles(100_000, 3)]
