@@ -148,22 +148,33 @@ def species_table_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- releases, evidence and records --------------------------------------------------------------------------
 
 
-def _release_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A release document of nations as values and customers as taxa and claims, as one text."""
+#: Customers in a part of the release.
+_PART = 10_000
+
+
+def _release_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release document of nations as values and customers as taxa and claims, in parts: (part, value).
+
+    The first part has the small tables too.
+    """
     customers = table(spark, sf_dir, "customer")
+    parts = max(1, -(-customers.count() // _PART))
     name = F.lit("plants").alias(RELEASE_NAME)
-    taxa = customers.agg(F.collect_list(F.struct(name, F.col("c_name").alias("taxon_name"), F.col("c_custkey").cast("string").alias("source_taxon_id"))).alias("devo_taxa"))
+    taxon = F.struct(name, F.col("c_name").alias("taxon_name"), F.col("c_custkey").cast("string").alias("source_taxon_id"))
     claim = F.struct(name, F.col("c_name").alias("taxon_name"), F.lit("nation").alias("feature_name"), F.col("c_nationkey").cast("string").alias("vocab_id"), F.col("c_mktsegment").alias("assertion_source"), F.lit("c").alias("source_context_id"))
-    claims = customers.agg(F.collect_list(claim).alias("devo_taxon_feature_value"))
+    listed = customers.groupBy(F.pmod(F.xxhash64("c_custkey"), F.lit(parts)).alias("part")).agg(F.collect_list(taxon).alias("devo_taxa"), F.collect_list(claim).alias("devo_taxon_feature_value"))
     values = table(spark, sf_dir, "nation").agg(F.collect_list(F.struct(name, F.col("n_nationkey").cast("string").alias("vocab_id"), F.lit("nation").alias("feature_name"), F.col("n_name").alias("source_value_id"))).alias("devo_feature_values"))
     source = F.struct(name, F.lit("7").alias("version"), F.lit("sha256:x").alias("content_hash"))
+    first = F.col("part") == 0
     fixed = {
         "manifest": F.struct(F.lit("1.0").alias("contract_version"), F.lit("plants-7").alias("release_id"), source.alias("source")),
-        "devo_registry": F.array(F.struct(name)), "devo_features": F.array(F.struct(name, F.lit("nation").alias("feature_name"))),
+        "devo_registry": F.filter(F.array(F.struct(name)), lambda _: first), "devo_features": F.filter(F.array(F.struct(name, F.lit("nation").alias("feature_name"))), lambda _: first),
         "devo_images": F.array().cast("array<struct<image_id: string>>"), "devo_annotations": F.array().cast("array<struct<annotation_id: string>>"),
+        "devo_feature_values": F.filter("devo_feature_values", lambda _: first),
+        **{t: F.coalesce(t, F.array().cast(listed.schema[t].dataType)) for t in ("devo_taxa", "devo_taxon_feature_value")},
     }
-    whole = taxa.crossJoin(claims).crossJoin(values)  # one row each
-    return whole.select(F.to_json(F.struct(*[v.alias(k) for k, v in fixed.items()], "devo_taxa", "devo_taxon_feature_value", "devo_feature_values")).alias("value"))
+    whole = spark.range(parts).select(F.col("id").alias("part")).join(listed, "part", "left").crossJoin(F.broadcast(values))  # one row
+    return whole.select("part", F.to_json(F.struct(*[v.alias(k) for k, v in fixed.items()])).alias("value"))
 
 
 @query("""
@@ -171,9 +182,9 @@ def _release_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def release_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A release written as one file, read, checked and turned into cases."""
+    """A release written as files of some customers each, read, checked and turned into cases."""
     path = scratch(spark, "release")
-    _release_text(spark, sf_dir).write.text(path)
+    _release_parts(spark, sf_dir).write.partitionBy("part").text(path)  # one row, so one file, a folder
     release = readers.read_release(spark, path)
     cases = releases.experiment_cases(releases.validate_release(release))
     told = provenance_of(release)

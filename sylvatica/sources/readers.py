@@ -115,7 +115,11 @@ def new_settings(settings: DataFrame, have: DataFrame) -> DataFrame:
 
 
 def release_from_text(document: DataFrame) -> Release:
-    """A release from one row with its whole text in ``value``.  Tables that are missing or no lists raise."""
+    """A release from one row with its whole text in ``value``, or from a row for each of its parts.
+
+    Each part is a document with every table, whose rows are those of all parts, and with the same manifest.  Tables that are
+    missing or no lists raise, and so do manifests that differ.  The hash of several parts is that of their sorted hashes.
+    """
     manifest = "struct<contract_version: string, release_id: string, source: struct<devo_name: string, version: string, content_hash: string>>"
     fields = ", ".join([f"manifest: {manifest}", *[f"`{RELEASE_TABLES[name]}`: array<struct<{_colons(row)}>>" for name, row in RELEASE_ROW.items()]])
     parsed = document.select(F.from_json("value", f"struct<{fields}>").alias("d"), content_hash(F.col("value")).alias("data_hash"))
@@ -124,11 +128,15 @@ def release_from_text(document: DataFrame) -> Release:
     missing += [F.when(F.col(f"d.manifest.source.{key}").isNull(), F.lit(f"source {key}")) for key in (RELEASE_NAME, "version", "content_hash")]
     lacks = F.array_join(F.array_compact(F.array(*missing)), ", ")
     checked = parsed.withColumn("d", F.when(lacks == "", F.col("d")).otherwise(F.raise_error(F.concat(F.lit("release is missing: "), lacks)).cast(f"struct<{fields}>")))
-    head = checked.select(
-        F.col("d.manifest.release_id").alias("release_id"), F.col(f"d.manifest.source.{RELEASE_NAME}").alias("vocabulary_name"),
-        F.col("d.manifest.contract_version").alias("contract_version"), F.col("d.manifest.source.version").alias("source_version"),
-        F.col("d.manifest.source.content_hash").alias("source_content_hash"), "data_hash",
-    )
+    fields_of_head = {
+        "release_id": "d.manifest.release_id", "vocabulary_name": f"d.manifest.source.{RELEASE_NAME}", "contract_version": "d.manifest.contract_version",
+        "source_version": "d.manifest.source.version", "source_content_hash": "d.manifest.source.content_hash",
+    }
+    told = checked.select(F.struct(*[F.col(path).alias(name) for name, path in fields_of_head.items()]).alias("m"), "data_hash")
+    every = told.agg(F.min("m").alias("m"), F.max("m").alias("other"), F.array_sort(F.collect_list("data_hash")).alias("hashes")).where(F.size("hashes") > 0)  # a hash a part
+    same = F.when(F.col("m") == F.col("other"), F.col("m")).otherwise(F.raise_error(F.lit("parts of a release have different manifests")).cast(told.schema["m"].dataType))
+    data_hash = F.when(F.size("hashes") == 1, F.get("hashes", F.lit(0))).otherwise(content_hash(F.array_join("hashes", "\n")))
+    head = every.select(same.alias("m"), data_hash.alias("data_hash")).select("m.*", "data_hash")
     table = lambda name: checked.select(F.inline(F.col(f"d.{RELEASE_TABLES[name]}")))
     return Release(head, table("registry"), table("feature_values"), table("taxa"), table("claims"))
 
@@ -138,4 +146,5 @@ def _colons(row: str) -> str:
 
 
 def read_release(spark: SparkSession, path: str) -> Release:
-    return release_from_text(spark.read.text(path, wholetext=True))
+    """A release in one file, or in a folder of files that are its parts: a task takes a file, so the rows of a large one belong in many."""
+    return release_from_text(spark.read.text(path, wholetext=True).select("value"))

@@ -96,6 +96,34 @@ def test_bad_releases(spark, changes, rule):
         releases.validate_release(readers.release_from_text(text))
 
 
+def test_release_in_parts(spark, tmp_path):
+    more = {"devo_registry": [], "devo_feature_values": [], "devo_taxa": [{"devo_name": "voc", "taxon_name": "Acer rubrum", "source_taxon_id": "7"}]}
+    texts = [json.dumps(release_document()), json.dumps(release_document(**more))]
+    for n, text in enumerate(texts):
+        (tmp_path / f"part{n}.json").write_text(text)
+    release = releases.validate_release(readers.read_release(spark, str(tmp_path)))
+    assert sorted(t.taxon_name for t in release.taxa.collect()) == ["Acer campestre", "Acer rubrum"]
+    assert [c.canonical_taxon_id for c in releases.experiment_cases(release).collect()] == ["Acer campestre"] * 2  # a claim in each part
+    import hashlib
+
+    told = sorted("sha256:" + hashlib.sha256(t.encode()).hexdigest() for t in texts)
+    assert [m.data_hash for m in release.manifest.collect()] == ["sha256:" + hashlib.sha256("\n".join(told).encode()).hexdigest()]
+    other = json.dumps(release_document() | {"manifest": release_document()["manifest"] | {"release_id": "another"}})
+    with pytest.raises(Exception, match="different manifests"):
+        readers.release_from_text(spark.createDataFrame([(texts[0],), (other,)], "value string")).manifest.collect()
+
+
+def test_a_large_release_is_written_in_parts(spark, sf_dir, monkeypatch):
+    from sylvatica.plans import documents
+
+    monkeypatch.setattr(documents, "_PART", 40)
+    parts = documents._release_parts(spark, sf_dir).collect()
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    sizes = [len(json.loads(p.value)["devo_taxa"]) for p in parts]
+    assert len(parts) == -(-customers // 40) and sum(sizes) == customers and max(sizes) < 100
+    assert documents.release_document(spark, sf_dir).count() == customers
+
+
 def test_release_without_a_table(spark):
     document = release_document()
     del document["devo_images"]
