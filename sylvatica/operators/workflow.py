@@ -73,7 +73,7 @@ def node_paths(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
         return settled(spark.sql(f"""
             WITH RECURSIVE walk(node_id, depth, path) MAX RECURSION LEVEL {levels + 1} AS (
                 SELECT node_id, 0, node_id FROM {{edges}} WHERE up IS NULL
-                UNION ALL SELECT e.node_id, w.depth + 1, concat(w.path, '/', e.node_id) FROM walk AS w JOIN {{edges}} AS e ON e.up = w.node_id)
+                UNION ALL SELECT /*+ MERGE(e) */ e.node_id, w.depth + 1, concat(w.path, '/', e.node_id) FROM walk AS w JOIN {{edges}} AS e ON e.up = w.node_id)
             SELECT node_id, depth, path FROM walk
         """, edges=edges))
     finally:

@@ -219,6 +219,13 @@ def test_broken_releases_stop_no_other(spark):
     assert found.table("taxa").count() == 0 and found.heads.count() == len(texts)
 
 
+def test_levels_of_paths_send_no_side_to_the_driver(spark, monkeypatch):
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "node_id string, parent_id string")
+    monkeypatch.setattr(workflow, "settled", lambda df: df)
+    plan = workflow.node_paths(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "strategy=broadcast" not in plan
+
+
 def test_paths_and_cycles(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "y"), ("s", "s"), ("o", "gone"), ("p", "o"), ("r", "")]
     nodes = spark.createDataFrame(rows, "node_id string, parent_id string")
