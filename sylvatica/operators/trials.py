@@ -42,12 +42,13 @@ def each(df: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
 
 
 def tasks(sample: DataFrame, features: Sequence[str], models: Sequence[str], limit: int | None = None, order: str = "observation_id") -> DataFrame:
-    """model x observation x feature; of rows that repeat a key the first by species counts."""
+    """model x observation x feature; of rows that repeat an observation the first by species counts, which is found before they multiply."""
     check_features(features)
     if limit is not None:
         sample = sample.orderBy(F.col(order).asc_nulls_last()).limit(limit)
-    rows = each(each(sample.withColumn("observation_id", F.col("observation_id").cast("string")), "feature", features), "model", models)
-    return first_by_key(rows, TASK_KEY, [F.col(c).asc_nulls_last() for c in ("species_inat", SPECIES) if c in rows.columns])
+    rows = sample.withColumn("observation_id", F.col("observation_id").cast("string"))
+    one = first_by_key(rows, ["observation_id"], [F.col(c).asc_nulls_last() for c in ("species_inat", SPECIES) if c in rows.columns])
+    return each(each(one, "feature", list(dict.fromkeys(features))), "model", list(dict.fromkeys(models)))
 
 
 def remaining(rows: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -139,6 +139,15 @@ def test_metrics(spark):
     assert alone.classification_accuracy is None and alone.classification_coverage == 0.0
 
 
+def test_tasks_multiply_after_an_observation_is_chosen(spark):
+    sample = spark.createDataFrame([(1, "b", "y"), (1, "a", "z"), (2, None, "x")], "observation_id long, species_inat string, guide_species_name string")
+    made = trials.tasks(sample, ["key_leaf_type", "key_flower_type", "key_leaf_type"], ["one", "two", "one"])
+    assert sorted((r.model, r.observation_id, r.feature, r.guide_species_name) for r in made.collect()) == sorted(
+        (m, o, f, g) for m in ("one", "two") for f in ("key_leaf_type", "key_flower_type") for o, g in (("1", "z"), ("2", "x")))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # the window sees observations, not tasks
+
+
 class Fake:
     """Finds a leaf and a flower in every frame but one."""
 
