@@ -17,6 +17,10 @@ from sylvatica.operators.ranking import best_within, rank_within, scope_keys
 from sylvatica.schemas import BATCH_VERSION, FRAME, GALLERY_VERSION, MANIFEST_VERSION, SEGMENT
 
 
+#: Frames whose regions a task holds as Python objects at once; an Arrow batch, which may have more, is taken in slices.
+SLICE = 128
+
+
 class Segmenter(Protocol):
     """Finds regions.  ``segment`` gets a frame as a dict and the prompts, and gives dicts as in SEGMENT."""
 
@@ -30,15 +34,15 @@ def segmented(frames: DataFrame, make: Callable[[], Segmenter], prompts: Sequenc
     """Frames with ``segments``, or with ``error_type`` and ``message`` where the segmenter failed.
 
     ``make`` runs once in a task, so a model is loaded once however many frames follow.  A frame that fails
-    becomes a row of its own and stops nothing.
+    becomes a row of its own and stops nothing.  Regions are given back by slices of a batch.
     """
     columns = [f.split()[0] for f in FRAME.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segmenter = make()
-        for batch in batches:
+        for part in (batch.iloc[at : at + SLICE] for batch in batches for at in range(0, len(batch), SLICE)):
             found, kinds, messages = [], [], []
-            for frame in batch.to_dict("records"):
+            for frame in part.to_dict("records"):
                 try:
                     found.append([_segment(s) for s in segmenter.segment(frame, prompts)])
                     kinds.append(None)
@@ -47,7 +51,7 @@ def segmented(frames: DataFrame, make: Callable[[], Segmenter], prompts: Sequenc
                     found.append(None)
                     kinds.append(type(error).__name__)
                     messages.append(str(error))
-            yield batch.assign(segments=found, error_type=kinds, message=messages)
+            yield part.assign(segments=found, error_type=kinds, message=messages)
 
     return frames.select(*columns).mapInPandas(run, f"{FRAME}, segments array<{SEGMENT}>, error_type string, message string")
 

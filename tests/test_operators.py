@@ -148,6 +148,28 @@ def test_tasks_multiply_after_an_observation_is_chosen(spark):
     assert plan.index("Generate") < plan.index("Window")  # the window sees observations, not tasks
 
 
+class Frames:
+    """Hands out the function that would run in the tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_regions_of_a_batch_are_given_by_slices():
+    import pandas as pd
+
+    run = notices.segmented(Frames(), Fake)
+    rows = [{"observation_id": "bad" if n in (notices.SLICE - 1, notices.SLICE) else str(n), "frame_index": 0} for n in range(4 * notices.SLICE + 1)]
+    given = list(run(iter([pd.DataFrame(rows), pd.DataFrame(rows[:0]), pd.DataFrame(rows[:1])])))
+    assert max(map(len, given)) == notices.SLICE
+    whole = pd.concat(given)
+    assert list(whole.observation_id) == [r["observation_id"] for r in [*rows, rows[0]]]
+    assert [kind is not None for kind in whole.error_type] == [o == "bad" for o in whole.observation_id] and (whole.error_type == "ValueError").sum() == 2
+
+
 class Fake:
     """Finds a leaf and a flower in every frame but one."""
 
