@@ -170,6 +170,31 @@ def test_regions_of_a_batch_are_given_by_slices():
     assert [kind is not None for kind in whole.error_type] == [o == "bad" for o in whole.observation_id] and (whole.error_type == "ValueError").sum() == 2
 
 
+def test_memory_of_failing_frames_does_not_grow_with_a_batch():
+    import tracemalloc
+
+    import pandas as pd
+
+    class Large:
+        def segment(self, frame, prompts):
+            if frame["frame_index"] % 17 == 0:
+                raise RuntimeError(frame["observation_id"])
+            return [{"label": "leaf", "polygon": [(0.5, n / 64) for n in range(64)], "detection_confidence": 1, "mask_quality": 1}]
+
+    def peak(rows):
+        batch = pd.DataFrame([{"observation_id": str(n), "frame_index": n} for n in range(rows)])
+        run = notices.segmented(Frames(), Large)
+        tracemalloc.start()
+        try:
+            failed = sum(part.error_type.notna().sum() for part in run(iter([batch])))
+            return failed, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (few, least), (many, most) = peak(2 * notices.SLICE), peak(16 * notices.SLICE)
+    assert (few, many) == (-(-2 * notices.SLICE // 17), -(-16 * notices.SLICE // 17)) and most < 2 * least
+
+
 class Fake:
     """Finds a leaf and a flower in every frame but one."""
 
